@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import fingerprints, licenses, mixing, url_filters
+from palisade.llm import fingerprints, licenses, mixing, ngram_join, url_filters
 from palisade.llm.oracles import ORACLE
 from palisade.llm.store import documents
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.grouped(documents(spark, sf_dir))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
@@ -26,5 +30,5 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_document_fingerprints, op6_url_filters, op8_source_mixing, op9_license_scans)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_document_fingerprints, op6_url_filters, op8_source_mixing, op9_license_scans)}
 ORACLES = {name: ORACLE[name] for name in QUERIES if name in ORACLE}
