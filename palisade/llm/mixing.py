@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from palisade.llm.store import Stages
 
 WORD = r"[^\x20\x09-\x0D]+"
+FEW = 50_000  # sources whose rules may be broadcast
 BIN = 3  # hexadecimal digits of the hash: 4096 bins a source
 
 
@@ -42,6 +43,11 @@ def sizes(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", "source", _size().alias("size"), _key(seed).alias("key"))
 
 
+def few(rule: DataFrame) -> DataFrame:
+    """``rule``, to be broadcast if it has few sources; a join with more of them shuffles."""
+    return F.broadcast(rule) if rule.count() <= FEW else rule
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...], share: tuple[int, int], max_epochs: int) -> DataFrame:
     """source, source_size, target: one row for each source. ``share`` is (percent points, 100) of all words."""
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -100,7 +106,7 @@ def plan(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (5, 2, 1),
     """doc_id, source, size, source_size, target, times, taken: one row for each row of ``docs``."""
     stages = Stages(docs.sparkSession, "mixing")
     sized = stages.keep(sizes(docs, seed))
-    rule = cutoffs(sized, targets(sized, weights, share, max_epochs))
+    rule = few(stages.keep(cutoffs(sized, targets(sized, weights, share, max_epochs))))
     times = F.col("whole") + (F.col("key") <= F.col("last_key")).cast("int")
     return sized.join(rule, F.col("source").eqNullSafe(F.col("rule_source"))).select(
         "doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken")
@@ -113,7 +119,7 @@ def mixed(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (5, 2, 1),
     sized = stages.keep(sizes(docs, seed))
     rule = stages.keep(cutoffs(sized, targets(sized, weights, share, max_epochs)))
     stages.drop(sized)
-    rule = rule.select(F.col("rule_source").alias("__source"), F.col("whole").alias("__whole"), F.col("last_key").alias("__last"))
+    rule = few(rule).select(F.col("rule_source").alias("__source"), F.col("whole").alias("__whole"), F.col("last_key").alias("__last"))
     times = F.col("__whole") + (_key(seed) <= F.col("__last")).cast("int")
     joined = docs.join(rule, docs["source"].eqNullSafe(F.col("__source")))
     repeated = joined.withColumn("__times", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
