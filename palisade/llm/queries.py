@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import fingerprints, licenses, mixing, ngram_join, url_filters
+from palisade.llm import fingerprints, language_model, licenses, mixing, ngram_join, url_filters
 from palisade.llm.oracles import ORACLE
 from palisade.llm.store import documents
 
@@ -21,6 +21,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(documents(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "size", "source_size", "target", "taken")
     return mixing.plan(documents(spark, sf_dir)).select(*columns)
@@ -30,5 +34,5 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_document_fingerprints, op6_url_filters, op8_source_mixing, op9_license_scans)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_document_fingerprints, op6_url_filters, op7_hidden_markov_scores, op8_source_mixing, op9_license_scans)}
 ORACLES = {name: ORACLE[name] for name in QUERIES if name in ORACLE}
