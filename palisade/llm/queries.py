@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import fingerprints, language_model, licenses, mixing, ngram_join, url_filters
+from palisade.llm import fingerprints, language_model, licenses, mixing, ngram_join, quality, toxicity, url_filters
 from palisade.llm.oracles import ORACLE
 from palisade.llm.store import documents
 
 
+def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.grouped(documents(spark, sf_dir))
 
@@ -17,6 +21,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op5_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -34,5 +42,15 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_document_fingerprints, op6_url_filters, op7_hidden_markov_scores, op8_source_mixing, op9_license_scans)}
+_ALL = (
+    op1_bradley_terry_quality,
+    op3_ngram_jaccard_join,
+    op4_document_fingerprints,
+    op5_recurrent_toxicity,
+    op6_url_filters,
+    op7_hidden_markov_scores,
+    op8_source_mixing,
+    op9_license_scans,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: ORACLE[name] for name in QUERIES if name in ORACLE}
