@@ -4,8 +4,10 @@ Sources are ordered by code point, null last, and get the given weights in
 turn. The budget is a share of all words. A source's target is its weight's
 share of the budget, clamped at ``max_epochs`` times its size; what is clamped
 off goes to the others by weight until none is above its clamp. With sources
-sorted by clamp/weight, the clamped ones are a prefix, so two running sums give
-the water level.
+sorted by clamp/weight, the clamped ones are a prefix, and two running sums give
+the level that each prefix would leave for the others. Prefixes that are too short
+leave a level above the next clamp, longer ones than needed a lower level: the
+largest level that is not above the next clamp is the one sought.
 
 A source's documents are taken ``floor(target/size)`` times each; the rest of
 the target is filled with one more repetition of documents in the order of a
@@ -65,7 +67,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...], share: tuple[int, int],
         .withColumn("clamped", F.coalesce(F.sum("clamp").over(up_to), F.lit(0)))
         .withColumn("open", F.sum("weight").over(after))
         .withColumn("try", (F.col("budget") - F.col("clamped") * share[1]) / (F.col("open") * share[1]))
-        .withColumn("water", F.min(F.when(F.col("try") <= F.col("ratio"), F.col("try"))).over(every))
+        .withColumn("water", F.max(F.when(F.col("try") <= F.col("ratio"), F.col("try"))).over(every))
     )
     clamp = F.col("clamp").cast("double")
     return filled.select("source", "source_size", F.least(clamp, F.coalesce(F.col("water") * F.col("weight"), clamp)).alias("target"))

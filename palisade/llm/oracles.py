@@ -32,7 +32,7 @@ WITH sized AS (
   SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) * 150 - CAST(coalesce(sum(clamp) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) * 100)
          / (sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * 100) AS level FROM r
 ), g AS (
-  SELECT place, source, source_size, least(CAST(clamp AS DOUBLE), min(CASE WHEN level <= ratio THEN level END) OVER () * weight) AS target FROM t
+  SELECT place, source, source_size, least(CAST(clamp AS DOUBLE), max(CASE WHEN level <= ratio THEN level END) OVER () * weight) AS target FROM t
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM g
 ), o AS (
