@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palisade.llm import fingerprints, language_model, licenses, mixing, ngram_join, quality, toxicity, url_filters
+from palisade.llm import fingerprints, language_model, licenses, mixing, neighbours, ngram_join, pieces, quality, toxicity, url_filters
 from palisade.llm.oracles import ORACLE
 from palisade.llm.store import documents
 
@@ -13,6 +14,10 @@ def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.grouped(documents(spark, sf_dir))
 
@@ -42,8 +47,13 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(documents(spark, sf_dir))
 
 
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(documents(spark, sf_dir))
+
+
 _ALL = (
     op1_bradley_terry_quality,
+    op2_tree_neighbours,
     op3_ngram_jaccard_join,
     op4_document_fingerprints,
     op5_recurrent_toxicity,
@@ -51,6 +61,7 @@ _ALL = (
     op7_hidden_markov_scores,
     op8_source_mixing,
     op9_license_scans,
+    op10_sampled_pieces,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: ORACLE[name] for name in QUERIES if name in ORACLE}
