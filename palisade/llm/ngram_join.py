@@ -6,13 +6,14 @@
 2. Two sets of sizes n and m can only reach the threshold if they share an
    element of their prefixes, the first ``n - ceil(t * n) + 1`` elements in that
    order. Documents with equal size and prefix become one group, and only groups
-   are joined on prefix elements, with the length and the positional filter.
+   are joined on prefix elements, with the length filter and a filter on the number
+   of elements that two prefixes share.
 3. Groups are expanded, and pairs of members are verified on their whole sets.
 
 Only components are asked for, so no list emits all its pairs. First each entry
 of a list is paired with the list's hub (the entry that has the element earliest
-in its prefix), members with the head of their group, and each document's best
-pair is verified. Then every remaining candidate pair whose ends are not yet in
+in its prefix), members with the head of their group, and pairs that share
+enough are verified. Then every remaining candidate pair whose ends are not yet in
 one component is verified, so no link between components is missed: a pair
 inside one component cannot change it.
 
@@ -168,10 +169,21 @@ class Join:
         self.stages.drop(pairs)
         return out
 
-    def fits(self, n: str, m: str, i: str, j: str) -> F.Column:
-        """Length and positional filter for sizes n, m with a shared element at places i, j."""
+    @staticmethod
+    def ordered(x: str, n: str, y: str, m: str) -> list[F.Column]:
+        first = F.col(x) < F.col(y)
+        pick = lambda p, q, name: F.when(first, F.col(p)).otherwise(F.col(q)).alias(name)
+        return [pick(x, y, "a"), pick(n, m, "n"), pick(y, x, "b"), pick(m, n, "m")]
+
+    def reach(self, shared: F.Column, n: str, m: str) -> F.Column:
+        """Whether sets of sizes n, m can reach the threshold if their prefixes share so many elements.
+
+        Every common element outside both prefixes is in the suffix of the set whose prefix ends first.
+        """
         p = self.percent
-        return F.expr(f"100 * least({n}, {m}) >= {p} * greatest({n}, {m}) AND {100 + p} * least({n} - {i}, {m} - {j}) >= {p} * ({n} + {m})")
+        longest = F.greatest(F.ceil(F.col(n) * p / 100), F.ceil(F.col(m) * p / 100)) - 1
+        lengths = 100 * F.least(n, m) >= p * F.greatest(n, m)
+        return lengths & ((100 + p) * (shared + longest) >= p * (F.col(n) + F.col(m)))
 
     def run(self) -> DataFrame:
         spark, keep = self.docs.sparkSession, self.stages.keep
@@ -190,13 +202,16 @@ class Join:
         copies = used.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
         groups = copies.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
         members = keep(copies.join(groups, ["n", "p1", "p2"]).select("rep", "gid", "n", "p1", "p2"))
-        heads = members.where("rep = gid").select(F.col("gid").alias("doc_id"), "n", "p1", "p2")
-        posted = used.join(heads, ["doc_id", "n", "p1", "p2"], "left_semi").select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
-        hubs = posted.groupBy("token").agg(F.count("*").alias("entries"), F.min(F.struct("pos", "n", "gid")).alias("hub")).where("entries > 1")
-        lists = keep(posted.join(hubs, "token").select("token", "gid", "n", "pos", "hub"))
-
-        near = lists.where(F.expr("gid <> hub.gid") & self.fits("n", "hub.n", "pos", "hub.pos"))
-        best = near.groupBy(F.col("gid").alias("b"), F.col("hub.gid").alias("a")).count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+        heads = members.where("rep = gid").select(F.col("gid").alias("doc_id"))
+        posted = only(used.select("doc_id", "n", "prefix"), heads).select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
+        place = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
+        hubs = posted.groupBy("token").agg(F.count("*").alias("entries"), F.min_by("gid", place).alias("hub"), F.min(place).alias("place")).where("entries > 1")
+        hubs = hubs.select("token", "hub", F.expr("place & 4294967295L").alias("hub_n"))
+        lists = keep(posted.join(hubs, "token").select("token", "gid", "n", "hub", "hub_n"))
+
+        # a pair shares several elements, and a hub stands for a part of them only; what this misses is found in the second round
+        near = lists.where("gid <> hub").select(*self.ordered("gid", "n", "hub", "hub_n")).groupBy("a", "n", "b", "m").count()
+        best = near.where(self.reach(3 * F.col("count"), "n", "m"))
         inner = members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
         first = self.links(best.select("a", "b").unionByName(inner).distinct())
         known = components(first, self.stages)
@@ -212,17 +227,19 @@ class Join:
         """All candidate pairs of members that are not yet in one component."""
         placed = self.stages.keep(members.join(known, F.col("rep") == F.col("node"), "left").select("rep", "gid", F.coalesce("component", "rep").alias("comp")))
         spread = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        entries = lists.select("token", "gid", "n", "pos").join(spread, "gid")
+        entries = lists.select("token", "gid", "n").join(spread, "gid")
         mixed = entries.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
         entries = self.stages.keep(entries.join(mixed, "token", "left_semi"))
         # the component with most entries of a list needs no pairs within itself: only the others are paired, with all
-        weight = entries.where("low = high").groupBy("token", "low").count().groupBy("token").agg(F.max_by("low", F.struct("count", "low")).alias("main"))
-        others = entries.join(weight, "token", "left").where("main IS NULL OR low <> main OR high <> main").drop("main")
-        x = others.select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pos", "low", "high")])
-        y = entries.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pos", "low", "high")])
-        open_ = F.expr("x_gid <> y_gid AND NOT (x_low = x_high AND y_low = y_high AND x_low = y_low)")
-        pairs = x.join(y, "token").where(open_ & self.fits("x_n", "y_n", "x_pos", "y_pos"))
-        pairs = pairs.select(F.least("x_gid", "y_gid").alias("x"), F.greatest("x_gid", "y_gid").alias("y")).distinct()
+        weight = entries.where("low = high").groupBy("token", "low").count().groupBy("token").agg(F.max_by("low", "count").alias("main"))
+        others = entries.join(weight, "token", "left")
+        others = others.withColumn("out", F.expr("main IS NULL OR low <> main OR high <> main")).drop("main")
+        x = others.where("out").select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "low", "high")])
+        y = others.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "low", "high", "out")])
+        open_ = F.expr("NOT (x_low = x_high AND y_low = y_high AND x_low = y_low) AND (x_gid < y_gid OR (x_gid > y_gid AND NOT y_out))")
+        lengths = F.expr(f"100 * least(x_n, y_n) >= {self.percent} * greatest(x_n, y_n)")
+        pairs = x.join(y, "token").where(open_ & lengths).select(*self.ordered("x_gid", "x_n", "y_gid", "y_n"))
+        pairs = pairs.groupBy("a", "n", "b", "m").count().where(self.reach(F.col("count"), "n", "m")).select(F.col("a").alias("x"), F.col("b").alias("y"))
         inside = spread.where("low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
         left = placed.select(F.col("gid").alias("x"), F.col("rep").alias("a"), F.col("comp").alias("comp_a"))
         right = placed.select(F.col("gid").alias("y"), F.col("rep").alias("b"), F.col("comp").alias("comp_b"))

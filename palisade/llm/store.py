@@ -24,6 +24,7 @@ class Stages:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        self.spark._jvm.System.gc()  # what the write shuffled is garbage now; Spark deletes those files once the driver has noticed
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
