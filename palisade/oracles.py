@@ -212,6 +212,14 @@ ORACLE = {
     "threshold_sweep": f"WITH {SWEEP} SELECT * FROM f",
     "best_threshold": f"WITH {SWEEP} SELECT * FROM f ORDER BY accuracy DESC, f1 DESC, precision DESC, fpr, recall DESC, threshold LIMIT 1",
     "score_coverage": "SELECT count(*) AS expected, count(*) FILTER (event_id % 6 > 0) AS scored, count(*) FILTER (event_id % 6 > 0) / count(*)::DOUBLE AS coverage FROM events",
+    "canonical_round_trip": f"""{_sql(REQUESTS)}, n AS (SELECT *, (row_number() OVER (PARTITION BY file_id ORDER BY seq_id) - 1) // 4 AS batch FROM r),
+        f AS (SELECT *, row_number() OVER (PARTITION BY file_id, batch ORDER BY seq_id) AS place, count(*) OVER (PARTITION BY file_id, batch) AS full_size FROM n)
+        SELECT file_id, CAST(place AS INTEGER) AS place, seq_id, method, uri, host, status_code, content_type, CAST(length(uri) + length(host) + 10 AS INTEGER) AS text_length, uri AS request_block FROM f WHERE full_size = 4""",
+    "case_states": f"""{_sql(EVENTS)}, s AS (SELECT CASE number % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'failed' END AS status, occurred_at FROM e)
+        SELECT CASE WHEN status IN ('pending', 'failed') OR (status = 'processing' AND epoch({AS_OF})::BIGINT - floor(epoch(occurred_at))::BIGINT >= 180) THEN 'take' ELSE 'leave' END AS state, status, count(*) AS total FROM s GROUP BY 1, 2""",
+    "retry_states": f"""{_sql(EVENTS)} SELECT CASE WHEN number % 7 >= 5 THEN 'ignored' WHEN number % 3 = 0 OR epoch({AS_OF})::BIGINT - floor(epoch(occurred_at))::BIGINT >= 30 THEN 'ready' ELSE 'waiting' END AS state, count(*) AS total FROM e GROUP BY 1""",
+    "stream_hourly_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS total, count(*) FILTER (value >= 80) AS high FROM events GROUP BY 1, 2",
+    "stream_latest_by_user": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "bm25": _bm25(),
     "document_search": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id DESC LIMIT 20",
     "set_operations": """WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from palisade.functions import http, labels
 from palisade.operators import mutations, pairing, ranking
 from palisade.plans import dashboard, evaluation, events, retrieval
+from palisade.sources import canonical
 from palisade.sources import tables as T
+from palisade.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 ADDRESS_KEYWORD = events.EventQuery(preset="7d", risk="medium", attack="XSS", status="done", keyword="1", page=2, page_size=10)
@@ -183,6 +185,27 @@ def set_operations(s: SparkSession, d: str) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+def canonical_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Requests written as batches of canonical text and read again."""
+    r = ranking.micro_batches(T.requests(s, d), 4)
+    r = r.withColumns({"request_text": F.concat(F.lit("URI="), F.col("uri"), F.lit("\n"), F.lit("HOST="), F.col("host")), "request_block": F.col("uri"), "response_block": F.substring("response", 1, 200)})
+    back = canonical.parsed(canonical.batch_texts(r))
+    return back.select("file_id", "place", "seq_id", "method", "uri", "host", "status_code", "content_type", F.length("request_text").alias("text_length"), "request_block")
+
+
+def case_states(s: SparkSession, d: str) -> DataFrame:
+    e = T.security_events(s, d)
+    status = F.element_at(F.array(*map(F.lit, ("pending", "processing", "done", "failed"))), (F.col("number") % 4 + 1).cast("int"))
+    now = F.lit(T.AS_OF).cast("timestamp")
+    return e.groupBy(jobs.case_state(status, F.col("occurred_at").cast("timestamp"), now).alias("state"), status.alias("status")).agg(F.count("*").alias("total"))
+
+
+def retry_states(s: SparkSession, d: str) -> DataFrame:
+    e, now = T.security_events(s, d), F.lit(T.AS_OF).cast("timestamp")
+    state = jobs.retry_state(F.col("number") % 7, F.when(F.col("number") % 3 > 0, F.col("occurred_at").cast("timestamp")), now)
+    return e.groupBy(state.alias("state")).agg(F.count("*").alias("total"))
+
+
 QUERIES: dict[str, Query] = {
     "kpis": _of_events(dashboard.kpis, T.machines),
     "trend7d": _dated(_of_events(dashboard.trend7d)),
@@ -219,6 +242,9 @@ QUERIES: dict[str, Query] = {
     "top_candidates": lambda s, d: ranking.top_candidates(ranking.rerank(_scores(s, d)), 5),
     "threshold_sweep": lambda s, d: evaluation.sweep(_judged(s, d)),
     "best_threshold": lambda s, d: evaluation.best(evaluation.sweep(_judged(s, d))),
+    "stream_hourly_counts": jobs.hourly_counts,
+    "stream_latest_by_user": jobs.latest_by_user,
+    "stream_paired_packets": jobs.paired_packets,
     "bm25": lambda s, d: retrieval.bm25(T.stored(s, d, "documents"), ["the", "license", "re on"], ["text"], 20),
 } | {
     f.__name__: f
@@ -226,5 +252,6 @@ QUERIES: dict[str, Query] = {
         inferred_attacks, risk_levels, attack_results, public_sources, static_requests, query_terms, host_names, masked_documents, flow_features,
         candidate_requests, merged_sources, micro_batches, paired_by_frame, orphan_responses, paired_in_order, upserted_events, acknowledged,
         batch_status, blocked_upsert, unblocked, exported_cases, config_seed, score_coverage, document_search, set_operations,
+        canonical_round_trip, case_states, retry_states,
     )
 }
