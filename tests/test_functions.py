@@ -21,8 +21,7 @@ def values(spark, inputs, expression, kind="string"):
 
 def test_attack_labels(spark):
     raw = ["sqli", "Cross XSS", "brute force", "port-scan", "resource", "", None, "nmap", "Command_Injection", "文件上传", "other"]
-    want = ["SQL注入", "XSS", "RCE", "端口扫描", labels.OTHER, labels.OTHER, labels.OTHER, "端口扫描", "命令注入", "文件上传", labels.OTHER]
-    want[4] = "RCE" if "rce" in "resource" else labels.OTHER
+    want = ["SQL注入", "XSS", "RCE", "端口扫描", "RCE", labels.OTHER, labels.OTHER, "端口扫描", "命令注入", "文件上传", labels.OTHER]
     assert values(spark, raw, labels.attack_label) == want
     assert values(spark, ["brute force"], lambda c: labels.attack_label(c, strict=True)) == ["暴力破解"]
     names = [t[0] for t in labels.ATTACK_TESTS]
@@ -50,9 +49,9 @@ def test_risk_and_result(spark):
 def test_request_functions(spark):
     uris = ["/a/b/c.js?v=1", "/a.jsp", None, "/x/y?q=1?z"]
     assert values(spark, uris, http.is_static) == [True, False, False, False]
-    assert values(spark, uris, http.path_depth) == [3, 1, None, 2] or values(spark, uris[:2], http.path_depth) == [3, 1]
+    assert values(spark, ["/a/b/c.js?v=1", "/a.jsp", "//x/?y/z", ""], http.path_depth) == [3, 1, 1, 0]
     assert values(spark, ["/x?q=1?z", "/x"], http.query_length) == [5, 0]
-    assert values(spark, ["' or '--", "aaa"], lambda c: http.counted(c, http.SPECIAL_MARKS)) == ["' or '--".count("'") + 1 + 1, 0]
+    assert values(spark, ["' or '--", "aaa"], lambda c: http.counted(c, http.SPECIAL_MARKS)) == [4, 0]
     assert values(spark, ['{"password": "x y"}\nCookie: a=b'], http.masked) == ['{"password": "***"}\nCookie: ***']
     assert values(spark, ["68656c6c6f", "68:65:6c:6c:6f", "abc", "zz" * 4], http.unhexed) == ["hello", "hello", "abc", "zz" * 4]
     assert values(spark, ["https://A.b:443/x", "[::1]", "H"], http.host_name) == ["a.b", "::1", "h"]
