@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from palisade.llm import words as W
@@ -336,7 +337,7 @@ def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
             for i in range(0, len(whole), 500):
                 b = whole.slice(i, 500)
                 lists = b.column(1)
-                size = np.array([0 if x is None else len(x) for x in lists], np.int64)
+                size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 data, at = decode(ids, np.concatenate([[0], np.cumsum(size)]), shared.value)
                 whole_text = data.tobytes()
