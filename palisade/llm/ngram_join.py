@@ -36,12 +36,13 @@ from pyspark.sql import functions as F
 
 from palisade.llm import words as W
 from palisade.llm.components import components
+from palisade.llm.frequent import most_frequent
 from palisade.llm.store import Stages
 
 FEW = 1_000_000  # ids that may be broadcast; beyond, the join shuffles
 BLOCK_TOKENS = 4_000_000  # shingles counted at once for the order
-OFTEN = 4  # a shingle counts from so many documents of a block on
-HOT = 16  # from so many documents on a shingle is ordered last
+OFTEN = 2  # a shingle counts from so many documents of a block on
+HOT = 8  # from so many documents on a shingle is ordered last
 MOST_HOT = 200_000  # of the most frequent ones; all others are ordered by hash
 
 
@@ -189,7 +190,7 @@ class Join:
         spark, keep = self.docs.sparkSession, self.stages.keep
         seen = self.docs.select("text").mapInArrow(_frequent(self.n), "token long, seen long")
         hot = seen.groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HOT)
-        hot = hot.orderBy(F.desc("seen"), "token").limit(MOST_HOT).toPandas()
+        hot = most_frequent(self.stages.keep(hot), "seen", MOST_HOT).toPandas()
         token = hot["token"].to_numpy(np.int64).view(np.uint64)
         order = np.lexsort((token, hot["seen"].to_numpy(np.int64)))
         rank = np.empty(len(token), np.int32)
@@ -207,7 +208,7 @@ class Join:
         place = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
         hubs = posted.groupBy("token").agg(F.count("*").alias("entries"), F.min_by("gid", place).alias("hub"), F.min(place).alias("place")).where("entries > 1")
         hubs = hubs.select("token", "hub", F.expr("place & 4294967295L").alias("hub_n"))
-        lists = keep(posted.join(hubs, "token").select("token", "gid", "n", "hub", "hub_n"))
+        lists = keep(posted.join(hubs, "token").select("token", "gid", "n", "pos", "hub", "hub_n"))
 
         # a pair shares several elements, and a hub stands for a part of them only; what this misses is found in the second round
         near = lists.where("gid <> hub").select(*self.ordered("gid", "n", "hub", "hub_n")).groupBy("a", "n", "b", "m").count()
@@ -215,7 +216,7 @@ class Join:
         inner = members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
         first = self.links(best.select("a", "b").unionByName(inner).distinct())
         known = components(first, self.stages)
-        rest = self.links(self.unsettled(lists, members, known))
+        rest = self.links(self.unsettled(used.select("doc_id", "n", "prefix"), lists, members, known))
         final = components(first.unionByName(rest), self.stages)
 
         texts, copies = texts.select("doc_id", "n", "d1", "d2"), copies.select("n", "d1", "d2", "rep")
@@ -223,23 +224,30 @@ class Join:
         own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
         return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
-    def unsettled(self, lists: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+    def unsettled(self, prefixes: DataFrame, lists: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
         """All candidate pairs of members that are not yet in one component."""
         placed = self.stages.keep(members.join(known, F.col("rep") == F.col("node"), "left").select("rep", "gid", F.coalesce("component", "rep").alias("comp")))
         spread = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        entries = lists.select("token", "gid", "n").join(spread, "gid")
+        entries = lists.select("token", "gid", "n", "pos").join(spread, "gid")
         mixed = entries.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
         entries = self.stages.keep(entries.join(mixed, "token", "left_semi"))
         # the component with most entries of a list needs no pairs within itself: only the others are paired, with all
         weight = entries.where("low = high").groupBy("token", "low").count().groupBy("token").agg(F.max_by("low", "count").alias("main"))
         others = entries.join(weight, "token", "left")
         others = others.withColumn("out", F.expr("main IS NULL OR low <> main OR high <> main")).drop("main")
-        x = others.where("out").select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "low", "high")])
-        y = others.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "low", "high", "out")])
+        x = others.where("out").select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pos", "low", "high")])
+        y = others.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pos", "low", "high", "out")])
         open_ = F.expr("NOT (x_low = x_high AND y_low = y_high AND x_low = y_low) AND (x_gid < y_gid OR (x_gid > y_gid AND NOT y_out))")
-        lengths = F.expr(f"100 * least(x_n, y_n) >= {self.percent} * greatest(x_n, y_n)")
-        pairs = x.join(y, "token").where(open_ & lengths).select(*self.ordered("x_gid", "x_n", "y_gid", "y_n"))
-        pairs = pairs.groupBy("a", "n", "b", "m").count().where(self.reach(F.col("count"), "n", "m")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+        # at the first element that two sets share, as much as the threshold asks for must still lie ahead in both
+        p = self.percent
+        ahead = F.expr(f"100 * least(x_n, y_n) >= {p} * greatest(x_n, y_n) AND {100 + p} * least(x_n - x_pos, y_n - y_pos) >= {p} * (x_n + y_n)")
+        pairs = x.join(y, "token").where(open_ & ahead).select(*self.ordered("x_gid", "x_n", "y_gid", "y_n"))
+        pairs = self.stages.keep(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
+        # what is left meets by its whole prefixes, which are a small part of the sets
+        wanted = only(prefixes, pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y"))).dropDuplicates(["doc_id"])
+        left, right = (wanted.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("prefix").alias(f"{c}_prefix")) for c in "xy")
+        met = pairs.join(left, "x").join(right, "y")
+        pairs = met.where(self.reach(F.size(F.array_intersect("x_prefix", "y_prefix")), "x_n", "y_n")).select("x", "y")
         inside = spread.where("low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
         left = placed.select(F.col("gid").alias("x"), F.col("rep").alias("a"), F.col("comp").alias("comp_a"))
         right = placed.select(F.col("gid").alias("y"), F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
