@@ -220,6 +220,12 @@ ORACLE = {
     "retry_states": f"""{_sql(EVENTS)} SELECT CASE WHEN number % 7 >= 5 THEN 'ignored' WHEN number % 3 = 0 OR epoch({AS_OF})::BIGINT - floor(epoch(occurred_at))::BIGINT >= 30 THEN 'ready' ELSE 'waiting' END AS state, count(*) AS total FROM e GROUP BY 1""",
     "stream_hourly_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS total, count(*) FILTER (value >= 80) AS high FROM events GROUP BY 1, 2",
     "stream_latest_by_user": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
+    "refused_requests": f"{_sql(EVENTS, BLOCKS)} SELECT target_node, count(*) AS refused FROM e WHERE source_ip IN (SELECT ip_address FROM b) GROUP BY 1",
+    "admitted_requests": f"{_sql(EVENTS, BLOCKS)} SELECT target_node, count(*) AS admitted FROM e WHERE source_ip NOT IN (SELECT ip_address FROM b) GROUP BY 1",
+    "score_summary": f"WITH {RANKED} SELECT file_id, min(raw_score) AS least, max(raw_score) AS most, round(avg(raw_score), 6) AS mean, count(*) AS total FROM n GROUP BY 1",
+    "lenient_times": "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN '2024-01-29 18:30:00.000' ELSE strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 4 = 2 THEN ' 00:00:00.250' ELSE ' 00:00:00.000' END END AS shown FROM orders",
+    "traced_uris": f"{_sql(REQUESTS)} SELECT seq_id, uri || CASE WHEN contains(uri, '?') THEN '&' ELSE '?' END || 'trace=bench_' || lpad(CAST(seq_id % 10000 AS VARCHAR), 4, '0') AS uri, regexp_replace(uri, '[^A-Za-z0-9_.:-]', '_', 'g') AS rule FROM r",
+    "model_requests": f"{_sql(REQUESTS)} SELECT file_id, seq_id, method, uri, status_code FROM r WHERE seq_id = 42",
     "bm25": _bm25(),
     "document_search": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id DESC LIMIT 20",
     "set_operations": """WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions import http, labels
+from palisade.functions import http, labels, times
 from palisade.operators import mutations, pairing, ranking
 from palisade.plans import dashboard, evaluation, events, retrieval
 from palisade.sources import canonical
@@ -185,6 +185,38 @@ def set_operations(s: SparkSession, d: str) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+def refused_requests(s: SparkSession, d: str) -> DataFrame:
+    """Events of sources that are blocked now, by node."""
+    blocked = T.blocked_ips(s, d).select(F.col("ip_address").alias("source_ip"))
+    return T.security_events(s, d).join(blocked, "source_ip", "left_semi").groupBy("target_node").agg(F.count("*").alias("refused"))
+
+
+def admitted_requests(s: SparkSession, d: str) -> DataFrame:
+    blocked = T.blocked_ips(s, d).select(F.col("ip_address").alias("source_ip"))
+    return T.security_events(s, d).join(blocked, "source_ip", "left_anti").groupBy("target_node").agg(F.count("*").alias("admitted"))
+
+
+def score_summary(s: SparkSession, d: str) -> DataFrame:
+    return _scores(s, d).groupBy("file_id").agg(F.min("score").alias("least"), F.max("score").alias("most"), F.round(F.avg("score"), 6).alias("mean"), F.count("*").alias("total"))
+
+
+def lenient_times(s: SparkSession, d: str) -> DataFrame:
+    """Order dates written in several ways and read back; every 50th is unreadable and becomes ``AS_OF``."""
+    n, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(n % 50 == 0, "soon").when(n % 4 == 0, F.concat(day, F.lit("T00:00:00Z"))).when(n % 4 == 1, F.concat(day, F.lit(" 00:00"))).when(n % 4 == 2, F.concat(day, F.lit("T00:00:00.250+08:00"))).otherwise(F.concat(day, F.lit(" 00:00:00")))
+    return T.stored(s, d, "orders").select("o_orderkey", times.shown(times.lenient(text, F.lit(T.AS_OF).cast("timestamp"))).alias("shown"))
+
+
+def traced_uris(s: SparkSession, d: str) -> DataFrame:
+    r = T.requests(s, d)
+    return r.select("seq_id", times.with_trace(F.col("uri"), F.format_string("bench_%04d", (F.col("seq_id") % 10000).cast("int"))).alias("uri"), times.rule_name(F.col("uri")).alias("rule"))
+
+
+def model_requests(s: SparkSession, d: str) -> DataFrame:
+    """One request by its key: the filter reaches the scan."""
+    return T.requests(s, d).where("seq_id = 42").select("file_id", "seq_id", "method", "uri", "status_code")
+
+
 def canonical_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Requests written as batches of canonical text and read again."""
     r = ranking.micro_batches(T.requests(s, d), 4)
@@ -252,6 +284,7 @@ QUERIES: dict[str, Query] = {
         inferred_attacks, risk_levels, attack_results, public_sources, static_requests, query_terms, host_names, masked_documents, flow_features,
         candidate_requests, merged_sources, micro_batches, paired_by_frame, orphan_responses, paired_in_order, upserted_events, acknowledged,
         batch_status, blocked_upsert, unblocked, exported_cases, config_seed, score_coverage, document_search, set_operations,
-        canonical_round_trip, case_states, retry_states,
+        canonical_round_trip, case_states, retry_states, refused_requests, admitted_requests, score_summary, lenient_times,
+        traced_uris, model_requests,
     )
 }
