@@ -139,18 +139,17 @@ def units(texts: pa.Array, v: Vocabulary) -> Units:
 
 
 class Lattice(NamedTuple):
-    """Edges by their end: node n has edges[first[n]:first[n + 1]], with running shares of its forward sum."""
+    """Edges by their end: those of node n are first[n]:first[n + 1]; byte e of unit u is node base[e] + u."""
 
-    node: np.ndarray  # a unit's start node; its end node lies its length further in steps of ``jump``
     first: np.ndarray
-    share: np.ndarray
+    share: np.ndarray  # running shares of the node's forward sum
     piece: np.ndarray
     size: np.ndarray
-    base: np.ndarray  # base[e]: nodes that end at byte e of their units
+    base: np.ndarray
 
 
 def lattice(data: np.ndarray, start: np.ndarray, length: np.ndarray, v: Vocabulary) -> Lattice:
-    """Forward sums of units sorted by falling length; node base[e] + u is byte e of unit u."""
+    """Forward sums of units sorted by falling length."""
     most = int(length[0])
     live = np.searchsorted(-length, -np.arange(most + 1), "right")  # live[e]: units with at least e bytes
     live[0] = len(length)
@@ -188,7 +187,7 @@ def lattice(data: np.ndarray, start: np.ndarray, length: np.ndarray, v: Vocabula
         at = fill[end]
         piece[at], size[at], share[at] = p, s, part / total[end]
         fill[end] += 1
-    return Lattice(np.arange(len(length)), first, share, piece, size, base)
+    return Lattice(first, share, piece, size, base)
 
 
 def _uniform(key: np.ndarray, step: int) -> np.ndarray:

@@ -308,12 +308,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        last = None
         for whole in batches:
             for b in W.pieces(whole, most=SLICE):
-                last = b.schema.get_field_index("text")
-                score = pa.array(model.scores(b.column(last)))
+                score = pa.array(shared.value.scores(b.column(b.schema.get_field_index("text"))))
                 yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, "score"])
 
     return run
