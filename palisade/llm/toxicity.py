@@ -14,7 +14,7 @@ so the network sees evidence as it is on new texts. All training is numpy, on a
 bounded sample (``MOST`` labelled rows of each class).
 
 Defined cases: null texts and texts without words score 0; repeated rows score
-alike; without both labels every text scores 0; very long texts are read in
+alike; without both labels, or words under them, every text scores 0; very long texts are read in
 whole, window by window; extra columns are ignored.
 """
 
@@ -37,6 +37,7 @@ GRAMS = (4, 5, 6)  # bytes, with the word's borders
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
 EPOCHS, BATCH = 6, 128
+CHUNK = 250  # training texts spelt out at once
 SLICE = 3 << 20  # bytes of text scored at once
 INPUTS = 6
 
@@ -70,9 +71,9 @@ def lexicon(texts: pa.Array) -> Lexicon:
     left = np.repeat(first[1:], size + 2) - np.arange(len(data))
     value = data.astype(np.uint64) + np.uint64(7)
     rolling, grams = np.zeros(len(data), np.uint64), []
-    for n in range(1, min(max(GRAMS), len(data)) + 1):
+    for n in range(1, max(GRAMS) + 1):
         rolling = rolling * np.uint64(0x100000001B3)
-        rolling[: len(data) - n + 1] += value[n - 1 :]
+        rolling[: max(0, len(data) - n + 1)] += value[n - 1 :]
         if n in GRAMS:
             grams.append(np.where(left >= n, _slots(W.mix(rolling + np.uint64(n << 40))), _NONE))
     return Lexicon(h, first, grams, inverse, w.first)
@@ -80,14 +81,15 @@ def lexicon(texts: pa.Array) -> Lexicon:
 
 def evidence(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tables of log odds of words and of n-grams, from the documents that have them, shrunk where these are few."""
-    lex = lexicon(pa.array(texts, pa.string()))
     counts = np.zeros((2, 2, _NONE + 1))
-    for i, y in enumerate(labels):  # documents of the bounded sample
-        used = np.unique(lex.index[lex.at[i] : lex.at[i + 1]])
-        counts[0, y, np.unique(_slots(lex.word[used]))] += 1
-        size = np.diff(lex.first)[used]
-        inside = np.repeat(lex.first[used] - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
-        counts[1, y, np.unique(np.concatenate([g[inside] for g in lex.grams]))] += 1
+    for begin in range(0, len(texts), CHUNK):
+        lex = lexicon(pa.array(texts[begin : begin + CHUNK], pa.string()))
+        for i, y in enumerate(labels[begin : begin + CHUNK]):  # documents of the bounded sample
+            used = np.unique(lex.index[lex.at[i] : lex.at[i + 1]])
+            counts[0, y, np.unique(_slots(lex.word[used]))] += 1
+            size = np.diff(lex.first)[used]
+            inside = np.repeat(lex.first[used] - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
+            counts[1, y, np.unique(np.concatenate([g[inside] for g in lex.grams]))] += 1
     total = np.bincount(labels, minlength=2)
     tables = []
     for clean, toxic in counts:
@@ -222,52 +224,64 @@ class Model:
         pick = lambda mask: [t for t, m in zip(texts, mask, strict=True) if m]
         self.tables = evidence(pick(learn), y[learn])
         rest = ~learn if len(set(y[~learn].tolist())) == 2 else learn
-        lex = lexicon(pa.array(pick(rest), pa.string()))
-        x, y = inputs(lex, self.tables), y[rest]
-        start, first = windows(lex.at)
-        ids = self._ids(lex, start, first)
-        strength = x[:4].sum(0)[ids].max(1)
-        chosen, target = [], []
-        for i in range(len(y)):
-            span = np.arange(first[i], first[i + 1])
-            if len(span):
-                best = span[np.argsort(-strength[span], kind="stable")]
-                these = best[:1] if y[i] else np.append(best[:2], rng.choice(span))
-                chosen += these.tolist()
-                target += [y[i]] * len(these)
-        chosen, target = np.array(chosen), np.array(target, np.float32)
+        texts, y = pick(rest), y[rest]
+        seen, pads, target = zip(*[self._windows(texts[i : i + CHUNK], y[i : i + CHUNK], rng) for i in range(0, len(texts), CHUNK)], strict=True)
+        seen, pads, target = np.concatenate(seen, 2), np.concatenate(pads, 1), np.concatenate(target)
+        self.ready = len(target) > 0
+        if not self.ready:
+            return
         self.net = Network(seed)
         weight = np.where(target == 1, np.sqrt((target == 0).sum() / max(1, target.sum())), 1).astype(np.float32)
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.p.items()}
         step = 0
-        for _ in range(max(EPOCHS, min(60, 40_000 // max(1, len(chosen))))):
-            for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // BATCH)):
-                these = ids[chosen[part]].T
-                seen = np.stack([x[:, i] for i in these])
-                gates = {d: lambda t, d=d: self.net.p[f"x{d}"] @ seen[t] for d in "fb"}
-                out, kept = self.net.logits(gates, these == x.shape[1] - 1, keep=True)
+        for _ in range(max(EPOCHS, min(60, 40_000 // max(1, len(target))))):
+            for part in np.array_split(rng.permutation(len(target)), max(1, len(target) // BATCH)):
+                x = seen[:, :, part]
+                gates = {d: lambda t, d=d: self.net.p[f"x{d}"] @ x[t] for d in "fb"}
+                out, kept = self.net.logits(gates, pads[:, part], keep=True)
                 dy = (_sigmoid(out) - target[part]) * weight[part] / weight[part].sum()
                 step += 1
-                for k, g in self.net.gradients(dy.astype(np.float32), seen, kept).items():
+                for k, g in self.net.gradients(dy.astype(np.float32), x, kept).items():
                     a, b = moment[k]
                     a += 0.1 * (g - a)
                     b += 0.01 * (g * g - b)
                     self.net.p[k] -= (0.01 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8) + 1e-5 * self.net.p[k]).astype(np.float32)
         # calibration: logistic regression of the labels on the documents' largest logits
-        z = self._largest(lex, x)
+        z = np.concatenate([self._logits(pa.array(texts[i : i + CHUNK], pa.string())) for i in range(0, len(texts), CHUNK)])
         use = np.isfinite(z)
         z, y = z[use], y[use]
-        self.scale, self.shift = 1.0, 0.0
-        spread = max(1e-6, z.std())
-        z = (z - z.mean()) / spread
+        mean, spread = z.mean(), max(1e-6, z.std())
+        z = (z - mean) / spread
         a, b = 1.0, 0.0
         balance = np.where(y == 1, (y == 0).sum() / max(1, (y == 1).sum()), 1.0) ** 0.5
         for _ in range(300):
             q = _sigmoid(a * z + b)
             a, b = a - 0.5 * np.average((q - y) * z, weights=balance) - 1e-4 * a, b - 0.5 * np.average(q - y, weights=balance)
-        mean = self._largest(lex, x)[use].mean()
         self.scale, self.shift = a / spread, b - a * mean / spread
 
+    def _windows(self, texts: list[str], y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs (steps, INPUTS, windows), padding and labels of the windows that stand for some training texts."""
+        lex = lexicon(pa.array(texts, pa.string()))
+        x = inputs(lex, self.tables)
+        start, first = windows(lex.at)
+        ids = self._ids(lex, start, first)
+        strength = x[:4].sum(0)[ids].max(1)
+        chosen, target = [], []
+        for i in range(len(y)):
+            span = np.arange(first[i], first[i + 1])
+            if len(span):
+                best = span[np.argsort(-strength[span], kind="stable")]
+                these = best[:1] if y[i] else np.append(best[:2], rng.choice(span))
+                chosen += these.tolist()
+                target += [y[i]] * len(these)
+        ids = ids[np.array(chosen, np.int64)].T
+        return np.stack([x[:, i] for i in ids]), ids == len(lex.word), np.array(target, np.float32)
+
+    def _logits(self, texts: pa.Array) -> np.ndarray:
+        """Largest logit of each text; -inf without words."""
+        lex = lexicon(texts)
+        return self._largest(lex, inputs(lex, self.tables))
+
     @staticmethod
     def _ids(lex: Lexicon, start: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Places of the words of each window in the lexicon; its length where there is no word."""
@@ -297,8 +311,7 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if not self.ready:
             return np.zeros(len(texts))
-        lex = lexicon(texts)
-        best = self._largest(lex, inputs(lex, self.tables))
+        best = self._logits(texts)
         return np.where(np.isfinite(best), _sigmoid(self.scale * np.where(np.isfinite(best), best, 0) + self.shift), 0.0)
 
 

@@ -59,6 +59,14 @@ def test_nulls_empty_long_and_unlabelled(spark, model):
     assert model.kept(docs, labels.where("false")).count() == 60
 
 
+def test_tiny_texts_and_training_without_words():
+    model = toxicity.Model(["", "", "  "], [0, 1, 0])
+    assert not model.ready and model.scores(pa.array(["a"])).tolist() == [0.0]
+    model = toxicity.Model(["bad word", "good", "fine x"], [1, 0, 0])
+    for texts in (["a"], ["", None], ["bad", "x y"]):
+        assert all(0 <= x <= 1 for x in model.scores(pa.array(texts, pa.string())))
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = toxicity.Network(3)
