@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import words as W
+from palisade.llm.frequent import most_frequent
 from palisade.llm.store import Stages
 
 STATES = 8
@@ -280,7 +281,7 @@ def scored(docs: DataFrame, seed: int = 5) -> DataFrame:
     vocabulary = stages.keep(counted.groupBy("token", "bucket").agg(F.sum("c").alias("c")))
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     whole, extra = float(total["n"]) + 0.5 * (total["v"] + 1), 0.5
-    often = vocabulary.orderBy(F.desc("c"), "token").limit(LISTED).toPandas()
+    often = most_frequent(vocabulary, "c", LISTED).toPandas().sort_values(["c", "token"], ascending=[False, True])
     token = often["token"].to_numpy(np.int64).view(np.uint64)
     log_base = np.log10((often["c"].to_numpy(np.int64) + extra) / whole)
     classes = Classes(token[:FREQUENT])
@@ -291,9 +292,10 @@ def scored(docs: DataFrame, seed: int = 5) -> DataFrame:
     np.subtract.at(mass, often["bucket"].to_numpy()[:FREQUENT], share)
     mass = np.concatenate([share, np.maximum(mass, 0) + extra / whole])
     model = Model(classes, mass, seed)
-    sample = [r["text"] for r in train.where("length(text) > 40").limit(SAMPLE).collect()]
+    heads = train.where("length(text) > 40").select(F.substring("text", 1, 16 * TAIL).alias("text"))
+    sample = [r["text"] for r in heads.limit(SAMPLE).collect()]
     if sample:
-        h, tail, first = _tokens(pa.array([" ".join(x[: 16 * TAIL].split()[:TAIL]) for x in sample]))
+        h, tail, first = _tokens(pa.array([" ".join(x.split()[:TAIL]) for x in sample]))
         c = classes.of(h, tail)
         for _ in range(STARTS):
             model.learn(*expected(c, first, *model.parts()))
