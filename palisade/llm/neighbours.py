@@ -159,39 +159,50 @@ def _pack(shared, size: int, most: int | None):
 
 
 class Best:
-    """The k best candidates of each query so far."""
+    """The k best candidates of each query so far; ``least`` is what a further one has to reach."""
 
     def __init__(self, k: int):
-        self.k, self.held, self.n, self.least = k, [], 0, {}
+        self.k, self.held, self.n, self.most = k, [], 0, 500_000
+        self.slot, self.least = {}, np.full(1024, -np.inf)
+
+    def _slots(self, qids: np.ndarray) -> np.ndarray:
+        slots = np.array([self.slot.setdefault(q, len(self.slot)) for q in qids.tolist()], np.int64)
+        if len(self.slot) > len(self.least):
+            self.least = np.concatenate([self.least, np.full(len(self.slot), -np.inf)])
+        return slots
 
     def add(self, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, leaf: int) -> None:
         rough = q @ x.T
-        for i, qid in enumerate(qids.tolist()):
-            s = rough[i]
-            low = self.least.get(qid, -np.inf)
-            if len(s) > 2 * self.k:
-                low = max(low, np.partition(s, len(s) - self.k - 1)[len(s) - self.k - 1])
-            near = np.flatnonzero(s >= low - 1e-9 * (1 + abs(low)) if np.isfinite(low) else np.ones(len(s), bool))
-            near = near[ids[near] != qid]
-            if not len(near):
-                continue
-            exact = (x[near] * q[i]).sum(1)
-            if len(near) > self.k:
-                near, exact = (c[np.lexsort((ids[near], -exact))[: self.k]] for c in (near, exact))
-            if len(near) == self.k:
-                self.least[qid] = max(low, float(exact.min()))
-            self.held.append((np.full(len(near), qid), ids[near], exact, np.full(len(near), leaf)))
-            self.n += len(near)
-
-    def rows(self) -> pa.RecordBatch:
+        rough[qids[:, None] == ids[None, :]] = -np.inf
+        slots = self._slots(qids)
+        low = self.least[slots]
+        if len(ids) > self.k:
+            at = len(ids) - self.k
+            low = np.maximum(low, np.partition(rough, at, axis=1)[:, at])
+            self.least[slots] = low
+        near = (rough >= (low - 1e-9 * (1 + np.abs(np.where(np.isfinite(low), low, 0))))[:, None]) & np.isfinite(rough)
+        row, column = np.nonzero(near)
+        if len(row):
+            exact = np.concatenate([(x[column[i : i + 4096]] * q[row[i : i + 4096]]).sum(1) for i in range(0, len(row), 4096)])
+            self.held.append((qids[row], ids[column], exact, np.full(len(row), leaf)))
+            self.n += len(row)
+        if self.n > self.most:
+            self._prune()
+            self.most = max(500_000, 2 * self.n)
+
+    def _prune(self) -> None:
         qid, ids, score, leaf = (np.concatenate(c) for c in zip(*self.held, strict=True))
         order = np.lexsort((ids, -score, qid))
         qid, ids, score, leaf = qid[order], ids[order], score[order], leaf[order]
         start = np.flatnonzero(np.append(True, qid[1:] != qid[:-1]))
-        rank = np.arange(len(qid)) - np.repeat(start, np.diff(np.append(start, len(qid))))
-        keep = rank < self.k
-        self.held, self.n, self.least = [], 0, {}
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (qid.astype(np.int64), ids, score, leaf.astype(np.int32))], ["query_id", "vec_id", "score", "leaf"])
+        keep = np.arange(len(qid)) - np.repeat(start, np.diff(np.append(start, len(qid)))) < self.k
+        self.held, self.n = [(qid[keep], ids[keep], score[keep], leaf[keep])], int(keep.sum())
+
+    def rows(self) -> pa.RecordBatch:
+        self._prune()
+        qid, ids, score, leaf = self.held[0]
+        self.held, self.n, self.slot, self.least = [], 0, {}, np.full(1024, -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (qid.astype(np.int64), ids, score, leaf.astype(np.int32))], ["query_id", "vec_id", "score", "leaf"])
 
 
 _FOUND = "query_id long, vec_id long, score double, leaf int"
