@@ -15,9 +15,10 @@ as its bucket's unknown word, with the base model's half a count; the model's
 outcomes are the known words and one unknown word for each bucket, and their
 probabilities add up to 1 in every state.
 
-Training is Baum-Welch. The first few rounds run on a bounded sample only to
-choose starting values; then each round reads all training texts, every
-partition sums its expected counts, and these are added up by class. Words are
+Training is Baum-Welch from seeded emissions around the base model. Each round
+reads all training texts, every partition sums its expected counts, and these
+are added up by class; rounds go on until the summed likelihood of the training
+texts rises by no more than ``RISE`` of itself. Words are
 counted, and words outside the frequent classes joined, by shuffles that grow
 with the corpus; only the frequent words (a bounded number) are broadcast.
 
@@ -43,9 +44,7 @@ STATES = 8
 FREQUENT = 20_000  # words that are classes of their own
 LISTED = 200_000  # words whose counts are broadcast; the counts of all others are joined
 BUCKETS = 64  # classes of all other words
-SAMPLE = 600  # texts for the starting values, of TAIL tokens at most each
-TAIL = 400
-STARTS, ROUNDS = 12, 2
+RISE = 1e-4  # training ends when a round raises the summed log likelihood by no more than this share
 LANES = 512  # texts scored at once
 SEGMENT = 50_000  # tokens; longer training texts are cut there for the expected counts, never for scores
 END = np.uint64(0xE7037ED1A0B428DB)  # the end token's hash
@@ -133,7 +132,12 @@ def forward(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.
 
 def expected(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions over whole texts (forward-backward)."""
-    k = len(start)
+    return gathered(classes, first, start, move, emit)[:3]
+
+
+def gathered(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The expected counts and the summed log10 likelihood."""
+    k, likelihood = len(start), 0.0
     if len(first) > 1 and np.diff(first).max() > SEGMENT:
         cuts = [np.arange(a, b, SEGMENT) for a, b in zip(first[:-1], first[1:], strict=True)]
         first = np.append(np.concatenate(cuts), first[-1])
@@ -154,6 +158,7 @@ def expected(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np
             scale[rows] = now.sum(1)
             state[:n] = now / scale[rows, None]
             alpha[rows] = state[:n]
+        likelihood += float(np.log10(scale).sum())
         beta = np.ones((len(lot), k))
         gamma = np.empty_like(alpha)
         for t in range(steps - 1, -1, -1):
@@ -168,7 +173,7 @@ def expected(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np
         starts += gamma[: live[0]].sum(0)
         for s in range(k):
             emits[:, s] += np.bincount(seen_class, gamma[:, s], len(emit))
-    return starts, moves * move, emits
+    return starts, moves * move, emits, likelihood
 
 
 class Model:
@@ -216,7 +221,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _expected(shared):
-    """Rows (class, state, count) of a partition's expected counts; class -1 - s has the moves from state s, -1000 the starts."""
+    """Rows (class, state, count) of a partition's expected counts; class -1 - s has the moves from state s, -1000 the starts, -1001 the likelihood in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, model = shared.value
@@ -224,11 +229,11 @@ def _expected(shared):
         for whole in batches:
             for b in W.pieces(whole):
                 h, tail, first = _tokens(b.column(0))
-                made = expected(classes.of(h, tail), first, *model)
+                made = gathered(classes.of(h, tail), first, *model)
                 total = made if total is None else tuple(x + y for x, y in zip(total, made, strict=True))
         if total is not None:
-            rows = np.concatenate([total[0][None], total[1], total[2]])
-            label = np.concatenate([[-1000], -1 - np.arange(STATES), np.arange(len(total[2]))])
+            rows = np.concatenate([np.full((1, STATES), total[3]), total[0][None], total[1], total[2]])
+            label = np.concatenate([[-1001, -1000], -1 - np.arange(STATES), np.arange(len(total[2]))])
             used = rows.any(1)
             yield pa.RecordBatch.from_arrays([pa.array(label[used], pa.int32()), *[pa.array(rows[used, s]) for s in range(STATES)]], ["class", *[f"s{s}" for s in range(STATES)]])
 
@@ -292,24 +297,24 @@ def scored(docs: DataFrame, seed: int = 5) -> DataFrame:
     np.subtract.at(mass, often["bucket"].to_numpy()[:FREQUENT], share)
     mass = np.concatenate([share, np.maximum(mass, 0) + extra / whole])
     model = Model(classes, mass, seed)
-    heads = train.where("length(text) > 40").select(F.substring("text", 1, 16 * TAIL).alias("text"))
-    sample = [r["text"] for r in heads.limit(SAMPLE).collect()]
-    if sample:
-        h, tail, first = _tokens(pa.array([" ".join(x.split()[:TAIL]) for x in sample]))
-        c = classes.of(h, tail)
-        for _ in range(STARTS):
-            model.learn(*expected(c, first, *model.parts()))
     names = [f"s{s}" for s in range(STATES)]
-    for _ in range(ROUNDS):
+    reached = -np.inf
+    while True:
         shared = spark.sparkContext.broadcast((classes, model.parts()))
         rows = train.mapInArrow(_expected(shared), "class int, " + ", ".join(f"{x} double" for x in names))
         sums = rows.groupBy("class").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
-        if len(sums):
-            label, value = sums["class"].to_numpy(), sums[names].to_numpy()
-            moves, emits = np.zeros((STATES, STATES)), np.zeros((classes.size, STATES))
-            moves[-1 - label[(label < 0) & (label > -1000)]] = value[(label < 0) & (label > -1000)]
-            emits[label[label >= 0]] = value[label >= 0]
-            model.learn(value[label == -1000].sum(0), moves, emits)
+        shared.unpersist()
+        if not len(sums):
+            break
+        label, value = sums["class"].to_numpy(), sums[names].to_numpy()
+        moves, emits = np.zeros((STATES, STATES)), np.zeros((classes.size, STATES))
+        moves[-1 - label[(label < 0) & (label > -1000)]] = value[(label < 0) & (label > -1000)]
+        emits[label[label >= 0]] = value[label >= 0]
+        likelihood = float(value[label == -1001, 0].sum())
+        if likelihood - reached <= RISE * abs(likelihood):
+            break
+        reached = likelihood
+        model.learn(value[label == -1000].sum(0), moves, emits)
     shared = spark.sparkContext.broadcast((classes, model.parts(), np.log10(mass), Table(token), log_base))
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     kinds = "row long, doc_id long, token long, times long, n_tokens long, listed long, partial double, inside double"

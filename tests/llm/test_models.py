@@ -114,6 +114,14 @@ def test_language_model_counts_and_beats_the_base(spark, small, monkeypatch):
     assert language_model.scored(docs.where("false")).count() == 0
 
 
+def test_language_model_does_not_depend_on_which_rows_come_first(spark):
+    rng = random.Random(3)
+    kinds = [[f"{c}{i}word" for i in range(30)] for c in "ab"]
+    rows = [(i, " ".join(rng.choice(kinds[i // 800]) for _ in range(20))) for i in range(1600)]
+    one, other = ({r.doc_id: r.score for r in language_model.scored(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, rows[::-1]))
+    assert all(one[i] == pytest.approx(other[i], rel=1e-6) for i in one)
+
+
 def test_forward_equals_the_sum_over_all_state_paths():
     rng = np.random.default_rng(5)
     k, m = 3, 4
