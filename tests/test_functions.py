@@ -1,8 +1,11 @@
 """Column functions, parsers and operators on small tables of cases."""
 
 import math
+import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +100,26 @@ def test_stream_pairs_like_the_batch(spark, small):
     assert {tuple(r) for r in jobs.paired_packets(spark, small).collect()} == batch
 
 
+def many_files(folder, name, tables):
+    """A table in part files with rising modification times."""
+    (folder / f"{name}.parquet").mkdir()
+    for i, t in enumerate(tables):
+        path = folder / f"{name}.parquet" / f"part-{i:03d}.parquet"
+        pq.write_table(pa.table(t), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    return str(folder)
+
+
+def test_hourly_counts_of_many_files_lose_no_event(spark, tmp_path):
+    # each later file has older events
+    files = [{"ts": [f"2024-01-{20 - i:02d} 0{h}:10:00" for h in (1, 1, 2)] + ["2024-01-15 05:00:00"], "event_type": ["a", "a", "b", "a"], "value": [90.0, 1.0, 2.0, 80.0]} for i in range(20)]
+    got = {(r.hour, r.event_type): (r.total, r.high) for r in jobs.hourly_counts(spark, many_files(tmp_path, "events", files)).collect()}
+    want = {("2024-01-15 05:00:00", "a"): (20, 20)}
+    for i in range(20):
+        want |= {(f"2024-01-{20 - i:02d} 01:00:00", "a"): (2, 1), (f"2024-01-{20 - i:02d} 02:00:00", "b"): (1, 0)}
+    assert got == want
+
+
 def test_upsert_is_idempotent_and_keeps_columns(spark):
     base = spark.createDataFrame([(1, "a", "mine"), (2, "b", None)], "k int, v string, note string")
     delta = spark.createDataFrame([(2, None, "new"), (3, "c", "new")], "k int, v string, note string")
