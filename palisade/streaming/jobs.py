@@ -7,6 +7,7 @@ a file is taken once, and a restart goes on where the last one ended.
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,8 +17,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.operators import mutations
 
-PENDING = 1024  # unanswered requests kept for a stream; older ones are given up
-
 
 def folder(spark: SparkSession) -> str:
     """A new folder among those that all executors share."""
@@ -76,16 +75,16 @@ def latest_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Requests wait in a queue; a response answers the oldest one. State: the places of waiting requests."""
-    waiting = list(state.get[0]) if state.exists else []
+    """Requests wait in a queue; a response answers the oldest one. State: the places of all waiting requests."""
+    waiting = deque(state.get[0] if state.exists else ())
     rows = pd.concat(list(frames)).sort_values("place")
     out = []
     for place, is_request in zip(rows["place"].tolist(), rows["is_request"].tolist(), strict=True):
         if is_request:
             waiting.append(place)
         elif waiting:
-            out.append((key[0], waiting.pop(0), place))
-    state.update((waiting[-PENDING:],))
+            out.append((key[0], waiting.popleft(), place))
+    state.update((list(waiting),))
     yield pd.DataFrame(out, columns=["stream", "request_place", "response_place"])
 
 

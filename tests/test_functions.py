@@ -120,6 +120,15 @@ def test_hourly_counts_of_many_files_lose_no_event(spark, tmp_path):
     assert got == want
 
 
+def test_stream_keeps_all_pending_requests(spark, tmp_path):
+    turns = [(i, "user") for i in range(3000)] + [(i, "assistant") for i in range(3000, 5500)]
+    files = [{"conv_id": [7] * 250, "turn": [i for i, _ in turns[a : a + 250]], "role": [r for _, r in turns[a : a + 250]]} for a in range(0, 5500, 250)]
+    folder = many_files(tmp_path, "conversations", files)
+    packets = spark.read.parquet(f"{folder}/conversations.parquet").select(F.col("conv_id").alias("stream"), F.col("turn").alias("place"), (F.col("role") == "user").alias("is_request"))
+    want = sorted((r.stream, r.request_place, r.response_place) for r in pairing.in_order(packets).collect())
+    assert len(want) == 2500 and sorted(map(tuple, jobs.paired_packets(spark, folder).collect())) == want
+
+
 def test_upsert_is_idempotent_and_keeps_columns(spark):
     base = spark.createDataFrame([(1, "a", "mine"), (2, "b", None)], "k int, v string, note string")
     delta = spark.createDataFrame([(2, None, "new"), (3, "c", "new")], "k int, v string, note string")
