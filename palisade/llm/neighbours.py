@@ -5,7 +5,8 @@ and all vectors of a leaf lie together. A query walks the tree with a priority
 queue: the node with the largest expected inner product is opened next, and
 leaves come out in the order in which they promise most. How many leaves are
 visited is calibrated: a set of queries is compared with all vectors in blocks,
-and visits widen until their neighbours found reach ``RECALL``.
+and visits widen until their neighbours found reach ``RECALL``. A walk goes on
+beyond that until its leaves hold k vectors besides the rows of the query's own id.
 
 Query rows and vectors meet by a shuffle on the leaf. A leaf with many vectors
 is split by a salt, to which its queries are copied. Scores of what is found
@@ -44,13 +45,18 @@ PACK = 1 << 16  # vectors held before packing
 
 def valid(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of the rows that take part."""
+    return _valid(batch, size)[:2]
+
+
+def _valid(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and places of the rows that take part."""
     ids, lists = batch.column(0), batch.column(1)
     fits = pc.and_(pc.fill_null(pc.equal(pc.list_value_length(lists), size), False), ids.is_valid())
     ids, lists = ids.filter(fits), lists.filter(fits)
     values = lists.flatten()
     x = pc.fill_null(values.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False).reshape(-1, size)
     ok = np.isfinite(x).all(1) & x.any(1)
-    return ids.to_numpy(zero_copy_only=False)[ok], x[ok]
+    return ids.to_numpy(zero_copy_only=False)[ok], x[ok], np.flatnonzero(fits.to_numpy(zero_copy_only=False))[ok]
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +112,15 @@ class Tree:
                 todo += [(child, rows[near == j]) for j, child in enumerate(self.children[node])]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of the priority queue, at most ``most``."""
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in the order of the priority queue: ``most``, and more until they hold ``least`` vectors; ``held`` has those of each leaf."""
         length = float(np.sqrt(q @ q))
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue, out, met = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or met < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                met += 0 if held is None else int(held[out[-1]])
                 continue
             promise = self.centres[node] @ q + 0.5 * length * self.spread[node] / np.sqrt(len(q)) * 3
             for p, child in zip(promise.tolist(), self.children[node], strict=True):
@@ -121,14 +128,17 @@ class Tree:
         return out
 
 
-def _pack(shared, size: int, most: int | None):
-    """Rows (leaf, n, ids, vectors): vectors by their leaf or, with ``most``, queries by each leaf they visit."""
+def _pack(shared, size: int, most: int | None, counts=None, k: int = 0):
+    """Rows (leaf, n, ids, vectors): vectors by their leaf or, with ``most``, queries by each leaf they visit.
+
+    ``counts`` has the vectors of each leaf; a third column of queries, the rows of their own id.
+    """
 
-    def flush(tree: Tree, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def flush(tree: Tree, ids: np.ndarray, x: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         if most is None:
             rows, leaf = np.arange(len(ids)), tree.place(x)
         else:
-            walks = [tree.visits(q, most) for q in x]
+            walks = [tree.visits(q, most, counts.value, k + n) for q, n in zip(x, own.tolist(), strict=True)]
             rows, leaf = np.repeat(np.arange(len(ids)), [len(v) for v in walks]), np.array([v for w in walks for v in w], np.int32)
         order = np.argsort(leaf, kind="stable")
         rows, leaf = rows[order], leaf[order]
@@ -147,8 +157,10 @@ def _pack(shared, size: int, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            held.append(valid(b, size))
-            n += len(held[-1][0])
+            ids, x, ok = _valid(b, size)
+            own = np.ones(len(ids), np.int64) if most is None else b.column(2).to_numpy(zero_copy_only=False)[ok]
+            held.append((ids, x, own))
+            n += len(ids)
             if n >= (PACK if most is None else 2048):
                 yield flush(shared.value, *(np.concatenate(c) for c in zip(*held, strict=True)))
                 held, n = [], 0
@@ -284,7 +296,13 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
     leaves = packed.groupBy("leaf").agg(salts.alias("salts"))
     leaves = F.broadcast(leaves)  # one row for each leaf, at most MOST_LEAVES and a few
     held = packed.join(leaves, "leaf").select("leaf", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int").alias("salt"), "ids", "vectors")
-    asked = queries.mapInArrow(_pack(shared, size, most), "leaf int, n long, ids binary, vectors binary").join(leaves, "leaf")
+    counts = np.zeros(tree.leaves, np.int64)
+    for r in packed.groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        counts[r["leaf"]] = r["n"]
+    copies = rows.groupBy("vec_id").agg(F.count("*").alias("own"))
+    queries = queries.join(copies, "vec_id").select("vec_id", "embedding", "own")  # copies of its own id are no candidates of a query
+    walks = _pack(shared, size, most, spark.sparkContext.broadcast(counts), k)
+    asked = queries.mapInArrow(walks, "leaf int, n long, ids binary, vectors binary").join(leaves, "leaf")
     asked = asked.select("leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     met = asked.join(held, ["leaf", "salt"]).select("leaf", "query_ids", "queries", "ids", "vectors")
     found = _top(met.mapInArrow(_search(size, k), _FOUND), k)

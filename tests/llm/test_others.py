@@ -104,6 +104,17 @@ def test_neighbours_reach_recall_and_break_ties(spark, small):
     assert neighbours.nearest(vectors.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_groups_of_copies_and_single_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 5)
+    rng = np.random.default_rng(4)
+    groups = np.repeat(rng.normal(size=(40, 16)), 50, axis=0)
+    x = np.concatenate([groups, rng.normal(size=(20, 16))])
+    x[:2000, 8:], x[2000:, :8] = 0, 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2015, x[2015].tolist())] * 30
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0).groupBy("query_id").count().collect()
+    assert len(got) == 404 and {r["count"] for r in got if r.query_id != 2015} == {20} and [r["count"] for r in got if r.query_id == 2015] == [20]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.vocabulary()
