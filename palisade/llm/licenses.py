@@ -45,7 +45,7 @@ class Template:
     """Token automaton: bit i is set when the first i places are matched. ``words[w]``: bits from which w leads one on."""
 
     def __init__(self, wording: str):
-        self.words, self.skips, self.any, self.size = {}, [], 0, 0
+        self.words, self.skips, self.any, self.size, self.mandatory = {}, [], 0, 0, set()
         for part in re.findall(r"\[[^\]]*\]|\{\d+\}|[^\s\[\]{}]+", wording):
             begin = self.size
             for token in part.strip("[]").split():
@@ -57,6 +57,8 @@ class Template:
                 else:
                     word = token.encode()
                     self.words[word] = self.words.get(word, 0) | 1 << self.size
+                    if part[0] != "[":
+                        self.mandatory.add(word)
                     self.size += 1
             if part[0] == "[":
                 self.skips.append((begin, self.size))
@@ -81,9 +83,20 @@ class Template:
         return bool(bits >> self.size & 1)
 
 
-def scan(text: bytes, templates: list[tuple[str, Template]]) -> tuple:
+def needed(templates: list[tuple[str, Template]]) -> set[bytes]:
+    """Words of which every text with a phrase or an accepted template has one: a mandatory word of each, few in all."""
+    out = {b" license "}  # all phrases have it
+    for _, template in templates:
+        own = {b" " + w + b" " for w in template.mandatory} or {b" "}
+        if not out & own:
+            out.add(max(own, key=lambda w: (len(w), w)))
+    return out
+
+
+def scan(text: bytes, templates: list[tuple[str, Template]], marks: set[bytes] | None = None) -> tuple:
     words = text.translate(_TABLE).split()
-    if b"licen" not in (flat := b" " + b" ".join(words) + b" ") and b" hereby " not in flat and b" redistribut" not in flat:
+    flat = b" " + b" ".join(words) + b" "
+    if not any(m in flat for m in (needed(templates) if marks is None else marks)):
         return len(words), 0, None, None, "", "", 0.0
     found, first, last, labels = 0, None, None, set()
     for phrase, label in PHRASES:
@@ -110,12 +123,13 @@ _OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long,
 def _scans(chosen: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = [(label, Template(wording)) for label, wording in chosen]
+        marks = needed(templates)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         names = [c.split()[0] for c in _OUT.split(", ")]
         for whole in batches:
             for i in range(0, len(whole), 1000):
                 b = whole.slice(i, 1000)
-                rows = [scan(x or b"", templates) for x in b.column(1).cast(pa.binary()).to_pylist()]
+                rows = [scan(x or b"", templates, marks) for x in b.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names)
 
     return run

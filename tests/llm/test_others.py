@@ -82,6 +82,12 @@ def test_license_rows(spark, table):
     assert got[6][4:] == ("mit", "mit", 0.5)
 
 
+def test_license_templates_of_any_wording(spark, table):
+    own = (("reserved", "all rights [are] reserved"), ("public", "in the public {1} domain"))
+    rows = [(1, "All Rights Reserved"), (2, "it is in the public world domain"), (3, "rights reserved")]
+    assert {r.doc_id: (r.labels, r.score) for r in licenses.scanned(table(rows), own).collect()} == {1: ("reserved", 1.0), 2: ("public", 1.0), 3: ("", 0.0)}
+
+
 def test_neighbours_reach_recall_and_break_ties(spark, small):
     vectors = spark.read.parquet(f"{small}/embeddings.parquet")
     odd = spark.createDataFrame([(9000, None, 1), (9001, [0.0] * 64, 1), (9002, [float("nan")] * 64, 1), (9003, [1.0], 1), (None, [1.0] * 64, 1), *[(9100 + i, [0.125] * 64, 1) for i in range(40)]], "vec_id long, embedding array<float>, label int")
