@@ -86,7 +86,8 @@ def masked_documents(s: SparkSession, d: str) -> DataFrame:
 
 
 def flow_features(s: SparkSession, d: str) -> DataFrame:
-    r = T.requests(s, d).withColumn("time", F.col("seq_id").cast("double")).withColumn("resp_time", F.col("time") + F.length("response") / 100000)
+    """Over whole bodies: ``requests`` holds only an excerpt of each page as its body, as its SQL does."""
+    r = T.requests(s, d).withColumn("body", F.col("response")).withColumn("time", F.col("seq_id").cast("double")).withColumn("resp_time", F.col("time") + F.length("response") / 100000)
     return http.flow_features(r)
 
 
@@ -217,11 +218,16 @@ def model_requests(s: SparkSession, d: str) -> DataFrame:
     return T.requests(s, d).where("seq_id = 42").select("file_id", "seq_id", "method", "uri", "status_code")
 
 
+def canonical_texts(s: SparkSession, d: str) -> DataFrame:
+    """Requests with their whole responses as batches of canonical text."""
+    r = ranking.micro_batches(T.requests(s, d), 4)
+    r = r.withColumns({"request_text": F.concat(F.lit("URI="), F.col("uri"), F.lit("\n"), F.lit("HOST="), F.col("host")), "request_block": F.col("uri"), "response_block": F.col("response")})
+    return canonical.batch_texts(r)
+
+
 def canonical_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Requests written as batches of canonical text and read again."""
-    r = ranking.micro_batches(T.requests(s, d), 4)
-    r = r.withColumns({"request_text": F.concat(F.lit("URI="), F.col("uri"), F.lit("\n"), F.lit("HOST="), F.col("host")), "request_block": F.col("uri"), "response_block": F.substring("response", 1, 200)})
-    back = canonical.parsed(canonical.batch_texts(r))
+    back = canonical.parsed(canonical_texts(s, d))
     return back.select("file_id", "place", "seq_id", "method", "uri", "host", "status_code", "content_type", F.length("request_text").alias("text_length"), "request_block")
 
 

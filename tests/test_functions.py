@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from palisade import queries
 from palisade.functions import http, labels, scoring
 from palisade.operators import mutations, pairing, ranking
 from palisade.plans import evaluation, events, retrieval
@@ -129,6 +130,14 @@ def test_stream_keeps_all_pending_requests(spark, tmp_path):
     assert len(want) == 2500 and sorted(map(tuple, jobs.paired_packets(spark, folder).collect())) == want
 
 
+def test_flow_features_and_canonical_texts_hold_whole_pages(spark, tmp_path):
+    html = "x" * 600 + " password\nend"
+    folder = many_files(tmp_path, "pages", [{"page_id": [1, 51, 101, 151], "url": ["http://a.b/c"] * 4, "html": [html] * 4}])
+    row = queries.flow_features(spark, folder).where("seq_id = 1").first()
+    assert row.ct_src_ltm == 2 and row.sbytes == 100 + len("/c") + len(html) + len("agent/1") + 30 * 2
+    assert canonical.parsed(queries.canonical_texts(spark, folder)).first().response_block == html
+
+
 def test_upsert_is_idempotent_and_keeps_columns(spark):
     base = spark.createDataFrame([(1, "a", "mine"), (2, "b", None)], "k int, v string, note string")
     delta = spark.createDataFrame([(2, None, "new"), (3, "c", "new")], "k int, v string, note string")
