@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONGEST = 20_000  # characters of a training text; longer ones are left out of training, never of scoring
+TOTAL = 60_000_000  # characters of all training texts of a class; texts that no longer fit are left out of training, never of scoring
 
 
 def fold(doc_id: F.Column) -> F.Column:
@@ -14,9 +14,10 @@ def fold(doc_id: F.Column) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``most`` rows of each class whose fold is not 0.
+    """Texts and labels of at most ``most`` rows of each class whose fold is not 0, texts whole whatever their length.
 
-    The rows are chosen on ``labels`` alone, so only their ids are joined with ``docs``.
+    The rows are chosen on ``labels`` alone, so only their ids are joined with ``docs``. Their lengths are
+    read first, so that the driver never holds more than ``TOTAL`` characters of a class.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max(label).alias(label))
@@ -24,6 +25,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[l
     for value in (0, 1):
         one = known.where(F.col(label) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         some = one if some is None else some.unionByName(one)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(some), "doc_id")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id")
+    sizes = rows.groupBy("doc_id", label).agg(F.sum(F.length("text").cast("long")).alias("size"), F.xxhash64("doc_id").alias("h")).collect()
+    left, out = {0: TOTAL, 1: TOTAL}, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["size"] > left[r[label]]:
+            out.append(r["doc_id"])
+        else:
+            left[r[label]] -= r["size"]
+    if out:
+        rows = rows.where(~F.col("doc_id").isin(out))
     got = rows.select("doc_id", "text", label).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     return got["text"].tolist(), got[label].astype(int).tolist()

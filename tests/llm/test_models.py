@@ -9,7 +9,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from palisade.llm import labelled as labelled_rows
 from palisade.llm import language_model, quality, toxicity
 
 
@@ -59,6 +61,18 @@ def test_nulls_empty_long_and_unlabelled(spark, model):
     assert model.kept(docs, labels.where("false")).count() == 60
 
 
+def test_long_labelled_texts_are_trained_on_whole(spark, monkeypatch):
+    docs, labels = labelled(spark, n=60)
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.repeat("text", 500)).otherwise(F.col("text")))
+    texts, found = labelled_rows.sample(long, labels, "toxic", 100)
+    want = {r.text for r in long.collect() if r.doc_id % 5 == 0 and fold(r.doc_id) != 0}
+    assert min(map(len, want)) > 0 and max(map(len, want)) > 20_000 and {t for t, y in zip(texts, found, strict=True) if y} == want
+    assert toxicity.Model(texts, found).ready
+    monkeypatch.setattr(labelled_rows, "TOTAL", 500_000)
+    texts, found = labelled_rows.sample(long, labels, "toxic", 100)
+    assert all(sum(len(t) for t, y in zip(texts, found, strict=True) if y == c) <= 500_000 for c in (0, 1)) and len(set(found)) == 2
+
+
 def test_tiny_texts_and_training_without_words():
     model = toxicity.Model(["", "", "  "], [0, 1, 0])
     assert not model.ready and model.scores(pa.array(["a"])).tolist() == [0.0]
