@@ -154,7 +154,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.docs, self.n, self.percent = docs.select("doc_id", "text"), n, percent
-        self.stages = Stages(docs.sparkSession, "ngram-join")
+        self.stages = Stages(docs.sparkSession, "ngram-join", tidy=True)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose whole sets reach the threshold."""

@@ -8,23 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one below the warehouse where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; one below the warehouse where that is unset and Spark runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages").rstrip("/")
 
 
 class Stages:
-    """Tables that one operator writes and reads again; this cuts lineage, so a lost executor costs one stage at most."""
+    """Tables that one operator writes and reads again; this cuts lineage, so a lost executor costs one stage at most.
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+    Spark deletes a plan's shuffle files once the driver has noticed that the plan is garbage; an operator of
+    many jobs asks with ``tidy`` for that after every write, so that the files of its earlier jobs do not add up.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.root, self.n, self.tidy = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0, tidy
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet in the shared folder and return the table read from there."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        self.spark._jvm.System.gc()  # what the write shuffled is garbage now; Spark deletes those files once the driver has noticed
+        if self.tidy:
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

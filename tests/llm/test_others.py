@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 from collections import Counter
 from fnmatch import translate
 
@@ -29,9 +30,52 @@ def test_fingerprints_of_texts_and_edited_texts(spark, table):
     assert got[5].fingerprint == got[2].fingerprint == got[12].fingerprint != got[9].fingerprint
 
 
-def test_colliding_digests_are_told_apart_by_their_bytes(spark, table, monkeypatch):
-    found = spark.createDataFrame([(1, "same"), (2, "same")], "doc_id long, fingerprint string")
-    assert fingerprints.shared_digests(table([(1, "a"), (2, "A")]).select("doc_id", "text"), found).count() == 0
+def plain_form(text):
+    """The canonical form spelt out anew: NFKC around case folding, white space by a pattern."""
+    low = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    return re.sub(r"\s+", " ", low).strip()
+
+
+def weak():
+    """A digest of one bit; made inside a function, so that it travels to the workers by value."""
+    return lambda form: ("even", "odd")[len(form) % 2]
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_colliding_digests_are_told_apart_by_their_bytes(spark, table, monkeypatch, few):
+    monkeypatch.setattr(fingerprints, "FEW", few)
+    monkeypatch.setattr(fingerprints, "FEW_DIGESTS", few)
+    rows = [(i, t) for i, t in enumerate(["abcd", "ABCD ", "abce", "x", "abc", "", None, "ÀÈ", "abcd"])]
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(table(rows), weak()).collect()}
+    forms, prints = {}, {}
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, after, half = text or "", after or "", len(text or "") // 2
+        for form, mark in ((plain_form(text), got[i].fingerprint), (plain_form(text[: len(text) - half] + after[:half]), got[i].edited_fingerprint)):
+            assert forms.setdefault(form, mark) == mark and prints.setdefault(mark, form) == form
+    assert all("-" in mark for mark in prints)
+
+
+def test_bytes_are_compared_inside_equal_buckets(spark, table):
+    found = spark.createDataFrame([(1, "even"), (2, "even"), (3, "odd"), (4, "odd")], "doc_id long, fingerprint string")
+    docs = table([(1, "ab"), (2, "cd"), (3, "a"), (4, "A")]).select("doc_id", "text")
+    assert [r.found for r in fingerprints.shared_digests(docs, found, weak()).collect()] == ["even"]
+    assert fingerprints.shared_digests(docs, found.withColumn("fingerprint", F.lit("same"))).count() == 0
+
+
+def test_fingerprints_over_many_ranges_ties_and_long_texts(spark, table):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("aB  é\nＱ"), rng.integers(0, 40))) for _ in range(300)] + ["long " * 200_000]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(5000)[: len(texts)], texts, strict=True)]
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(table(rows).repartition(7)).collect()}
+    order = sorted(rows)
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].near_next == float(plain_form(text) == plain_form(after))
+    mark = {}
+    assert all(mark.setdefault(plain_form(t), got[i].fingerprint) == got[i].fingerprint for i, t in rows) and len(set(mark.values())) == len(mark)
+    twice = [tuple(r) for _ in range(2) for r in fingerprints.edited_fingerprints(table([(1, "ab"), (1, "cd"), (1, "ef"), (2, "gh")])).collect()]
+    assert len(twice) == 8 and sorted(twice[:4]) == sorted(twice[4:])
 
 
 def test_fingerprints_of_one_and_no_document(spark, table):
