@@ -100,7 +100,7 @@ def cutoffs(sized: DataFrame, target: DataFrame) -> DataFrame:
     ends = last.join(ends.withColumnRenamed("source", "end_source"), F.col("source").eqNullSafe(F.col("end_source")), "left")
     ends = ends.select(F.col("source").alias("end_source"), F.coalesce("last_key", "bin").alias("last_key"))
     return rule.join(ends, F.col("rule_source").eqNullSafe(F.col("end_source")), "left").select(
-        "rule_source", "source_size", "target", "whole", F.coalesce("last_key", F.lit("")).alias("last_key")
+        "rule_source", "source_size", "target", "whole", F.when(F.col("rest") > 0, F.coalesce("last_key", F.lit(""))).otherwise("").alias("last_key")
     )
 
 

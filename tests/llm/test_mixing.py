@@ -61,3 +61,14 @@ def test_nulls_ties_repeats_and_empty_tables(spark, table):
     assert mixing.plan(docs.where("false")).count() == 0
     assert mixing.mixed(docs.where("false")).count() == 0
     assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_no_document_of_a_clamped_source_exceeds_the_epochs(spark, table):
+    # source a is small and has the greatest weight, so it is clamped at two epochs and nothing is left for a third
+    rows = [(i, "w " * (i % 4), "a") for i in range(60)] + [(100 + i, "w " * 50, "b") for i in range(60)] + [(300 + i, "", "c") for i in range(9)]
+    docs = table(rows)
+    plan = mixing.plan(docs).collect()
+    assert {r["target"] for r in plan if r["source"] == "a"} == {2.0 * sum(i % 4 for i in range(60))}
+    assert {r["times"] for r in plan if r["source"] == "a"} == {2} and max(r["times"] for r in plan) <= 2
+    count = {r["doc_id"]: r["count"] for r in mixing.mixed(docs).groupBy("doc_id").count().collect()}
+    assert max(count.values()) <= 2 and all(count[i] == 2 for i in range(60))
