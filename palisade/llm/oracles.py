@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+import re
+
+from palisade.llm.licenses import TEMPLATES
+
 _RULES = """(VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
     ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS r(verdict, rule_host, rule_path)"""
 
@@ -45,7 +49,17 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN up_to - own + own / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o"""
 
-_LICENSES = """
+
+
+def _regex(wording: str) -> str:
+    """A template as a regular expression over a line of words, each with a blank behind it."""
+    parts = re.findall(r"\[[^\]]*\]|\{\d+\}|[^\s\[\]{}]+", wording)
+    some = lambda token: f"([^ ]+ ){{0,{token.strip('{}')}}}" if token[0] == "{" else f"{token} "
+    return " " + "".join("(" + "".join(map(some, p.strip("[]").split())) + ")?" if p[0] == "[" else some(p) for p in parts)
+
+
+_OWN = ",\n".join(f"      CASE WHEN regexp_matches(line, '{_regex(wording)}') THEN '{label}' END" for label, wording in TEMPLATES)
+_LICENSES = f"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
@@ -56,16 +70,9 @@ WITH w AS (
     [l FOR l IN [
       CASE WHEN contains(flat, ' apache  license ') THEN 'apache' END, CASE WHEN contains(flat, ' general  public  license ') THEN 'gpl' END,
       CASE WHEN contains(flat, ' mit  license ') THEN 'mit' END] IF l IS NOT NULL] AS base,
-    [l FOR l IN [
-      CASE WHEN regexp_matches(line, ' (released|licensed) under the (terms of the )?mit license ') THEN 'mit-notice' END,
-      CASE WHEN regexp_matches(line, ' licensed under the apache license (version )?2 (0 )?') THEN 'apache-2.0-notice' END,
-      CASE WHEN regexp_matches(line, ' licensed under the (terms of the )?gnu ([^ ]+ )?general public license ') THEN 'gpl-notice' END,
-      CASE WHEN regexp_matches(line, ' licensed under (a )?(cc by nc|creative commons attribution non commercial) ') THEN 'cc-by-nc-notice' END,
-      CASE WHEN regexp_matches(line, ' permission is hereby granted free of charge to any person obtaining a copy of this ([^ ]+ ){0,4}and associated documentation files ([^ ]+ ){0,6}to deal in the ([^ ]+ ){0,4}without restriction ') THEN 'mit-text' END,
-      CASE WHEN regexp_matches(line, ' redistribution and use (of this software )?in source and binary forms with or without modification are permitted provided that the following conditions are met ') THEN 'bsd-text' END,
-      CASE WHEN contains(line, ' licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license ') THEN 'apache-2.0-header' END,
-      CASE WHEN regexp_matches(line, ' this program is free software you can redistribute it and or modify it under the terms of the gnu ([^ ]+ )?general public license ') THEN 'gpl-text' END
-    ] IF l IS NOT NULL] AS own
+    list_distinct([l FOR l IN [
+{_OWN}
+    ] IF l IS NOT NULL]) AS own
   FROM f
 )
 SELECT doc_id, n_words,

@@ -44,7 +44,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scanned(documents(spark, sf_dir))
+    return licenses.scanned(documents(spark, sf_dir)).drop("spans")
 
 
 def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

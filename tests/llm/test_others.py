@@ -116,9 +116,53 @@ def test_templates():
     assert accepts("a [b {1} c] d [e]", "a b q c d") and not accepts("a b", "a")
 
 
+def test_templates_that_begin_or_end_with_markup():
+    ends = lambda wording, text, at=0: licenses.Template(wording).end(text.encode().split(), at)
+    assert ends("[the] mit license", "the mit license") == 3 and ends("[the] mit license", "mit license") == 2
+    assert ends("{2} mit [license]", "mit license x") == 2 and ends("{2} mit", "a b mit") == 3 and ends("a [b]", "a c") == 1
+    assert licenses.Template("{2} [x y] mit").heads == {b"x", b"mit"}
+    with pytest.raises(ValueError):
+        licenses.Template("[only optional]")
+
+
+def test_templates_against_regular_expressions():
+    from palisade.llm.oracles import _regex
+
+    rng = np.random.default_rng(6)
+    for wording in ("a [b c] {2} d", "[a] b [c {1}] d", "{1} a b", "a [b] [c] a {3} b", "a [b {2} c] d [e]"):
+        template, rx = licenses.Template(wording), re.compile(_regex(wording))
+        for _ in range(300):
+            words = rng.choice(list("abcde"), rng.integers(0, 9)).tolist()
+            coded = [w.encode() for w in words]
+            got = any(template.accepts(coded, i) for i in range(len(words)) if coded[i] in template.heads)
+            assert got == bool(rx.search(" " + " ".join(words) + " ")), (wording, words)
+
+
+MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_license_texts(spark, table):
+    rows = [(1, "x = 1\n" + MIT + "\nmore"), (2, MIT.replace("substantial", "essential")), (3, MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME")), (3, MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME"))]
+    got = {r.doc_id: r for r in licenses.scanned(table(rows)).collect()}
+    assert got[1].labels == got[3].labels == "mit-text,mit-whole" and got[2].labels == "mit-text"
+    span = {s.label: (s.first, s.stop) for s in got[1].spans}["mit-whole"]
+    assert span == (7, got[1].n_words - 1)
+    assert licenses.scanned(table(rows).where("false")).count() == 0
+
+
 def test_license_rows(spark, table):
     rows = [(1, "x Released under the MIT License."), (2, "mit-license, MIT license"), (3, None), (4, ""), (5, "w " * 20_000 + "General Public License"), (6, "released under mit license")]
-    got = {r.doc_id: tuple(r)[1:] for r in licenses.scanned(table(rows)).collect()}
+    got = {r.doc_id: tuple(r)[1:8] for r in licenses.scanned(table(rows)).collect()}
     assert got[1] == (6, 1, 4, 4, "mit", "mit,mit-notice", 1.0)
     assert got[2] == (4, 2, 0, 2, "mit", "mit", 0.5)
     assert got[3] == got[4] == (0, 0, None, None, "", "", 0.0)
