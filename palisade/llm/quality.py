@@ -1,7 +1,7 @@
 """Quality by Bradley-Terry ranking of preference pairs.
 
 Every text becomes a short vector of surface features. A pair of labelled
-training texts, a good one and a bad one of similar length, says that the good
+training texts, a good one and a bad one drawn at random, says that the good
 one is preferred; the model's score is linear in the features, and the
 probability of a preference is the logistic function of the score difference,
 so training is logistic loss on feature differences. The cut is a quantile of
@@ -10,7 +10,10 @@ logistic function, shifted so that the cut becomes ``CUT``, maps scores to 0..1.
 
 Defined cases: null and empty texts have a vector of their own and are scored;
 without both labels every text scores 1 (nothing is rejected); repeated rows
-score alike; texts are read whole; extra columns are ignored.
+score alike; texts are read whole, however long; an empty table gives an empty
+result; texts with equal features tie and are kept or rejected together; where
+labels of one doc_id contradict each other, 1 counts; extra columns are ignored
+by ``scored`` and kept by ``kept``, whatever their names.
 """
 
 from __future__ import annotations

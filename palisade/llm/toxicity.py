@@ -1,11 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network over windows of words.
 
-Each word has a word input (its weight of evidence) and character inputs (those
-of its character n-grams, with word borders): log odds of toxic against clean
-training documents, in hashed tables. Two gated recurrent layers read a window
-of words in both directions, attention pools their states, and a logit comes
-out. All windows of every text are scored, each overlapping the next by half; a
-text's logit is its largest, calibrated on training documents.
+Each word has a word input and character inputs. Both hold learned vectors, one
+of the word's hash and the mean of those of its character n-grams with the word's
+borders, trained together with the network; beside them stand weights of
+evidence, log odds of toxic against clean training documents of the word and its
+n-grams. Two gated recurrent layers read a window of words in both directions,
+attention pools their states, and a logit comes out. All windows of every text
+are scored, each overlapping the next by half; a text's logit is its largest,
+calibrated on training documents.
 
 Weak labels: a label belongs to a document, so a toxic training document stands
 for its window with most evidence, a clean one for the two with most evidence
@@ -15,7 +17,9 @@ bounded sample (``MOST`` labelled rows of each class).
 
 Defined cases: null texts and texts without words score 0; repeated rows score
 alike; without both labels, or words under them, every text scores 0; very long texts are read in
-whole, window by window; extra columns are ignored.
+whole, window by window; an empty table gives an empty result; where labels of
+one doc_id contradict each other, 1 counts; extra columns are ignored by
+``scored`` and kept by ``kept``, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +43,13 @@ HIDDEN = 8
 EPOCHS, BATCH = 6, 128
 CHUNK = 250  # training texts spelt out at once
 SLICE = 3 << 20  # bytes of text scored at once
-INPUTS = 6
+EVIDENCE = 6  # inputs that are weights of evidence
+VECTOR = 8  # inputs of each learned vector
+START = 0.01  # deviation of learned vectors before training; words that no training text has stay near 0
+RATE = 0.0003  # of their steps
+HIDE = 0.8  # share of words whose learned vectors a training step leaves out, so that the network does not lean on words it has learned by heart
+VECTOR_BITS = 14  # of the learned vectors' hashed tables
+INPUTS = EVIDENCE + 2 * VECTOR
 
 
 class Lexicon(NamedTuple):
@@ -99,10 +109,10 @@ def evidence(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tables[0], tables[1]
 
 
-def inputs(lex: Lexicon, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Input vectors of the distinct words, as columns, with one more, all 0, for the padding."""
+def weights(lex: Lexicon, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Evidence of the distinct words, as columns, with one more, all 0, for the padding."""
     n = len(lex.word)
-    out = np.zeros((INPUTS, n + 1), np.float32)
+    out = np.zeros((EVIDENCE, n + 1), np.float32)
     if n:
         found = [tables[1][g] for g in lex.grams]
         best = found[0]
@@ -118,6 +128,66 @@ def inputs(lex: Lexicon, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return out
 
 
+class Spelled(NamedTuple):
+    """Places of words' vectors: one for each word, and those of its shortest n-grams, one word after the other."""
+
+    word: np.ndarray
+    gram: np.ndarray
+    at: np.ndarray  # offsets of the words into gram; each has one place at least
+
+
+def spelled(lex: Lexicon) -> Spelled:
+    shift = BITS - VECTOR_BITS
+    return Spelled(_slots(lex.word) >> shift, lex.grams[0] >> shift, lex.first)
+
+
+class Vectors:
+    """Learned vectors of words and of n-grams, by hash; the last n-gram's stays 0, for places past a word's last one."""
+
+    def __init__(self, rng: np.random.Generator):
+        size = 1 << VECTOR_BITS
+        self.p = {"word": rng.normal(0, START, (size, VECTOR)).astype(np.float32), "gram": rng.normal(0, START, (size + 1, VECTOR)).astype(np.float32)}
+        self.p["gram"][-1] = 0
+
+    def of(self, s: Spelled) -> np.ndarray:
+        """(2 * VECTOR, words); a few words at a time, as n-grams are many."""
+        n = len(s.word)
+        out = np.empty((2 * VECTOR, n), np.float32)
+        out[:VECTOR] = self.p["word"][s.word].T
+        for i in range(0, n, 20_000):
+            at = s.at[i : i + 20_001]
+            slots = s.gram[at[0] : at[-1]]
+            known = np.add.reduceat((slots < 1 << VECTOR_BITS).astype(np.float32), at[:-1] - at[0])
+            out[VECTOR:, i : i + 20_000] = (np.add.reduceat(self.p["gram"][slots], at[:-1] - at[0]) / np.maximum(known, 1)[:, None]).T
+        return out
+
+    def gradients(self, s: Spelled, d: np.ndarray) -> dict[str, np.ndarray]:
+        """From the derivatives by what ``of`` gave."""
+        size = np.diff(s.at)
+        inside = s.gram < 1 << VECTOR_BITS
+        known = np.maximum(np.add.reduceat(inside.astype(np.float32), s.at[:-1]), 1)
+        of = np.repeat(np.arange(len(size)), size)[inside]
+        slots, each = s.gram[inside], d[VECTOR:] / known
+        total = lambda at, values, n: np.column_stack([np.bincount(at, v, n) for v in values]).astype(np.float32)
+        return {"word": total(s.word, d[:VECTOR], 1 << VECTOR_BITS), "gram": total(slots, each[:, of], (1 << VECTOR_BITS) + 1)}
+
+
+class Adam:
+    """Steps with moments for parameters by name, in place."""
+
+    def __init__(self, p: dict[str, np.ndarray], rate: float):
+        self.p, self.rate, self.step = p, rate, 0
+        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+
+    def move(self, gradients: dict[str, np.ndarray]) -> None:
+        self.step += 1
+        for k, g in gradients.items():
+            a, b = self.moment[k]
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            self.p[k] -= (self.rate * (a / (1 - 0.9**self.step)) / (np.sqrt(b / (1 - 0.99**self.step)) + 1e-8) + 1e-5 * self.p[k]).astype(np.float32)
+
+
 def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word of each window, and the offsets of the texts: windows cover every word, each word but at the ends twice."""
     n = np.diff(at)
@@ -179,11 +249,11 @@ class Network:
         return (y, (f, b, m, w, c, sf, sb)) if keep else y
 
     def gradients(self, dy: np.ndarray, x: np.ndarray, kept: tuple) -> dict[str, np.ndarray]:
-        """Back-propagation through time of the loss's derivatives by the logits; x: (steps, INPUTS, windows)."""
+        """Back-propagation through time of the loss's derivatives by the logits; x: (steps, INPUTS, windows), as is ``inputs`` of the result."""
         f, b, m, w, c, sf, sb = kept
         h, m = np.concatenate([np.stack(f), np.stack(b)], 1), np.stack(m)
         k, p = HIDDEN, self.p
-        out = {"u": dy[None] @ c.T, "c": dy.sum(keepdims=True)}
+        out = {"u": dy[None] @ c.T, "c": dy.sum(keepdims=True), "inputs": np.zeros_like(x)}
         dc = p["u"].T * dy
         dw = (h * dc).sum(1)
         de = w * (dw - (w * dw).sum(0))
@@ -201,7 +271,9 @@ class Network:
                 s = np.concatenate([g * (new - before) * z * (1 - z), drh * before * r * (1 - r)])
                 dn += da @ (r * before).T
                 dzr += s @ before.T
-                dx += np.concatenate([s, da]) @ x[t].T
+                gates = np.concatenate([s, da])
+                dx += gates @ x[t].T
+                out["inputs"][t] += p[f"x{d}"].T @ gates
                 back = g * (1 - z) + drh * r + p[f"zr{d}"].T @ s
             out |= {f"x{d}": dx, f"zr{d}": dzr, f"n{d}": dn}
         return out
@@ -225,27 +297,13 @@ class Model:
         self.tables = evidence(pick(learn), y[learn])
         rest = ~learn if len(set(y[~learn].tolist())) == 2 else learn
         texts, y = pick(rest), y[rest]
-        seen, pads, target = zip(*[self._windows(texts[i : i + CHUNK], y[i : i + CHUNK], rng) for i in range(0, len(texts), CHUNK)], strict=True)
-        seen, pads, target = np.concatenate(seen, 2), np.concatenate(pads, 1), np.concatenate(target)
+        found = [self._windows(texts[i : i + CHUNK], y[i : i + CHUNK], rng) for i in range(0, len(texts), CHUNK)]
+        target = np.concatenate([t for *_, t in found])
         self.ready = len(target) > 0
         if not self.ready:
             return
-        self.net = Network(seed)
-        weight = np.where(target == 1, np.sqrt((target == 0).sum() / max(1, target.sum())), 1).astype(np.float32)
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.p.items()}
-        step = 0
-        for _ in range(max(EPOCHS, min(60, 40_000 // max(1, len(target))))):
-            for part in np.array_split(rng.permutation(len(target)), max(1, len(target) // BATCH)):
-                x = seen[:, :, part]
-                gates = {d: lambda t, d=d: self.net.p[f"x{d}"] @ x[t] for d in "fb"}
-                out, kept = self.net.logits(gates, pads[:, part], keep=True)
-                dy = (_sigmoid(out) - target[part]) * weight[part] / weight[part].sum()
-                step += 1
-                for k, g in self.net.gradients(dy.astype(np.float32), x, kept).items():
-                    a, b = moment[k]
-                    a += 0.1 * (g - a)
-                    b += 0.01 * (g * g - b)
-                    self.net.p[k] -= (0.01 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8) + 1e-5 * self.net.p[k]).astype(np.float32)
+        self.net, self.vectors = Network(seed), Vectors(rng)
+        self._train(found, target, rng)
         # calibration: logistic regression of the labels on the documents' largest logits
         z = np.concatenate([self._logits(pa.array(texts[i : i + CHUNK], pa.string())) for i in range(0, len(texts), CHUNK)])
         use = np.isfinite(z)
@@ -259,10 +317,40 @@ class Model:
             a, b = a - 0.5 * np.average((q - y) * z, weights=balance) - 1e-4 * a, b - 0.5 * np.average(q - y, weights=balance)
         self.scale, self.shift = a / spread, b - a * mean / spread
 
-    def _windows(self, texts: list[str], y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs (steps, INPUTS, windows), padding and labels of the windows that stand for some training texts."""
+    def _train(self, found: list[tuple], target: np.ndarray, rng: np.random.Generator) -> None:
+        """Network and vectors from the windows of ``_windows``: words of all chunks are numbered on."""
+        size = np.cumsum([0] + [len(words.word) for _, words, _, _ in found])
+        known = np.concatenate([x for x, *_ in found], 1)
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(words.at) for _, words, _, _ in found]))])
+        every = Spelled(np.concatenate([w.word for _, w, _, _ in found]), np.concatenate([w.gram for _, w, _, _ in found]), at)
+        ids = np.concatenate([np.where(i < 0, -1, i + n) for (_, _, i, _), n in zip(found, size, strict=False)], 1)
+        weight = np.where(target == 1, np.sqrt((target == 0).sum() / max(1, target.sum())), 1).astype(np.float32)
+        net, vectors = Adam(self.net.p, 0.01), Adam(self.vectors.p, RATE)
+        for _ in range(max(EPOCHS, min(60, 40_000 // max(1, len(target))))):
+            for part in np.array_split(rng.permutation(len(target)), max(1, len(target) // BATCH)):
+                pad = ids[:, part] < 0
+                used, place = np.unique(ids[:, part], return_inverse=True)
+                place, used = place.reshape(pad.shape) - int(used[0] < 0), used[used >= 0]
+                span = np.diff(every.at)[used]
+                grams = np.repeat(every.at[used] - np.concatenate([[0], np.cumsum(span)])[:-1], span) + np.arange(span.sum())
+                words = Spelled(every.word[used], every.gram[grams], np.concatenate([[0], np.cumsum(span)]))
+                full = np.zeros((INPUTS, len(used) + 1), np.float32)  # the last column is the padding's
+                full[:EVIDENCE, :-1] = known[:, used]
+                shown = (rng.random(len(used)) >= HIDE).astype(np.float32)
+                full[EVIDENCE:, :-1] = self.vectors.of(words) * shown
+                x = np.ascontiguousarray(full[:, place].transpose(1, 0, 2))
+                gates = {d: lambda t, d=d, x=x: self.net.p[f"x{d}"] @ x[t] for d in "fb"}
+                out, kept = self.net.logits(gates, pad, keep=True)
+                dy = (_sigmoid(out) - target[part]) * weight[part] / weight[part].sum()
+                slopes = self.net.gradients(dy.astype(np.float32), x, kept)
+                dx = slopes.pop("inputs").transpose(1, 0, 2)[EVIDENCE:][:, ~pad]
+                net.move(slopes)
+                vectors.move(self.vectors.gradients(words, np.stack([np.bincount(place[~pad], row, len(used)) for row in dx]) * shown))
+
+    def _windows(self, texts: list[str], y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, Spelled, np.ndarray, np.ndarray]:
+        """The words of the windows that stand for some training texts: evidence and spelling, their places in these windows (-1: none), and the labels."""
         lex = lexicon(pa.array(texts, pa.string()))
-        x = inputs(lex, self.tables)
+        x = weights(lex, self.tables)
         start, first = windows(lex.at)
         ids = self._ids(lex, start, first)
         strength = x[:4].sum(0)[ids].max(1)
@@ -275,12 +363,27 @@ class Model:
                 chosen += these.tolist()
                 target += [y[i]] * len(these)
         ids = ids[np.array(chosen, np.int64)].T
-        return np.stack([x[:, i] for i in ids]), ids == len(lex.word), np.array(target, np.float32)
+        used, place = np.unique(ids[ids < len(lex.word)], return_inverse=True)
+        out = np.full(ids.shape, -1, np.int64)
+        out[ids < len(lex.word)] = place
+        whole = spelled(lex)
+        grams = [whole.gram[whole.at[i] : whole.at[i + 1]] for i in used.tolist()]
+        at = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int64)
+        words = Spelled(whole.word[used], np.concatenate([np.zeros(0, np.int32), *grams]), at)
+        return x[:, used], words, out, np.array(target, np.float32)
+
+    def inputs(self, lex: Lexicon) -> np.ndarray:
+        """Input vectors of the distinct words, as columns, with one more, all 0, for the padding."""
+        n = len(lex.word)
+        out = np.zeros((INPUTS, n + 1), np.float32)
+        out[:EVIDENCE] = weights(lex, self.tables)
+        out[EVIDENCE:, :n] = self.vectors.of(spelled(lex))
+        return out
 
     def _logits(self, texts: pa.Array) -> np.ndarray:
         """Largest logit of each text; -inf without words."""
         lex = lexicon(texts)
-        return self._largest(lex, inputs(lex, self.tables))
+        return self._largest(lex, self.inputs(lex))
 
     @staticmethod
     def _ids(lex: Lexicon, start: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -319,23 +422,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(*sample(docs, labels, "toxic", MOST))
 
 
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in W.pieces(whole, most=SLICE):
-                score = pa.array(shared.value.scores(b.column(b.schema.get_field_index("text"))))
-                yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, "score"])
-
-    return run
-
-
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _scored(shared)(batches):
-            yield b.select(["doc_id", "score"])
+        for whole in batches:
+            for b in W.pieces(whole, most=SLICE):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1)))], ["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -346,8 +440,9 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _scored(shared)(batches):
-            clean = pa.array(b.column(len(b.schema) - 1).to_numpy() < threshold)
-            yield b.select(b.schema.names[:-1]).filter(clean)
+        for whole in batches:
+            for b in W.pieces(whole, most=SLICE):
+                score = shared.value.scores(b.column(b.schema.get_field_index("text")))
+                yield b.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(run, docs.schema)

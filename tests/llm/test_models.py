@@ -61,6 +61,86 @@ def test_nulls_empty_long_and_unlabelled(spark, model):
     assert model.kept(docs, labels.where("false")).count() == 60
 
 
+@pytest.mark.parametrize("model", [toxicity, quality])
+def test_clashing_columns_and_contradicting_labels(spark, model):
+    docs, labels = labelled(spark, n=120)
+    wide = docs.selectExpr("7 AS score", "doc_id", "'x' AS predicted", "text", "true AS held_out", "1.5D AS label", "array(1) AS quality", "lang")
+    both = labels.unionByName(labels.selectExpr("doc_id", "1 - quality AS quality", "1 - toxic AS toxic").where("doc_id % 10 = 1"))
+    kept = model.kept(wide, labels)
+    assert kept.schema == wide.schema and {r.doc_id for r in kept.collect()} == {r.doc_id for r in model.kept(docs, labels).collect()}
+    texts, found = labelled_rows.sample(wide, both, "toxic", 1000)
+    text = {r.text: r.doc_id for r in docs.collect()}
+    assert all(y == 1 for t, y in zip(texts, found, strict=True) if text[t] % 10 == 1) and len(texts) == sum(fold(i) != 0 for i in range(120))
+    assert model.scored(wide, both).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_the_sample_is_the_least_hashes_of_each_class(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    labels = spark.range(6000).selectExpr("id AS doc_id", "cast(id % 3 = 0 AS int) AS toxic")
+    order = {r.id: r.h for r in spark.range(6000).selectExpr("id", "xxhash64(id) AS h").collect()}
+    texts, found = labelled_rows.sample(docs, labels, "toxic", 40)
+    for value in (0, 1):
+        of = sorted((i for i in range(6000) if (i % 3 == 0) == value and fold(i) != 0), key=order.get)[:40]
+        assert {int(t[1:]) for t, y in zip(texts, found, strict=True) if y == value} == set(of)
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def test_quality_scores_against_a_plain_computation(spark):
+    docs, labels = labelled(spark, n=120)
+    model = quality.fit(docs, labels)
+    rows = {r.doc_id: r for r in quality.scored(docs, labels).collect()}
+    plain = {}
+    for r in docs.collect():
+        x = quality.features(pa.array([r.text]))[0]
+        plain[r.doc_id] = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.spread, strict=True))
+        assert rows[r.doc_id].score == pytest.approx(sigmoid(model.scale * (plain[r.doc_id] - model.cut) + math.log(0.3 / 0.7)), abs=1e-9)
+        assert rows[r.doc_id].predicted == int(plain[r.doc_id] >= model.cut - 1e-12)
+    # the pairs' logistic loss is near its minimum: no step along one weight lowers it by much
+    texts, y = labelled_rows.sample(docs, labels, "quality", quality.MOST)
+    x = (quality.features(pa.array(texts)) - model.mean) / model.spread
+    good, bad = x[np.array(y) == 1], x[np.array(y) == 0]
+    loss = lambda w: np.log1p(np.exp(-((good @ w)[:, None] - (bad @ w)[None]))).mean() + 5e-4 * w @ w
+    at = loss(model.weights)
+    assert at < 0.3 * loss(np.zeros_like(model.weights))
+    assert all(loss(model.weights + d * np.eye(len(model.weights))[k]) > at - 0.02 for k in range(len(model.weights)) for d in (-0.2, 0.2))
+
+
+def test_recurrent_logits_against_a_plain_loop(spark):
+    """One window after the other, one step after the other, as the equations stand in the papers."""
+    docs, labels = labelled(spark, n=150)
+    model = toxicity.fit(docs, labels)
+    p, k = {n: v.astype(np.float64) for n, v in model.net.p.items()}, toxicity.HIDDEN
+    texts = [r.text for r in docs.limit(12).collect()] + ["a", "vexquan " * 3, "b " * 70]
+    got = model.scores(pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        lex = toxicity.lexicon(pa.array([text]))
+        x = model.inputs(lex).astype(np.float64)
+        words, best, at = lex.index.tolist(), -math.inf, 0
+        while True:
+            window = [x[:, i] for i in words[at : at + toxicity.WINDOW]]
+            size, window = len(window), window + [np.zeros(len(x))] * (toxicity.WINDOW - len(window))
+            states = {}
+            for d, order in (("f", range(toxicity.WINDOW)), ("b", range(toxicity.WINDOW - 1, -1, -1))):
+                h = np.zeros(k)
+                for t in order:
+                    g = p[f"x{d}"] @ window[t]
+                    zr = 1 / (1 + np.exp(-(p[f"zr{d}"] @ h + g[: 2 * k])))
+                    new = np.tanh(p[f"n{d}"] @ (zr[k:] * h) + g[2 * k :])
+                    h = (1 - zr[:k]) * h + zr[:k] * new
+                    states[d, t] = h
+            both = [np.concatenate([states["f", t], states["b", t]]) for t in range(size)]
+            e = np.exp([float((p["v"] @ np.tanh(p["a"] @ b))[0]) for b in both])
+            pooled = sum(w * b for w, b in zip(e / e.sum(), both, strict=True))
+            best = max(best, float((p["u"] @ pooled)[0] + p["c"][0]))
+            if at + toxicity.WINDOW >= len(words):
+                break
+            at += toxicity.STRIDE
+        assert score == pytest.approx(sigmoid(model.scale * best + model.shift), abs=1e-3)
+
+
 def test_long_labelled_texts_are_trained_on_whole(spark, monkeypatch):
     docs, labels = labelled(spark, n=60)
     long = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.repeat("text", 500)).otherwise(F.col("text")))
