@@ -54,21 +54,20 @@ def query_length(uri: Column) -> Column:
     return F.when(at > 0, F.length(uri) - at).otherwise(0).cast("long")
 
 
-def masked(text: Column) -> Column:
-    """Text without passwords, credentials, cookies and long embedded images."""
-    text = F.regexp_replace(text, r'(?i)("password"\s*:\s*")[^"]+(")', "$1***$2")
-    text = F.regexp_replace(text, r"(?i)(Authorization:\s*)([^\r\n]+)", "$1***")
-    text = F.regexp_replace(text, r"(?i)(Cookie:\s*)([^\r\n]+)", "$1***")
-    return F.regexp_replace(text, r"(data:image/[^;]+;base64,)[A-Za-z0-9+/=]{100,}", "$1<BASE64_TRUNCATED>")
+# Patterns of what is masked, and what stands in its place.
+MASKS = (
+    (r'(?i)("password"\s*:\s*")[^"]+(")', "$1***$2"),
+    (r"(?i)(Authorization:\s*)([^\n]+)", "$1***"),
+    (r"(?i)(Cookie:\s*)([^\n]+)", "$1***"),
+    (r"(data:image/[^;]+;base64,)[A-Za-z0-9+/=]{100,}", "$1<BASE64_TRUNCATED>"),
+)
 
 
-def unhexed(payload: Column) -> Column:
-    """A payload in hexadecimal digits as text, where it is one and its bytes are UTF-8; else the payload."""
-    digits = F.regexp_replace(payload, r"[:\s]", "")
-    is_hex = digits.rlike(r"\A([0-9A-Fa-f]{2}){4,}\z")
-    text = F.try_validate_utf8(F.unhex(digits).cast("string"))
-    controls = F.length(F.regexp_replace(text, r"[^\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-    return F.when(is_hex & text.isNotNull() & (controls * 10 <= F.length(text)), text).otherwise(payload)
+def masked(text: Column) -> Column:
+    """Text without passwords, credentials, cookies and long embedded images."""
+    for pattern, other in MASKS:
+        text = F.regexp_replace(text, pattern, other)
+    return text
 
 
 def host_name(text: Column) -> Column:
@@ -83,49 +82,82 @@ def query_terms(text: Column, most: int = 14) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-zA-Z0-9_./:-]{2,})"), 1)), 1, most)
 
 
-def request_text(r: DataFrame) -> Column:
-    fields = (("METHOD", "method"), ("URI", "uri"), ("HOST", "host"), ("CONTENT_TYPE", "content_type"), ("STATUS_CODE", "status_code"), ("REQUEST_BODY", "body"))
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), F.coalesce(r[c].cast("string"), F.lit(""))) for k, c in fields])
+def _text(column: str | Column) -> Column:
+    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
+
+
+def clean_text(text: Column) -> Column:
+    """Text with written-out line ends as blanks, trimmed; null becomes empty."""
+    out = _text(text)
+    for mark in ("\\r\\n", "\\n", "\\r"):
+        out = F.replace(out, F.lit(mark), F.lit(" "))
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
+
+
+EXCERPT = 500  # characters of a response that its excerpt holds, by the format
+
+
+def excerpt(response: Column) -> Column:
+    return F.substring(_text(response), 1, EXCERPT)
+
+
+def request_text(fields: dict[str, Column]) -> Column:
+    """``NAME=value`` lines; null counts as empty."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), _text(c)) for k, c in fields.items()])
+
+
+def response_text(status: Column, response_excerpt: Column) -> Column:
+    return request_text({"STATUS_CODE": status, "RESPONSE_EXCERPT": response_excerpt})
+
+
+def _request_fields() -> dict[str, Column]:
+    names = {"METHOD": "method", "URI": "uri", "HOST": "host", "CONTENT_TYPE": "content_type", "STATUS_CODE": "status_code", "REQUEST_BODY": "body", "RESPONSE_EXCERPT": "excerpt"}
+    return {k: F.col(c) for k, c in names.items()}
+
+
+def has_json_body(content_type: Column, body: Column) -> Column:
+    return (F.lower(content_type).contains("json") | body.rlike(r"(?s)\A\s*\{.*\}\s*\z")).cast("int")
 
 
 def model_input(r: DataFrame) -> DataFrame:
-    """Features of the first model: lengths, counts and flags of each request."""
-    text = request_text(r)
-    low_type = F.lower(F.coalesce("content_type", F.lit("")))
-    body = F.coalesce("body", F.lit(""))
+    """Features of the first model: lengths, counts and flags of each request, over its whole texts, and its text. Null counts as empty."""
+    clean = r.select(
+        "file_id", "seq_id", F.upper(_text("method")).alias("method"), _text("uri").alias("uri"), clean_text(F.col("host")).alias("host"), _text("status_code").alias("status_code"),
+        clean_text(F.col("content_type")).alias("content_type"), _text("body").alias("body"), _text("user_agent").alias("user_agent"), excerpt(F.col("response")).alias("excerpt"),
+    )
+    # lower-cased once, so that the counts below share it
+    merged = clean.withColumn("merged", F.lower(F.concat_ws(" ", "uri", "host", "body", "excerpt", "user_agent", "content_type")))
     flags = (("has_login_keyword", LOGIN), ("has_captcha_keyword", CAPTCHA), ("has_admin_keyword", ADMIN_AND_SYSTEM), ("has_token_keyword", TOKEN), ("has_password_keyword", PASSWORD))
-    return r.select(
+    return merged.select(
         "file_id", "seq_id", "method", "uri", "host", "status_code",
         F.length("uri").cast("long").alias("uri_len"), query_length(F.col("uri")).alias("query_len"), path_depth(F.col("uri")).alias("path_depth"),
-        counted(text, SPECIAL_MARKS).alias("special_char_count"), F.length(body).cast("long").alias("body_len"),
-        F.length(F.coalesce("user_agent", F.lit(""))).cast("long").alias("user_agent_len"),
+        counted(F.col("merged"), SPECIAL_MARKS).alias("special_char_count"), F.length("body").cast("long").alias("body_len"), F.length("user_agent").cast("long").alias("user_agent_len"),
         (F.col("method") == "GET").cast("int").alias("is_get"), (F.col("method") == "POST").cast("int").alias("is_post"),
-        (low_type.contains("json") | (F.trim(body).startswith("{") & F.trim(body).endswith("}"))).cast("int").alias("has_json_body"),
-        *[has_any(text, words).alias(name) for name, words in flags],
-        F.coalesce((F.col("status_code") >= 400), F.lit(False)).cast("int").alias("resp_is_error"),
+        has_json_body(F.col("content_type"), F.col("body")).alias("has_json_body"), *[has_any(F.col("merged"), words).alias(name) for name, words in flags],
+        F.coalesce(F.col("status_code").try_cast("int") >= 400, F.lit(False)).cast("int").alias("resp_is_error"), request_text(_request_fields()).alias("request_text"),
     )
 
 
 def flow_features(r: DataFrame) -> DataFrame:
     """Flow-style features of each request with its response; ``r`` has the columns of requests plus time and resp_time.
 
-    Counts and flags are computed in a first projection, so that each stands in the plan once.
+    Counts and flags are computed in a first projection, so that each stands in the plan once. Null counts as empty.
     """
-    excerpt = F.substring(F.coalesce("response", F.lit("")), 1, 500)
-    merged = F.lower(F.concat_ws(" ", "uri", "host", "body", excerpt, "user_agent", "content_type"))
+    clean = r.withColumns({c: _text(c) for c in ("uri", "host", "body", "user_agent", "content_type")} | {"excerpt": excerpt(F.col("response"))})
     flag = lambda words: has_any(F.col("merged"), words).cast("double")
-    base = r.withColumn("merged", merged).select(
+    base = clean.withColumn("merged", F.lower(F.concat_ws(" ", "uri", "host", "body", "excerpt", "user_agent", "content_type"))).select(
         "file_id", "seq_id", "method", counted(F.col("merged"), SQL_MARKS).cast("double").alias("sql"), flag(LOGIN).alias("login"),
         flag(CAPTCHA).alias("captcha"), flag(PASSWORD).alias("password"), flag(ADMIN).alias("admin"), flag(TOKEN).alias("token"),
         F.lower("content_type").contains("json").cast("double").alias("json"), flag(BUSINESS_ERRORS).alias("failed"),
         F.length("uri").cast("double").alias("uri_len"), path_depth(F.col("uri")).cast("double").alias("depth"),
-        F.length(F.coalesce("body", F.lit(""))).cast("double").alias("body_len"), F.length("user_agent").cast("double").alias("agent_len"),
-        F.length(request_text(r)).cast("double").alias("text_len"), F.col("response").isNotNull().cast("double").alias("answered"),
+        F.length("body").cast("double").alias("body_len"), F.length("user_agent").cast("double").alias("agent_len"),
+        F.length(request_text(_request_fields())).cast("double").alias("text_len"), F.col("response").isNotNull().cast("double").alias("answered"),
         F.when(F.col("response").isNotNull(), F.greatest(F.lit(0.001), F.col("resp_time") - F.col("time"))).otherwise(0.05).alias("gap"),
     )
+    # Weights and bounds of the features as the model was trained with them.
     f = base.selectExpr("*", "3 * sql + 2 * password + login + 3 * failed + token AS bonus", "least(5.0D, 0.03D + gap + body_len / 5000 + 0.02D * sql) AS dur")
     f = f.selectExpr(
-        "*", "2 + depth + if(method = 'POST', 1D, 0D) + bonus AS spkts", "2 + answered + failed AS dpkts",
+        "*", "2 + depth + if(method <=> 'POST', 1D, 0D) + bonus AS spkts", "2 + answered + failed AS dpkts",
         "100 + uri_len + body_len + agent_len + 30 * bonus AS sbytes", "80 + 0.2D * least(text_len, 5000D) + 50 * failed AS dbytes",
         "greatest(dur, 0.001D) AS span",
     )
@@ -136,7 +168,7 @@ def flow_features(r: DataFrame) -> DataFrame:
         "least(1D, gap / 2) AS synack", "least(1D, gap / 2) AS ackdat", "1 + json + password + login + bonus AS trans_depth",
         "least(text_len + 100 * failed, 20000D) AS response_body_len", "1 + login + captcha + admin AS ct_srv_src", "1 + failed + sql AS ct_state_ttl",
         "1 + login + failed AS ct_dst_ltm", "1 + bonus AS ct_src_dport_ltm", "1 + bonus AS ct_dst_sport_ltm", "1 + bonus AS ct_dst_src_ltm",
-        "if(method = 'POST', 2D, 1D) AS ct_flw_http_mthd", "1 + password + token + sql AS ct_src_ltm", "1 + admin + failed AS ct_srv_dst",
+        "if(method <=> 'POST', 2D, 1D) AS ct_flw_http_mthd", "1 + password + token + sql AS ct_src_ltm", "1 + admin + failed AS ct_srv_dst",
         "64D AS sttl", "64D AS dttl", "255D AS swin", "255D AS dwin", "1000D + 10 * seq_id AS stcpb", "2000D + if(answered = 1, 10 * seq_id, 0) AS dtcpb",
         "0D AS sloss", "0D AS dloss", "0D AS is_ftp_login", "0D AS ct_ftp_cmd", "0D AS is_sm_ips_ports",
     )

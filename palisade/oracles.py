@@ -17,8 +17,7 @@ EVENTS = """e AS (
     CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'note ' || CAST(event_id AS VARCHAR) END AS note, value AS score, event_id AS number
   FROM events)"""
 MACHINES = """m AS (
-  SELECT s_suppkey AS id, 'node-' || lpad(CAST(s_suppkey - 1 AS VARCHAR), 2, '0') AS machine_name,
-    CASE WHEN s_suppkey % 4 = 0 THEN 'offline' ELSE 'online' END AS online_status FROM supplier WHERE s_suppkey BETWEEN 1 AND 8)"""
+  SELECT s_suppkey AS id, printf('node-%02d', s_suppkey - 1) AS machine_name, CASE WHEN s_suppkey % 4 = 0 THEN 'offline' ELSE 'online' END AS online_status FROM supplier)"""
 BLOCKS = """b AS (
   SELECT source_ip AS ip_address, arg_max(event_id, occurred_at) AS source_event_id, max(occurred_at) AS blocked_at,
     'risk ' || arg_max(risk_level, occurred_at) AS reason FROM e WHERE number % 13 = 0 GROUP BY source_ip)"""
@@ -33,7 +32,7 @@ REQUESTS = """r AS (
     coalesce(nullif(regexp_extract(url, '(?s)^[^:]*://[^/?#]*(.*)$', 1), ''), '/') AS uri, lower(regexp_extract(url, '(?s)^[^:]*://([^/?#]*)', 1)) AS host,
     CASE WHEN page_id % 7 = 0 THEN 404 WHEN page_id % 11 = 0 THEN 500 ELSE 200 END AS status_code,
     CASE WHEN page_id % 3 = 0 THEN 'application/json' ELSE 'text/html' END AS content_type,
-    'agent/' || CAST(page_id % 9 AS VARCHAR) AS user_agent, substr(html, 1, 500) AS body, html AS response FROM pages)"""
+    'agent/' || CAST(page_id % 9 AS VARCHAR) AS user_agent, html AS body, html AS response FROM pages)"""
 
 
 def label(column: str, strict: bool = False) -> str:
@@ -57,7 +56,14 @@ def public(column: str) -> str:
 
 
 REGION = f"CASE WHEN {public('source_ip')} THEN coalesce(region, '未知') ELSE '内网' END"
-WEEK = f"occurred_at >= {TODAY} - 6"
+WEEK = f"occurred_at >= {TODAY} - 6"  # calendar days
+LAST_WEEK, LAST_MONTH = f"occurred_at >= {AS_OF} - INTERVAL 7 DAY", f"occurred_at >= {AS_OF} - INTERVAL 30 DAY"  # times 24 hours
+ANALYSES = """y AS (SELECT 'b.' || CAST(number AS VARCHAR) AS case_id, 'batch-' || CAST(number % 50 AS VARCHAR) AS file_id, number AS seq_id,
+  CASE WHEN number % 5 = 0 THEN NULL WHEN number % 7 = 0 THEN '' ELSE strftime(occurred_at, '%Y-%m-%d %H:%M:%S') END AS attack_event_time, source_ip AS attack_ip, target_interface, attack_type,
+  score / 100 AS attack_confidence, CASE number % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'failed' END AS llm_status, occurred_at AS updated_at FROM e)"""
+ACCOUNTS = """u AS (SELECT c_custkey AS id, 'user' || CAST(c_custkey AS VARCHAR) AS username, CASE WHEN c_custkey % 7 = 0 THEN 'admin' WHEN c_custkey % 7 < 5 THEN 'normal' ELSE 'guest' END AS role,
+  c_name AS display_name FROM customer)"""
+ALERTS = f"count(*) FILTER (CAST(occurred_at AS DATE) = {TODAY} AND risk_level = 'high' AND process_status IN ('unprocessed', 'processing'))"
 
 METRIC_COLUMNS = """threshold, tp, fp, tn, fn,
     CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS recall,
@@ -84,8 +90,9 @@ def flag(text: str, words: tuple[str, ...]) -> str:
 SPECIAL = ("'", '"', "<", ">", ";", "--", "../", "%27", "%3c", "%3e", "%2e%2e", " or ", " and ")
 SQL_MARKS = (" or ", "or1=1", "or 1=1", "union", "select", "sleep(", "benchmark(", "--", "../", "%27", "%3c", "%3e", "'")
 LOGIN, CAPTCHA, TOKEN, PASSWORD = ("login", "auth", "signin", "session"), ("captcha", "verify"), ("token", "jwt", "bearer", "authorization"), ("password", "passwd", "pwd")
-TEXT = """'METHOD=' || method || chr(10) || 'URI=' || uri || chr(10) || 'HOST=' || host || chr(10) || 'CONTENT_TYPE=' || content_type || chr(10) ||
-  'STATUS_CODE=' || CAST(status_code AS VARCHAR) || chr(10) || 'REQUEST_BODY=' || coalesce(body, '')"""
+TEXT = """'METHOD=' || upper(method) || chr(10) || 'URI=' || uri || chr(10) || 'HOST=' || host || chr(10) || 'CONTENT_TYPE=' || content_type || chr(10) ||
+  'STATUS_CODE=' || CAST(status_code AS VARCHAR) || chr(10) || 'REQUEST_BODY=' || body || chr(10) || 'RESPONSE_EXCERPT=' || left(response, 500)"""
+MERGED = "lower(uri || ' ' || host || ' ' || body || ' ' || left(response, 500) || ' ' || user_agent || ' ' || content_type)"
 _SKIM = "len(list_filter(string_split(split_part(uri, '?', 1), '/'), lambda x: x <> ''))"
 _QUERY = "CASE WHEN instr(uri, '?') > 0 THEN length(uri) - instr(uri, '?') ELSE 0 END"
 
@@ -134,29 +141,29 @@ ORACLE = {
     "trend7d": f"""{_sql(EVENTS)}, d AS (SELECT CAST(occurred_at AS DATE) AS day, count(*) AS total, count(*) FILTER (attack_result = 'blocked') AS blocked FROM e WHERE {WEEK} GROUP BY 1),
         s AS (SELECT CAST({TODAY} - CAST(i AS INTEGER) AS DATE) AS day FROM range(0, 7) t(i)), f AS (SELECT s.day, coalesce(total, 0) AS total, coalesce(blocked, 0) AS blocked FROM s LEFT JOIN d USING (day))
         SELECT CAST(day AS VARCHAR) AS day, total, blocked, CASE WHEN total > 0 AND total = max(total) OVER () THEN 1 ELSE 0 END AS is_peak FROM f""",
-    "top_attack_types": f"{_sql(EVENTS)} SELECT {label('attack_type')} AS attack_label, count(*) AS total FROM e WHERE {WEEK} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    "method_share": f"{_sql(EVENTS)}, t AS (SELECT {label('attack_type')} AS attack_label, count(*) AS total FROM e WHERE {WEEK} GROUP BY 1) SELECT *, round(total * 100.0 / sum(total) OVER (), 2)::DOUBLE AS ratio_percent FROM t",
-    "source_distribution": f"""{_sql(EVENTS, GEO)}, i AS (SELECT source_ip, CAST(split_part(source_ip, '.', 1) AS INTEGER) AS first_octet, count(*) AS total FROM e WHERE {WEEK} GROUP BY 1)
+    "top_attack_types": f"{_sql(EVENTS)} SELECT {label('attack_type')} AS attack_label, count(*) AS total FROM e WHERE {LAST_WEEK} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "method_share": f"{_sql(EVENTS)}, t AS (SELECT {label('attack_type')} AS attack_label, count(*) AS total FROM e WHERE {LAST_WEEK} GROUP BY 1) SELECT *, round(total * 100.0 / sum(total) OVER (), 2)::DOUBLE AS ratio_percent FROM t",
+    "source_distribution": f"""{_sql(EVENTS, GEO)}, i AS (SELECT source_ip, CAST(split_part(source_ip, '.', 1) AS INTEGER) AS first_octet, count(*) AS total FROM e WHERE {LAST_WEEK} GROUP BY 1)
         SELECT {REGION} AS source_region, CAST(sum(total) AS BIGINT) AS total, count(*) AS addresses FROM i LEFT JOIN g USING (first_octet) GROUP BY 1""",
     "heatmap": f"{_sql(EVENTS)} SELECT CAST(isodow(occurred_at) - 1 AS INTEGER) AS weekday, CAST(hour(occurred_at) AS INTEGER) AS hour, count(*) AS total FROM e WHERE occurred_at >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1, 2",
     "machine_ranking": f"{_sql(EVENTS)} SELECT target_node AS machine_name, count(*) AS total FROM e WHERE CAST(occurred_at AS DATE) = {TODAY} GROUP BY 1",
-    "daily_report": f"{_sql(EVENTS)} SELECT CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS day, count(*) AS total, count(*) FILTER (attack_result = 'blocked') AS blocked, count(*) FILTER (risk_level = 'high') AS high FROM e WHERE occurred_at >= {TODAY} - 29 GROUP BY 1",
+    "daily_report": f"{_sql(EVENTS)} SELECT CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS day, count(*) AS attack_total, count(*) FILTER (attack_result = 'blocked') AS blocked_total, count(*) FILTER (risk_level = 'high') AS high_total FROM e WHERE occurred_at >= {TODAY} - 30 GROUP BY 1",
     "admin_trend": f"{_sql(EVENTS)} SELECT CAST(CAST(occurred_at AS DATE) AS VARCHAR) AS day, count(*) AS total FROM e WHERE {WEEK} GROUP BY 1",
     "model_performance": f"""{_sql(METRICS)} SELECT CAST(CAST(metric_time AS DATE) AS VARCHAR) AS day, round(avg(drift_score), 6) AS drift_score, round(avg(accuracy), 6) AS accuracy, round(avg(recall_rate), 6) AS recall_rate,
-        round(avg(inference_ms), 6) AS inference_ms FROM x WHERE metric_time > DATE '1998-06-30' - 30 AND metric_time < DATE '1998-06-30' + 1 GROUP BY 1""",
-    "response_histogram": f"""{_sql(EVENTS)}, a AS (SELECT * FROM e WHERE occurred_at >= {TODAY} - 29) SELECT '<200ms' AS bucket, count(*) AS total FROM a WHERE response_ms < 200
-        UNION ALL SELECT '200-500ms', count(*) FROM a WHERE response_ms >= 200 AND response_ms < 500 UNION ALL SELECT '500-1000ms', count(*) FROM a WHERE response_ms >= 500 AND response_ms < 1000
-        UNION ALL SELECT '>1000ms', count(*) FROM a WHERE response_ms >= 1000""",
-    "node_detail": f"{_sql(EVENTS)} SELECT count(*) AS total, count(*) FILTER (attack_result = 'blocked') AS blocked, count(*) FILTER (risk_level = 'high') AS high FROM e WHERE {WEEK} AND target_node = 'node-03'",
-    "node_counts": f"""{_sql(EVENTS)} SELECT target_node, count(*) FILTER (CAST(occurred_at AS DATE) = {TODAY}) AS today_count, count(*) FILTER (risk_level = 'high' AND process_status = 'unprocessed') AS alert_count,
-        max(occurred_at) AS latest FROM e GROUP BY 1""",
-    "machine_statistics": f"""{_sql(EVENTS, MACHINES)}, c AS (SELECT target_node, count(*) FILTER (CAST(occurred_at AS DATE) = {TODAY}) AS t, count(*) FILTER (risk_level = 'high' AND process_status = 'unprocessed') AS a, max(occurred_at) AS l FROM e GROUP BY 1)
+        round(avg(inference_ms), 6) AS inference_ms FROM x WHERE metric_time >= DATE '1998-06-30' - 30 GROUP BY 1""",
+    "response_histogram": f"""{_sql(EVENTS)}, a AS (SELECT * FROM e WHERE {LAST_MONTH}), c AS (SELECT count(*) FILTER (response_ms < 100) AS p, count(*) FILTER (response_ms >= 100 AND response_ms < 300) AS q,
+        count(*) FILTER (response_ms >= 300 AND response_ms < 800) AS r, count(*) FILTER (response_ms >= 800) AS s FROM a)
+        SELECT '<100ms' AS bucket, p AS total FROM c UNION ALL SELECT '100-300ms', q FROM c UNION ALL SELECT '300-800ms', r FROM c UNION ALL SELECT '>=800ms', s FROM c""",
+    "node_detail": f"{_sql(EVENTS)} SELECT count(*) AS total_7d, count(*) FILTER (attack_result = 'blocked') AS blocked_7d, count(*) FILTER (risk_level = 'high') AS high_7d FROM e WHERE {LAST_WEEK} AND target_node = 'node-03'",
+    "node_counts": f"{_sql(EVENTS)} SELECT target_node, count(*) FILTER (CAST(occurred_at AS DATE) = {TODAY}) AS today_count, {ALERTS} AS alert_count, max(occurred_at) AS latest FROM e GROUP BY 1",
+    "machine_statistics": f"""{_sql(EVENTS, MACHINES)}, c AS (SELECT target_node, count(*) FILTER (CAST(occurred_at AS DATE) = {TODAY}) AS t, {ALERTS} AS a, max(occurred_at) AS l FROM e GROUP BY 1)
         SELECT id, machine_name, online_status, coalesce(t, 0) AS today_attack_count, coalesce(a, 0) AS current_alert_count, l AS last_event FROM m LEFT JOIN c ON machine_name = target_node""",
     "system_status": f"""{_sql(EVENTS, MACHINES)}, a AS (SELECT max(occurred_at) AS latest_data_time, count(*) FILTER (risk_level = 'high' AND occurred_at >= {AS_OF} - INTERVAL 10 MINUTE) AS high_risk_last_10m FROM e),
         o AS (SELECT count(*) FILTER (online_status <> 'online') AS offline_machine_count FROM m)
         SELECT *, CASE WHEN offline_machine_count > 0 THEN 'error' WHEN high_risk_last_10m >= 8 THEN 'warning' ELSE 'normal' END AS level FROM a, o""",
-    "admin_summary": f"""{_sql(EVENTS, MACHINES, LOGS)} SELECT count(*) AS events, count(*) FILTER (CAST(occurred_at AS DATE) = {TODAY}) AS today_events,
-        count(*) FILTER (risk_level = 'high' AND process_status = 'unprocessed') AS open_high, (SELECT count(*) FROM m) AS machines, (SELECT count(*) FROM l) AS actions FROM e""",
+    "admin_summary": f"""{_sql(EVENTS, MACHINES)}, c AS (SELECT target_node, {ALERTS} AS a FROM e GROUP BY 1)
+        SELECT (SELECT count(*) FROM m WHERE online_status = 'online') AS online_machine_total, (SELECT count(*) FROM e WHERE CAST(occurred_at AS DATE) = {TODAY}) AS today_attack_total,
+        (SELECT count(*) FROM m JOIN c ON machine_name = target_node WHERE a > 0) AS alert_machine_count, (SELECT count(*) FROM m WHERE online_status <> 'online') AS offline_machine_count""",
     "blocked_by_event": f"{_sql(EVENTS, BLOCKS)} SELECT source_event_id, max(blocked_at) AS last_blocked_at FROM b GROUP BY 1",
     "event_search": f"""{_sql(EVENTS, BLOCKS)}, p AS (SELECT {FIELDS} FROM e WHERE occurred_at BETWEEN {AS_OF} - INTERVAL 7 DAY AND {AS_OF} AND risk_level = 'medium' AND process_status = 'done'
         AND lower(attack_type) IN ('xss') AND (lower(event_id) LIKE '%1%' OR lower(source_ip) LIKE '%1%' OR lower(target_interface) LIKE '%1%') ORDER BY occurred_at DESC, event_id LIMIT 10 OFFSET 10)
@@ -166,13 +173,17 @@ ORACLE = {
     "events_with_blocks": f"{_sql(EVENTS, BLOCKS)} SELECT event_id, source_ip, CASE WHEN source_event_id IS NULL THEN 0 ELSE 1 END AS is_blocked FROM e LEFT JOIN b ON event_id = source_event_id",
     "event_detail": f"""{_sql(EVENTS, BLOCKS, GEO)} SELECT event_id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S.%g') AS occurred_at, risk_level, {label('attack_type')} AS attack_label, source_ip, {REGION} AS source_region,
         CASE WHEN source_event_id IS NULL THEN 0 ELSE 1 END AS is_blocked, request_log FROM e LEFT JOIN b ON event_id = source_event_id LEFT JOIN g ON first_octet = CAST(split_part(source_ip, '.', 1) AS INTEGER) WHERE event_id = 'EVT000000650'""",
-    "alert_ticker": f"{_sql(EVENTS)} SELECT event_id, occurred_at, risk_level, attack_type FROM e ORDER BY occurred_at DESC, event_id LIMIT 10",
-    "alert_popup": f"{_sql(EVENTS)} SELECT event_id, occurred_at, target_node, source_ip FROM e WHERE risk_level = 'high' AND acked = 0 ORDER BY occurred_at DESC, event_id LIMIT 20",
-    "node_latest": f"{_sql(EVENTS)} SELECT event_id, occurred_at, target_node, source_ip FROM e WHERE target_node = 'node-05' ORDER BY occurred_at DESC, event_id LIMIT 50",
+    "alert_ticker": f"{_sql(EVENTS)} SELECT event_id, occurred_at, risk_level, attack_type, source_ip, target_node, target_interface FROM e WHERE risk_level = 'high' ORDER BY occurred_at DESC, event_id LIMIT 10",
+    "alert_popup": f"{_sql(EVENTS)} SELECT event_id, occurred_at, attack_type, source_ip, target_node, target_interface FROM e WHERE risk_level = 'high' AND acked = 0 ORDER BY occurred_at DESC, event_id LIMIT 20",
+    "node_latest": f"{_sql(EVENTS)} SELECT event_id, occurred_at, risk_level, attack_type, source_ip, attack_result, process_status FROM e WHERE target_node = 'node-05' ORDER BY occurred_at DESC, event_id LIMIT 50",
     "each_node_latest": f"{_sql(EVENTS)} SELECT target_node, CAST(row_number() OVER (PARTITION BY target_node ORDER BY occurred_at DESC, event_id) AS INTEGER) AS place, event_id, occurred_at FROM e QUALIFY place <= 50",
     "blocked_list": f"{_sql(EVENTS, BLOCKS)} SELECT * FROM b WHERE lower(ip_address) LIKE '%1_.%' OR lower(reason) LIKE '%1_.%' ORDER BY blocked_at DESC, ip_address LIMIT 20 OFFSET 20",
-    "screen_attacks": f"{_sql(EVENTS)} SELECT event_id, occurred_at, note, target_node AS machine_name FROM e ORDER BY CASE WHEN note IS NULL OR note = '' THEN 1 ELSE 0 END, occurred_at DESC, event_id DESC LIMIT 100",
+    "screen_attacks": f"{_sql(EVENTS, ANALYSES)} SELECT case_id, file_id, seq_id, attack_event_time AS event_time, attack_ip, target_interface, attack_type, attack_confidence AS confidence, llm_status FROM y ORDER BY CASE WHEN attack_event_time IS NULL OR attack_event_time = '' THEN 1 ELSE 0 END, attack_event_time DESC, updated_at DESC, case_id LIMIT 100",
     "user_actions": f"{_sql(LOGS)} SELECT * FROM l WHERE action = '1-urgent' ORDER BY CASE WHEN role = 'admin' THEN 0 ELSE 1 END, created_at DESC, id DESC LIMIT 50 OFFSET 50",
+    "screen_attacks_done": f"{_sql(EVENTS, ANALYSES)} SELECT case_id, file_id, seq_id, attack_event_time AS event_time, attack_ip, target_interface, attack_type, attack_confidence AS confidence, llm_status FROM y WHERE llm_status = 'done' ORDER BY CASE WHEN attack_event_time IS NULL OR attack_event_time = '' THEN 1 ELSE 0 END, attack_event_time DESC, updated_at DESC, case_id LIMIT 50 OFFSET 20",
+    "case_by_id": f"{_sql(EVENTS, ANALYSES)} SELECT * FROM y WHERE case_id = 'b.37'",
+    "case_by_place": f"{_sql(EVENTS, ANALYSES)} SELECT * FROM y WHERE file_id = 'batch-7' AND seq_id = 57",
+    "users": f"{_sql(ACCOUNTS)} SELECT * FROM u WHERE role IN ('admin', 'normal')",
     "labels_default": f"SELECT event_id, {label(chr(39) + 'x ' + chr(39) + ' || CASE event_type WHEN ' + repr('signup') + ' THEN ' + repr('Brute_Force') + ' WHEN ' + repr('error') + ' THEN ' + repr('SQL-Injection') + ' ELSE event_type END')} AS attack_label FROM events",
     "labels_strict": f"SELECT event_id, {label(chr(39) + 'x ' + chr(39) + ' || CASE event_type WHEN ' + repr('signup') + ' THEN ' + repr('Brute_Force') + ' WHEN ' + repr('error') + ' THEN ' + repr('SQL-Injection') + ' ELSE event_type END', True)} AS attack_label FROM events",
     "inferred_attacks": f"{_sql(REQUESTS)}, z AS (SELECT seq_id, lower(uri || chr(10) || response) AS t FROM r) SELECT seq_id, {_INFER} AS attack_type FROM z",
@@ -180,10 +191,22 @@ ORACLE = {
         FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN value / 100 ELSE value / 200 END AS c, user_id % 3 = 0 AS l FROM events)""",
     "attack_results": f"{_sql(REQUESTS)} SELECT seq_id, status_code, CASE WHEN status_code IN (401, 403, 404, 406, 409, 429) OR status_code >= 500 THEN 'blocked' ELSE 'success' END AS attack_result FROM r",
     "public_sources": f"{_sql(EVENTS)} SELECT source_ip, {public('source_ip')} AS is_public, count(*) AS total FROM e GROUP BY 1, 2",
-    "model_input": f"""{_sql(REQUESTS)}, z AS (SELECT *, lower({TEXT}) AS t FROM r) SELECT file_id, seq_id, method, uri, host, status_code, length(uri) AS uri_len, {_QUERY} AS query_len, {_SKIM} AS path_depth,
-        {counts('t', SPECIAL)} AS special_char_count, length(coalesce(body, '')) AS body_len, length(user_agent) AS user_agent_len, CASE WHEN method = 'GET' THEN 1 ELSE 0 END AS is_get, CASE WHEN method = 'POST' THEN 1 ELSE 0 END AS is_post,
-        CASE WHEN contains(content_type, 'json') OR (starts_with(trim(body), '{{') AND ends_with(trim(body), '}}')) THEN 1 ELSE 0 END AS has_json_body, {flag('t', LOGIN)} AS has_login_keyword, {flag('t', CAPTCHA)} AS has_captcha_keyword,
-        {flag('t', ('admin', 'root', 'system', 'manage', 'panel'))} AS has_admin_keyword, {flag('t', TOKEN)} AS has_token_keyword, {flag('t', PASSWORD)} AS has_password_keyword, CASE WHEN status_code >= 400 THEN 1 ELSE 0 END AS resp_is_error FROM z""",
+    "model_input": f"""{_sql(REQUESTS)}, z AS (SELECT *, {MERGED} AS t, {TEXT} AS request_text FROM r) SELECT file_id, seq_id, upper(method) AS method, uri, host, CAST(status_code AS VARCHAR) AS status_code, length(uri) AS uri_len, {_QUERY} AS query_len, {_SKIM} AS path_depth,
+        {counts('t', SPECIAL)} AS special_char_count, length(body) AS body_len, length(user_agent) AS user_agent_len, CASE WHEN upper(method) = 'GET' THEN 1 ELSE 0 END AS is_get, CASE WHEN upper(method) = 'POST' THEN 1 ELSE 0 END AS is_post,
+        CASE WHEN contains(lower(content_type), 'json') OR regexp_matches(body, '(?s)^\\s*\\{{.*\\}}\\s*$') THEN 1 ELSE 0 END AS has_json_body, {flag('t', LOGIN)} AS has_login_keyword, {flag('t', CAPTCHA)} AS has_captcha_keyword,
+        {flag('t', ('admin', 'root', 'system', 'manage', 'panel'))} AS has_admin_keyword, {flag('t', TOKEN)} AS has_token_keyword, {flag('t', PASSWORD)} AS has_password_keyword, CASE WHEN status_code >= 400 THEN 1 ELSE 0 END AS resp_is_error, request_text FROM z""",
+    "flow_features": f"""{_sql(REQUESTS)}, z AS (SELECT *, {MERGED} AS t, length({TEXT})::DOUBLE AS text_len, seq_id::DOUBLE AS t0 FROM r),
+        y AS (SELECT *, greatest(0.001::DOUBLE, (t0 + length(response) / 100000.0::DOUBLE) - t0) AS gap, ({counts('t', SQL_MARKS)})::DOUBLE AS s, ({flag('t', LOGIN)})::DOUBLE AS lo, ({flag('t', CAPTCHA)})::DOUBLE AS ca, ({flag('t', PASSWORD)})::DOUBLE AS pw,
+          ({flag('t', ('admin', 'root', 'manage', 'panel'))})::DOUBLE AS ad, ({flag('t', TOKEN)})::DOUBLE AS tk, (CASE WHEN contains(lower(content_type), 'json') THEN 1 ELSE 0 END)::DOUBLE AS js,
+          ({flag('t', ('errauth', 'errcaptcha', 'number value: 406'))})::DOUBLE AS be, length(uri)::DOUBLE AS ul, ({_SKIM})::DOUBLE AS de, length(body)::DOUBLE AS bl, length(user_agent)::DOUBLE AS al FROM z),
+        x AS (SELECT *, s * 3 + pw * 2 + lo + be * 3 + tk AS bonus, least(5.0::DOUBLE, 0.03::DOUBLE + gap + bl / 5000 + s * 0.02::DOUBLE) AS dur FROM y),
+        w AS (SELECT *, 2 + de + CASE WHEN method = 'POST' THEN 1 ELSE 0 END + bonus AS spkts, 3 + be AS dpkts, 100 + ul + bl + al + bonus * 30 AS sbytes, 80 + least(text_len, 5000) * 0.2::DOUBLE + be * 50 AS dbytes FROM x)
+        SELECT file_id, seq_id, dur, spkts, dpkts, sbytes, dbytes, (spkts + dpkts) / greatest(dur, 0.001::DOUBLE) AS rate, sbytes / greatest(dur, 0.001::DOUBLE) AS sload, dbytes / greatest(dur, 0.001::DOUBLE) AS dload,
+        dur / greatest(spkts, 1) AS sinpkt, dur / greatest(dpkts, 1) AS dinpkt, s * 0.5::DOUBLE + bonus * 0.2::DOUBLE AS sjit, be * 0.8::DOUBLE + s * 0.3::DOUBLE AS djit, sbytes / greatest(spkts, 1) AS smean, dbytes / greatest(dpkts, 1) AS dmean,
+        least(1, gap + be * 0.05::DOUBLE)::DOUBLE AS tcprtt, least(1, gap / 2)::DOUBLE AS synack, least(1, gap / 2)::DOUBLE AS ackdat, 1 + js + pw + lo + bonus AS trans_depth, least(text_len + be * 100, 20000)::DOUBLE AS response_body_len,
+        1 + lo + ca + ad AS ct_srv_src, 1 + be + s AS ct_state_ttl, 1 + lo + be AS ct_dst_ltm, 1 + bonus AS ct_src_dport_ltm, 1 + bonus AS ct_dst_sport_ltm, 1 + bonus AS ct_dst_src_ltm,
+        (CASE WHEN method = 'POST' THEN 2 ELSE 1 END)::DOUBLE AS ct_flw_http_mthd, 1 + pw + tk + s AS ct_src_ltm, 1 + ad + be AS ct_srv_dst, 64::DOUBLE AS sttl, 64::DOUBLE AS dttl, 255::DOUBLE AS swin, 255::DOUBLE AS dwin,
+        (1000 + seq_id * 10)::DOUBLE AS stcpb, (2000 + seq_id * 10)::DOUBLE AS dtcpb, 0::DOUBLE AS sloss, 0::DOUBLE AS dloss, 0::DOUBLE AS is_ftp_login, 0::DOUBLE AS ct_ftp_cmd, 0::DOUBLE AS is_sm_ips_ports FROM w""",
     "static_requests": f"{_sql(REQUESTS)} SELECT host, count(*) AS total, count(*) FILTER (regexp_matches(lower(split_part(uri, '?', 1)), '\\.(js|css|png|jpg|jpeg|gif|svg|ico|woff|woff2|map)$')) AS dropped FROM r GROUP BY 1",
     "query_terms": "SELECT doc_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i)[1:14], ' ') AS terms FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9_./:-]{2,}') AS x FROM documents)",
     "host_names": f"{_sql(REQUESTS)} SELECT host, count(*) AS total FROM r GROUP BY 1",
@@ -215,8 +238,8 @@ ORACLE = {
     "canonical_round_trip": f"""{_sql(REQUESTS)}, n AS (SELECT *, (row_number() OVER (PARTITION BY file_id ORDER BY seq_id) - 1) // 4 AS batch FROM r),
         f AS (SELECT *, row_number() OVER (PARTITION BY file_id, batch ORDER BY seq_id) AS place, count(*) OVER (PARTITION BY file_id, batch) AS full_size FROM n)
         SELECT file_id, CAST(place AS INTEGER) AS place, seq_id, method, uri, host, status_code, content_type, CAST(length(uri) + length(host) + 10 AS INTEGER) AS text_length, uri AS request_block FROM f WHERE full_size = 4""",
-    "case_states": f"""{_sql(EVENTS)}, s AS (SELECT CASE number % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'failed' END AS status, occurred_at FROM e)
-        SELECT CASE WHEN status IN ('pending', 'failed') OR (status = 'processing' AND epoch({AS_OF})::BIGINT - floor(epoch(occurred_at))::BIGINT >= 180) THEN 'take' ELSE 'leave' END AS state, status, count(*) AS total FROM s GROUP BY 1, 2""",
+    "case_states": f"""{_sql(EVENTS)}, s AS (SELECT CASE number % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'failed' END AS status, CASE WHEN number % 6 > 0 THEN occurred_at END AS began FROM e)
+        SELECT CASE WHEN status IN ('pending', 'failed') OR (status = 'processing' AND (began IS NULL OR epoch({AS_OF})::BIGINT - floor(epoch(began))::BIGINT >= 180)) THEN 'take' ELSE 'leave' END AS state, status, count(*) AS total FROM s GROUP BY 1, 2""",
     "retry_states": f"""{_sql(EVENTS)} SELECT CASE WHEN number % 7 >= 5 THEN 'ignored' WHEN number % 3 = 0 OR epoch({AS_OF})::BIGINT - floor(epoch(occurred_at))::BIGINT >= 30 THEN 'ready' ELSE 'waiting' END AS state, count(*) AS total FROM e GROUP BY 1""",
     "stream_hourly_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS total, count(*) FILTER (value >= 80) AS high FROM events GROUP BY 1, 2",
     "stream_latest_by_user": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palisade.functions import labels
 from palisade.sources.tables import AS_OF
 
+
 def _day() -> Column:
     return F.to_date("occurred_at")
 
@@ -29,6 +30,11 @@ def _since(events: DataFrame, as_of: str, days: int) -> DataFrame:
     return events.where(F.col("occurred_at") >= F.date_sub(_today(as_of), days - 1))
 
 
+def _rolling(events: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Events from ``days`` times 24 hours ago on; there is no upper bound."""
+    return events.where(F.col("occurred_at") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
+
+
 def kpis(events: DataFrame, machines: DataFrame, as_of: str = AS_OF) -> DataFrame:
     today, blocked = _day() == _today(as_of), F.col("attack_result") == "blocked"
     one = events.agg(
@@ -59,7 +65,7 @@ def trend7d(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 
 def attack_types(events: DataFrame, as_of: str = AS_OF, days: int = 7) -> DataFrame:
-    return _since(events, as_of, days).groupBy(labels.attack_label(F.col("attack_type")).alias("attack_label")).agg(F.count("*").alias("total"))
+    return _rolling(events, as_of, days).groupBy(labels.attack_label(F.col("attack_type")).alias("attack_label")).agg(F.count("*").alias("total"))
 
 
 def top_attack_types(events: DataFrame, as_of: str = AS_OF, most: int = 10) -> DataFrame:
@@ -74,7 +80,7 @@ def method_share(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 def source_distribution(events: DataFrame, geo: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """Events by region: counted by address first, so only one row for each address meets the cache."""
-    by_ip = _since(events, as_of, 7).groupBy("source_ip").agg(F.count("*").alias("total"))
+    by_ip = _rolling(events, as_of, 7).groupBy("source_ip").agg(F.count("*").alias("total"))
     octet = F.split_part("source_ip", F.lit("."), F.lit(1)).cast("int")
     found = by_ip.withColumn("first_octet", octet).join(geo, "first_octet", "left")
     name = labels.region(F.col("source_ip"), F.lit(None).cast("string"), F.col("region"))
@@ -82,8 +88,7 @@ def source_distribution(events: DataFrame, geo: DataFrame, as_of: str = AS_OF) -
 
 
 def heatmap(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    month = events.where(F.col("occurred_at") >= F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS"))
-    return month.groupBy(F.weekday("occurred_at").alias("weekday"), F.hour("occurred_at").alias("hour")).agg(F.count("*").alias("total"))
+    return _rolling(events, as_of, 30).groupBy(F.weekday("occurred_at").alias("weekday"), F.hour("occurred_at").alias("hour")).agg(F.count("*").alias("total"))
 
 
 def machine_ranking(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
@@ -91,40 +96,41 @@ def machine_ranking(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 
 def daily_report(events: DataFrame, as_of: str = AS_OF, days: int = 30) -> DataFrame:
-    """Days with events only."""
-    return _since(events, as_of, days).groupBy(_day().alias("day")).agg(
-        F.count("*").alias("total"), F.count_if(F.col("attack_result") == "blocked").alias("blocked"), F.count_if(F.col("risk_level") == "high").alias("high")
+    """Days with events only, from ``days`` days before today on."""
+    return _since(events, as_of, days + 1).groupBy(_day().alias("day")).agg(
+        F.count("*").alias("attack_total"), F.count_if(F.col("attack_result") == "blocked").alias("blocked_total"), F.count_if(F.col("risk_level") == "high").alias("high_total")
     )
 
 
 def admin_trend(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    return daily_report(events, as_of, 7).select("day", "total")
+    return _since(events, as_of, 7).groupBy(_day().alias("day")).agg(F.count("*").alias("total"))
 
 
 def model_performance(metrics: DataFrame, until: str, days: int = 30) -> DataFrame:
-    recent = metrics.where((F.col("metric_time") > F.date_sub(F.lit(until).cast("date"), days)) & (F.col("metric_time") < F.date_add(F.lit(until).cast("date"), 1)))
+    recent = metrics.where(F.col("metric_time") >= F.date_sub(F.lit(until).cast("date"), days))
     return recent.groupBy(F.to_date("metric_time").alias("day")).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("drift_score", "accuracy", "recall_rate", "inference_ms")])
 
 
 def response_histogram(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """Four fixed buckets, from one pass over the events."""
-    ms, cuts = F.col("response_ms"), ((None, 200), (200, 500), (500, 1000), (1000, None))
-    names = ("<200ms", "200-500ms", "500-1000ms", ">1000ms")
+    ms, cuts = F.col("response_ms"), ((None, 100), (100, 300), (300, 800), (800, None))
+    names = ("<100ms", "100-300ms", "300-800ms", ">=800ms")
     inside = [(F.lit(True) if lo is None else ms >= lo) & (F.lit(True) if hi is None else ms < hi) for lo, hi in cuts]
-    one = _since(events, as_of, 30).agg(*[F.count_if(c).alias(f"b{i}") for i, c in enumerate(inside)])
+    one = _rolling(events, as_of, 30).agg(*[F.count_if(c).alias(f"b{i}") for i, c in enumerate(inside)])
     return one.select(F.stack(F.lit(4), *[x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"b{i}"))]).alias("bucket", "total"))
 
 
 def node_detail(events: DataFrame, node: str, as_of: str = AS_OF) -> DataFrame:
-    of = _since(events, as_of, 7).where(F.col("target_node") == node)
-    return of.agg(F.count("*").alias("total"), F.count_if(F.col("attack_result") == "blocked").alias("blocked"), F.count_if(F.col("risk_level") == "high").alias("high"))
+    of = _rolling(events, as_of, 7).where(F.col("target_node") == node)
+    return of.agg(F.count("*").alias("total_7d"), F.count_if(F.col("attack_result") == "blocked").alias("blocked_7d"), F.count_if(F.col("risk_level") == "high").alias("high_7d"))
 
 
 def node_counts(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    """For each node: events of today, open alerts and its latest event."""
+    """For each node: events of today, those of them that are high and open, and its latest event."""
+    today, open_ = _day() == _today(as_of), F.col("process_status").isin("unprocessed", "processing")
     return events.groupBy("target_node").agg(
-        F.count_if(_day() == _today(as_of)).alias("today_count"),
-        F.count_if((F.col("risk_level") == "high") & (F.col("process_status") == "unprocessed")).alias("alert_count"),
+        F.count_if(today).alias("today_count"),
+        F.count_if(today & (F.col("risk_level") == "high") & open_).alias("alert_count"),
         F.max("occurred_at").alias("latest"),
     )
 
@@ -150,10 +156,11 @@ def system_status(events: DataFrame, machines: DataFrame, as_of: str = AS_OF) ->
     return one.crossJoin(off).withColumn("level", level)
 
 
-def admin_summary(events: DataFrame, machines: DataFrame, logs: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    one = events.agg(
-        F.count("*").alias("events"),
-        F.count_if(_day() == _today(as_of)).alias("today_events"),
-        F.count_if((F.col("risk_level") == "high") & (F.col("process_status") == "unprocessed")).alias("open_high"),
+def admin_summary(events: DataFrame, machines: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """Machines online, offline and with open alerts, and today's attacks."""
+    of = machine_statistics(events, machines, as_of)
+    online = F.col("online_status") == "online"
+    counts = of.agg(
+        F.count_if(online).alias("online_machine_total"), F.count_if(F.col("current_alert_count") > 0).alias("alert_machine_count"), F.count_if(~online).alias("offline_machine_count")
     )
-    return one.crossJoin(machines.agg(F.count("*").alias("machines"))).crossJoin(logs.agg(F.count("*").alias("actions")))
+    return counts.crossJoin(events.where(_day() == _today(as_of)).agg(F.count("*").alias("today_attack_total")))  # one row each

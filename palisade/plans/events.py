@@ -85,21 +85,26 @@ def detail(events: DataFrame, blocks: DataFrame, geo: DataFrame, event_id: str)
     )
 
 
-def ticker(events: DataFrame, most: int = 10) -> DataFrame:
-    return events.orderBy(F.desc("occurred_at"), "event_id").limit(min(10, max(1, most))).select("event_id", "occurred_at", "risk_level", "attack_type")
+ALERT = ("event_id", "occurred_at", "attack_type", "source_ip", "target_node", "target_interface")
 
 
-def popup(events: DataFrame, most: int = 20) -> DataFrame:
-    """The latest high alerts that nobody has acknowledged."""
-    return ticker_of(events.where((F.col("risk_level") == "high") & (F.col("acked") == 0)), min(20, max(1, most)))
+def _latest(events: DataFrame, most: int, columns: tuple[str, ...]) -> DataFrame:
+    return events.orderBy(F.desc("occurred_at"), "event_id").limit(most).select(*columns)
 
 
-def ticker_of(events: DataFrame, most: int) -> DataFrame:
-    return events.orderBy(F.desc("occurred_at"), "event_id").limit(most).select("event_id", "occurred_at", "target_node", "source_ip")
+def ticker(events: DataFrame, most: int = 3) -> DataFrame:
+    """The latest high alerts, 10 at most."""
+    return _latest(events.where(F.col("risk_level") == "high"), min(10, max(1, most)), ("risk_level", *ALERT))
+
+
+def popup(events: DataFrame, most: int = 5) -> DataFrame:
+    """The latest high alerts that nobody has acknowledged, 20 at most."""
+    return _latest(events.where((F.col("risk_level") == "high") & (F.col("acked") == 0)), min(20, max(1, most)), ALERT)
 
 
 def latest_of_node(events: DataFrame, node: str, most: int = 50) -> DataFrame:
-    return ticker_of(events.where(F.col("target_node") == node), most)
+    columns = ("event_id", "occurred_at", "risk_level", "attack_type", "source_ip", "attack_result", "process_status")
+    return _latest(events.where(F.col("target_node") == node), most, columns)
 
 
 def latest_of_each_node(events: DataFrame, most: int = 50) -> DataFrame:
@@ -117,10 +122,34 @@ def blocked_list(blocks: DataFrame, keyword: str = "", page: int = 1, size: int
     return found.orderBy(F.desc("blocked_at"), "ip_address").offset((page - 1) * size).limit(size)
 
 
-def screen_attacks(events: DataFrame, most: int = 100) -> DataFrame:
-    """Rows with a note first, then the newest; empty notes count as none."""
-    empty = F.when(F.col("note").isNull() | (F.col("note") == ""), 1).otherwise(0)
-    return events.orderBy(empty, F.desc("occurred_at"), F.desc("event_id")).limit(min(500, most)).select("event_id", "occurred_at", "note", F.col("target_node").alias("machine_name"))
+def screen_attacks(analyses: DataFrame, status: str = "", most: int = 100, offset: int = 0) -> DataFrame:
+    """A page of analyses: those without an event time last, then the newest."""
+    found = analyses.where(F.col("llm_status") == status) if status else analyses
+    empty = F.when(F.col("attack_event_time").isNull() | (F.col("attack_event_time") == ""), 1).otherwise(0)
+    page = found.orderBy(empty, F.desc("attack_event_time"), F.desc("updated_at"), "case_id").offset(max(0, offset)).limit(max(1, min(500, most)))
+    return page.select(
+        "case_id", "file_id", "seq_id", F.col("attack_event_time").alias("event_time"), "attack_ip", "target_interface", "attack_type",
+        F.col("attack_confidence").alias("confidence"), "llm_status",
+    )
+
+
+def case_rows(rows: DataFrame, case_id: str = "", file_id: str = "", seq_id: str = "") -> DataFrame:
+    """Rows of one case, by its id or else by its file and place there; the key reaches the scan."""
+    if case_id.strip():
+        return rows.where(F.col("case_id") == case_id.strip())
+    try:
+        place = int(seq_id) if seq_id.strip() else None
+    except ValueError:
+        raise ValueError("seq_id must be an integer") from None
+    if not file_id.strip() or place is None:
+        raise ValueError("give case_id, or file_id and seq_id")
+    return rows.where((F.col("file_id") == file_id.strip()) & (F.col("seq_id") == place))
+
+
+def users(accounts: DataFrame) -> DataFrame:
+    """Administrators, then normal users, by name; other roles are left out."""
+    of = accounts.where(F.col("role").isin("admin", "normal"))
+    return of.orderBy(F.when(F.col("role") == "admin", 1).otherwise(2), "username").select("id", "username", "role", "display_name")
 
 
 def user_actions(logs: DataFrame, action: str, page: int = 1, size: int = 50) -> DataFrame:

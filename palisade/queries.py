@@ -86,8 +86,7 @@ def masked_documents(s: SparkSession, d: str) -> DataFrame:
 
 
 def flow_features(s: SparkSession, d: str) -> DataFrame:
-    """Over whole bodies: ``requests`` holds only an excerpt of each page as its body, as its SQL does."""
-    r = T.requests(s, d).withColumn("body", F.col("response")).withColumn("time", F.col("seq_id").cast("double")).withColumn("resp_time", F.col("time") + F.length("response") / 100000)
+    r = T.requests(s, d).withColumn("time", F.col("seq_id").cast("double")).withColumn("resp_time", F.col("time") + F.length("response") / 100000)
     return http.flow_features(r)
 
 
@@ -235,7 +234,7 @@ def case_states(s: SparkSession, d: str) -> DataFrame:
     e = T.security_events(s, d)
     status = F.element_at(F.array(*map(F.lit, ("pending", "processing", "done", "failed"))), (F.col("number") % 4 + 1).cast("int"))
     now = F.lit(T.AS_OF).cast("timestamp")
-    return e.groupBy(jobs.case_state(status, F.col("occurred_at").cast("timestamp"), now).alias("state"), status.alias("status")).agg(F.count("*").alias("total"))
+    return e.groupBy(jobs.case_state(status, F.when(F.col("number") % 6 > 0, F.col("occurred_at").cast("timestamp")), now).alias("state"), status.alias("status")).agg(F.count("*").alias("total"))
 
 
 def retry_states(s: SparkSession, d: str) -> DataFrame:
@@ -260,18 +259,22 @@ QUERIES: dict[str, Query] = {
     "node_counts": _of_events(dashboard.node_counts),
     "machine_statistics": _of_events(dashboard.machine_statistics, T.machines),
     "system_status": _of_events(dashboard.system_status, T.machines),
-    "admin_summary": _of_events(dashboard.admin_summary, T.machines, T.action_logs),
+    "admin_summary": _of_events(dashboard.admin_summary, T.machines),
     "blocked_by_event": lambda s, d: events.blocked_by_event(T.blocked_ips(s, d)),
     "event_search": _of_events(ADDRESS_KEYWORD.rows, T.blocked_ips),
     "event_search_total": _of_events(ADDRESS_KEYWORD.total),
     "events_with_blocks": lambda s, d: events.with_blocks(T.security_events(s, d), T.blocked_ips(s, d)).select("event_id", "source_ip", "is_blocked"),
     "event_detail": _of_events(events.detail, T.blocked_ips, T.geo_cache, event_id="EVT000000650"),
-    "alert_ticker": _of_events(events.ticker),
-    "alert_popup": _of_events(events.popup),
+    "alert_ticker": _of_events(events.ticker, most=10),
+    "alert_popup": _of_events(events.popup, most=20),
     "node_latest": _of_events(events.latest_of_node, node="node-05"),
     "each_node_latest": _of_events(events.latest_of_each_node),
     "blocked_list": lambda s, d: events.blocked_list(T.blocked_ips(s, d), "1_.", page=2),
-    "screen_attacks": _of_events(events.screen_attacks),
+    "screen_attacks": lambda s, d: events.screen_attacks(T.analyses(s, d)),
+    "screen_attacks_done": lambda s, d: events.screen_attacks(T.analyses(s, d), "done", 50, 20),
+    "case_by_id": lambda s, d: events.case_rows(T.analyses(s, d), case_id="b.37"),
+    "case_by_place": lambda s, d: events.case_rows(T.analyses(s, d), file_id="batch-7", seq_id="57"),
+    "users": lambda s, d: events.users(T.accounts(s, d)),
     "user_actions": lambda s, d: events.user_actions(T.action_logs(s, d), "1-urgent", page=2),
     "labels_default": lambda s, d: _raw_labels(s, d, strict=False),
     "labels_strict": lambda s, d: _raw_labels(s, d, strict=True),

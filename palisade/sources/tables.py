@@ -49,11 +49,11 @@ def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The machine dimension: the first suppliers."""
-    s = stored(spark, sf_dir, "supplier").where(F.col("s_suppkey").between(1, NODES))
+    """The machine dimension: one for each supplier; those after the first ``NODES`` have no events."""
+    s = stored(spark, sf_dir, "supplier")
     return s.select(
         F.col("s_suppkey").alias("id"),
-        F.concat(F.lit("node-"), F.lpad((F.col("s_suppkey") - 1).cast("string"), 2, "0")).alias("machine_name"),
+        F.format_string("node-%02d", F.col("s_suppkey") - 1).alias("machine_name"),
         F.when(F.col("s_suppkey") % 4 == 0, "offline").otherwise("online").alias("online_status"),
     )
 
@@ -105,7 +105,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 7 == 0, 404).when(n % 11 == 0, 500).otherwise(200).alias("status_code"),
         F.when(n % 3 == 0, "application/json").otherwise("text/html").alias("content_type"),
         F.concat(F.lit("agent/"), (n % 9).cast("string")).alias("user_agent"),
-        F.substring("html", 1, 500).alias("body"),
+        F.col("html").alias("body"),
         F.col("html").alias("response"),
     )
 
@@ -114,3 +114,22 @@ def geo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of first octets, as a remote look-up would have filled the cache."""
     n = stored(spark, sf_dir, "nation")
     return n.select((F.col("n_nationkey") * 8 + 10).cast("int").alias("first_octet"), F.col("n_name").alias("region"))
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses of cases: one for each stored event; some have no event time or an empty one."""
+    n, statuses = F.col("number"), F.array(*map(F.lit, ("pending", "processing", "done", "failed")))
+    shown = F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss")
+    return security_events(spark, sf_dir).select(
+        F.concat(F.lit("b."), n.cast("string")).alias("case_id"), F.concat(F.lit("batch-"), (n % 50).cast("string")).alias("file_id"), n.alias("seq_id"),
+        F.when(n % 5 == 0, F.lit(None)).when(n % 7 == 0, F.lit("")).otherwise(shown).alias("attack_event_time"), F.col("source_ip").alias("attack_ip"),
+        "target_interface", "attack_type", (F.col("score") / 100).alias("attack_confidence"), F.element_at(statuses, (n % 4 + 1).cast("int")).alias("llm_status"),
+        F.col("occurred_at").alias("updated_at"),
+    )
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts: one for each customer."""
+    key = F.col("c_custkey")
+    role = F.when(key % 7 == 0, "admin").when(key % 7 < 5, "normal").otherwise("guest")
+    return stored(spark, sf_dir, "customer").select(key.alias("id"), F.concat(F.lit("user"), key.cast("string")).alias("username"), role.alias("role"), F.col("c_name").alias("display_name"))

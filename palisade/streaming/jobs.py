@@ -18,6 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from palisade.operators import mutations
 
 
+# Parts of errors after which a case is tried again.
+RETRIED = ("timed out", "connection refused", "winerror 10061", "llama runner process has terminated", "http 500", "internal server error")
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder among those that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
@@ -107,10 +111,14 @@ def retry_state(attempts: Column, failed_at: Column, now: Column, most: int = 5,
 
 def case_state(status: Column, started: Column, now: Column, timeout: int = 180) -> Column:
     """Which cases a pass takes: pending and failed ones, and those that have been processing for too long."""
-    stale = (status == "processing") & (F.unix_timestamp(now) - F.unix_timestamp(started) >= max(30, timeout))
+    since = F.unix_timestamp(now) - F.unix_timestamp(started)
+    stale = (status == "processing") & F.coalesce(since >= max(30, timeout), F.lit(True))  # without a start, nobody is at work
     return F.when(status.isin("pending", "failed") | stale, "take").otherwise("leave")
 
 
 def can_retry(error: Column) -> Column:
     """Whether an error is worth another try."""
-    return F.coalesce(F.lower(error).rlike("timeout|timed out|connection|refused|memory|503"), F.lit(False))
+    low, found = F.lower(error), F.lit(False)
+    for token in RETRIED:
+        found = found | low.contains(token)
+    return F.coalesce(found, F.lit(False))

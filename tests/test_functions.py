@@ -2,6 +2,8 @@
 
 import math
 import os
+import re
+from urllib.parse import unquote_plus
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade import queries
-from palisade.functions import http, labels, scoring
+from palisade.functions import http, labels, payloads, scoring
 from palisade.operators import mutations, pairing, ranking
 from palisade.plans import evaluation, events, retrieval
 from palisade.sources import canonical
@@ -57,7 +59,7 @@ def test_request_functions(spark):
     assert values(spark, ["/x?q=1?z", "/x"], http.query_length) == [5, 0]
     assert values(spark, ["' or '--", "aaa"], lambda c: http.counted(c, http.SPECIAL_MARKS)) == [4, 0]
     assert values(spark, ['{"password": "x y"}\nCookie: a=b'], http.masked) == ['{"password": "***"}\nCookie: ***']
-    assert values(spark, ["68656c6c6f", "68:65:6c:6c:6f", "abc", "zz" * 4], http.unhexed) == ["hello", "hello", "abc", "zz" * 4]
+    assert values(spark, ["68656c6c6f", "68:65:6c:6c:6f", "abc", "zz" * 4], payloads.unhexed) == ["hello", "hello", "abc", "zz" * 4]
     assert values(spark, ["https://A.b:443/x", "[::1]", "H"], http.host_name) == ["a.b", "::1", "h"]
 
 
@@ -204,4 +206,57 @@ def test_case_and_retry_states(spark):
     now = F.lit("2024-01-01 00:10:00").cast("timestamp")
     assert values(spark, [0, 5, 1], lambda c: jobs.retry_state(c, F.lit("2024-01-01 00:09:50").cast("timestamp"), now), "int") == ["waiting", "ignored", "waiting"]
     assert values(spark, ["pending", "done", "processing"], lambda c: jobs.case_state(c, F.lit("2024-01-01 00:00:00").cast("timestamp"), now)) == ["take", "leave", "take"]
-    assert values(spark, ["Read timed out", "bad", None], jobs.can_retry) == [True, False, False]
+    assert values(spark, ["Read timed out", "bad", None, "HTTP 500", "connection reset", "503"], jobs.can_retry) == [True, False, False, True, False, False]
+    no_start = lambda c: jobs.case_state(c, F.lit(None).cast("timestamp"), now)
+    assert values(spark, ["processing", "done"], no_start) == ["take", "leave"]
+
+
+def plain_capture(value):
+    """A captured body, one text at a time."""
+    raw = (value or "").strip()
+    digits = raw.replace(":", "") if re.fullmatch(r"(?:[0-9A-Fa-f]{2}:)+[0-9A-Fa-f]{2}", raw) else "".join(raw.split()) if re.fullmatch(r"(?:[0-9A-Fa-f]{2}\s+)+[0-9A-Fa-f]{2}", raw) else raw
+    if not re.fullmatch(r"(?:[0-9A-Fa-f]{2}){4,}", digits):
+        return raw
+    text_like = lambda t: t.strip() and payloads._readable(t.strip()) and any(re.search(p.replace(r"\z", r"\Z"), t.strip()) for p in payloads.TEXT_PATTERNS)
+    for name in ("utf-8", "latin1"):
+        try:
+            text = bytes.fromhex(digits).decode(name).strip()
+        except UnicodeDecodeError:
+            continue
+        plain = unquote_plus(text)
+        text = plain if ("%" in text or "+" in text) and text_like(plain) else text
+        if text_like(text):
+            return text
+    return raw
+
+
+def test_payloads(spark):
+    texts = ["user=a&b=c", "中文内容 abc", "x%20y=1+2", "100% sure", "plain words", "\x00\x01\x02\x03\x04", "a%zz=b"]
+    hexed = [t.encode().hex() for t in texts]
+    spaced = [" ".join(h[i : i + 2] for i in range(0, len(h), 2)) for h in hexed]
+    odd = [None, "", "  raw ", "abc", "zz" * 4, "ff" * 10, "c4e3bac3cac0bde7".upper(), "中".encode("gb18030").hex() * 4, "41:42:43:44", "0a0d0a0d", "4142 43"]
+    inputs = hexed + spaced + odd
+    assert values(spark, inputs, payloads.unhexed) == [payloads.plain_unhexed(x or "") for x in inputs]
+    assert values(spark, inputs, payloads.captured) == [plain_capture(x) for x in inputs]
+    assert values(spark, ["c4e3bac3cac0bde7"], payloads.unhexed) == ["你好世界"]
+    assert values(spark, ["61:" * 40_000 + "61"], lambda c: F.length(payloads.unhexed(c))) == [40_001]
+    head = "POST /x\nBody:\n"
+    assert values(spark, [head + "68656c6c6f", "no body", head], payloads.decoded_block) == [head + "hello", "no body", head]
+    stored = r"METHOD=GET\nREQUEST_BODY=68656c6c6f\\nRESPONSE_EXCERPT= 7b7d7b7d \nEND"
+    assert values(spark, [stored, r"A=1\nB", None], payloads.normalised_text) == ["METHOD=GET\nREQUEST_BODY=hello\nRESPONSE_EXCERPT={}{}\nEND", "A=1\nB", None]
+    block = "x\n  String value: a\r\n False value\nother\nNumber value: 3"
+    assert values(spark, [block], payloads.value_lines) == ["String value: a | False value | Number value: 3"]
+    assert values(spark, [block], lambda c: payloads.value_lines(c, 1)) == ["String value: a"]
+
+
+def test_model_input_reads_null_as_empty_and_whole_texts(spark):
+    kind = "file_id string, seq_id long, method string, uri string, host string, status_code int, content_type string, user_agent string, body string, response string"
+    rows = [("f", 1, "post", None, None, None, None, None, None, None), ("f", 2, "get", "/a?b", "h\\\\n", 404, "x", "u", " {'" + "x" * 900 + "passwd} ", "y" * 600)]
+    df = spark.createDataFrame(rows, kind.replace("\\", ""))
+    one, two = http.model_input(df).orderBy("seq_id").collect()
+    assert (one.method, one.uri_len, one.path_depth, one.is_post, one.resp_is_error, one.user_agent_len) == ("POST", 0, 0, 1, 0, 0)
+    assert one.request_text == "METHOD=POST\nURI=\nHOST=\nCONTENT_TYPE=\nSTATUS_CODE=\nREQUEST_BODY=\nRESPONSE_EXCERPT="
+    assert (two.has_password_keyword, two.has_json_body, two.resp_is_error, two.special_char_count) == (1, 1, 1, 1)
+    assert two.request_text.endswith("RESPONSE_EXCERPT=" + "y" * 500)
+    flow = http.flow_features(df.withColumn("time", F.lit(1.0)).withColumn("resp_time", F.lit(2.0))).orderBy("seq_id").collect()
+    assert all(v is not None for r in flow for v in r) and flow[0].dpkts == 2 and flow[1].dpkts == 3
