@@ -37,7 +37,7 @@ from palisade.llm.language_model import Table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64
-SLICE = 3 << 20
+SLICE = 2 << 20
 _STEP = np.uint64(0x100000001B3)
 _MARK = "▁"
 

@@ -42,7 +42,7 @@ WINDOW, STRIDE = 32, 16
 HIDDEN = 8
 EPOCHS, BATCH = 6, 128
 CHUNK = 250  # training texts spelt out at once
-SLICE = 3 << 20  # bytes of text scored at once
+SLICE = 1 << 19  # bytes of text scored at once
 EVIDENCE = 6  # inputs that are weights of evidence
 VECTOR = 8  # inputs of each learned vector
 START = 0.01  # deviation of learned vectors before training; words that no training text has stay near 0
