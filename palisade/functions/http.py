@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions import features
+
 # Marks and keywords whose occurrences are counted or noticed.
 SPECIAL_MARKS = ("'", '"', "<", ">", ";", "--", "../", "%27", "%3c", "%3e", "%2e%2e", " or ", " and ")
 SQL_MARKS = (" or ", "or1=1", "or 1=1", "union", "select", "sleep(", "benchmark(", "--", "../", "%27", "%3c", "%3e", "'")
@@ -138,10 +140,23 @@ def model_input(r: DataFrame) -> DataFrame:
     )
 
 
-def flow_features(r: DataFrame) -> DataFrame:
+#: Features of a request with its response.
+FLOW = {
+    "dur": "dur", "spkts": "spkts", "dpkts": "dpkts", "sbytes": "sbytes", "dbytes": "dbytes", "rate": "(spkts + dpkts) / span", "sload": "sbytes / span", "dload": "dbytes / span",
+    "sinpkt": "dur / greatest(spkts, 1D)", "dinpkt": "dur / greatest(dpkts, 1D)", "sjit": "0.5D * sql + 0.2D * bonus", "djit": "0.8D * failed + 0.3D * sql", "smean": "sbytes / greatest(spkts, 1D)",
+    "dmean": "dbytes / greatest(dpkts, 1D)", "tcprtt": "least(1D, gap + 0.05D * failed)", "synack": "least(1D, gap / 2)", "ackdat": "least(1D, gap / 2)", "trans_depth": "1 + json + password + login + bonus",
+    "response_body_len": "least(text_len + 100 * failed, 20000D)", "ct_srv_src": "1 + login + captcha + admin", "ct_state_ttl": "1 + failed + sql", "ct_dst_ltm": "1 + login + failed",
+    "ct_src_dport_ltm": "1 + bonus", "ct_dst_sport_ltm": "1 + bonus", "ct_dst_src_ltm": "1 + bonus", "ct_flw_http_mthd": "if(method <=> 'POST', 2D, 1D)", "ct_src_ltm": "1 + password + token + sql",
+    "ct_srv_dst": "1 + admin + failed", "sttl": "64D", "dttl": "64D", "swin": "255D", "dwin": "255D", "stcpb": "1000D + 10 * seq_id", "dtcpb": "2000D + if(answered = 1, 10 * seq_id, 0)", "sloss": "0D",
+    "dloss": "0D", "is_ftp_login": "0D", "ct_ftp_cmd": "0D", "is_sm_ips_ports": "0D",
+}
+
+
+def flow_features(r: DataFrame, columns: tuple[str, ...] = tuple(FLOW), choices: dict[str, list[str]] | None = None) -> DataFrame:
     """Flow-style features of each request with its response; ``r`` has the columns of requests plus time and resp_time.
 
     Counts and flags are computed in a first projection, so that each stands in the plan once. Null counts as empty.
+    Unknown names of ``columns`` get a similar feature; ``choices`` names categorical features with the model's categories.
     """
     clean = r.withColumns({c: _text(c) for c in ("uri", "host", "body", "user_agent", "content_type")} | {"excerpt": excerpt(F.col("response"))})
     flag = lambda words: has_any(F.col("merged"), words).cast("double")
@@ -149,6 +164,7 @@ def flow_features(r: DataFrame) -> DataFrame:
         "file_id", "seq_id", "method", counted(F.col("merged"), SQL_MARKS).cast("double").alias("sql"), flag(LOGIN).alias("login"),
         flag(CAPTCHA).alias("captcha"), flag(PASSWORD).alias("password"), flag(ADMIN).alias("admin"), flag(TOKEN).alias("token"),
         F.lower("content_type").contains("json").cast("double").alias("json"), flag(BUSINESS_ERRORS).alias("failed"),
+        ((F.coalesce("status_code", F.lit(0)) >= 400) & F.col("response").isNotNull() | (has_any(F.concat_ws(" ", "body", "excerpt", "uri"), BUSINESS_ERRORS) == 1)).alias("bad"),
         F.length("uri").cast("double").alias("uri_len"), path_depth(F.col("uri")).cast("double").alias("depth"),
         F.length("body").cast("double").alias("body_len"), F.length("user_agent").cast("double").alias("agent_len"),
         F.length(request_text(_request_fields())).cast("double").alias("text_len"), F.col("response").isNotNull().cast("double").alias("answered"),
@@ -161,14 +177,5 @@ def flow_features(r: DataFrame) -> DataFrame:
         "100 + uri_len + body_len + agent_len + 30 * bonus AS sbytes", "80 + 0.2D * least(text_len, 5000D) + 50 * failed AS dbytes",
         "greatest(dur, 0.001D) AS span",
     )
-    return f.selectExpr(
-        "file_id", "seq_id", "dur", "spkts", "dpkts", "sbytes", "dbytes", "(spkts + dpkts) / span AS rate", "sbytes / span AS sload", "dbytes / span AS dload",
-        "dur / greatest(spkts, 1D) AS sinpkt", "dur / greatest(dpkts, 1D) AS dinpkt", "0.5D * sql + 0.2D * bonus AS sjit", "0.8D * failed + 0.3D * sql AS djit",
-        "sbytes / greatest(spkts, 1D) AS smean", "dbytes / greatest(dpkts, 1D) AS dmean", "least(1D, gap + 0.05D * failed) AS tcprtt",
-        "least(1D, gap / 2) AS synack", "least(1D, gap / 2) AS ackdat", "1 + json + password + login + bonus AS trans_depth",
-        "least(text_len + 100 * failed, 20000D) AS response_body_len", "1 + login + captcha + admin AS ct_srv_src", "1 + failed + sql AS ct_state_ttl",
-        "1 + login + failed AS ct_dst_ltm", "1 + bonus AS ct_src_dport_ltm", "1 + bonus AS ct_dst_sport_ltm", "1 + bonus AS ct_dst_src_ltm",
-        "if(method <=> 'POST', 2D, 1D) AS ct_flw_http_mthd", "1 + password + token + sql AS ct_src_ltm", "1 + admin + failed AS ct_srv_dst",
-        "64D AS sttl", "64D AS dttl", "255D AS swin", "255D AS dwin", "1000D + 10 * seq_id AS stcpb", "2000D + if(answered = 1, 10 * seq_id, 0) AS dtcpb",
-        "0D AS sloss", "0D AS dloss", "0D AS is_ftp_login", "0D AS ct_ftp_cmd", "0D AS is_sm_ips_ports",
-    )
+    made = [F.expr(features.named(c, FLOW, "1 + bonus")).alias(c) for c in columns]
+    return f.select("file_id", "seq_id", *made, *[features.category(c, known, F.col("bad")).alias(c) for c, known in (choices or {}).items()])

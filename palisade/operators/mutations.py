@@ -42,6 +42,31 @@ def replace_all(base: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return delete(base, rows, key).unionByName(rows)
 
 
+def set_columns(base: DataFrame, hit: Column, values: dict[str, Column]) -> DataFrame:
+    """Single columns of the rows that are hit: a note, a password, a restart's time and status."""
+    return base.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def cached_regions(cache: DataFrame, asked: DataFrame) -> DataFrame:
+    """The cache of regions (ip, region, source) after new answers; an answer without a region is a fallback, and does not replace a known one."""
+    answer = asked.select("ip", F.coalesce(F.nullif(F.trim("region"), F.lit("")), F.lit("未知")).alias("region"), F.when(F.length(F.trim("region")) > 0, "remote").otherwise("fallback").alias("source"))
+    known = cache.where("source = 'remote'").select("ip")
+    return upsert(cache, answer.where("source = 'remote'").unionByName(answer.where("source <> 'remote'").join(known, "ip", "left_anti")), ["ip"])
+
+
+def logged(logs: DataFrame, done: DataFrame) -> DataFrame:
+    """The action log with further rows; ids go on after the greatest one, in order of time and user, in two steps as in ``export_cases``."""
+    columns = [c for c in logs.columns if c != "id"]
+    last = logs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    day = F.to_date("created_at")
+    counts = done.groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a day
+    starts = counts.select("_day", before.alias("_before")).crossJoin(last)
+    inside = F.row_number().over(Window.partitionBy("_day").orderBy("created_at", "username", "action"))
+    new = done.withColumn("_day", day).join(starts, "_day").select((F.col("last") + F.col("_before") + inside).cast("long").alias("id"), *columns)
+    return logs.unionByName(new)
+
+
 def acknowledge(events: DataFrame, hit: Column) -> DataFrame:
     status = F.when(hit & (F.col("process_status") == "unprocessed"), "processing").otherwise(F.col("process_status"))
     return events.withColumns({"acked": F.when(hit, 1).otherwise(F.col("acked")), "process_status": status})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["file_id", "seq_id"]
@@ -12,6 +12,11 @@ def label_scores(scores: DataFrame, threshold: float = 0.46) -> DataFrame:
     return scores.withColumn("label", F.when(F.col("score") >= threshold, "suspicious").otherwise("benign"))
 
 
+def candidate_score(*columns: Column) -> Column:
+    """The first that is a number, in the order given (raw score, score, scaled score); 0 where none is."""
+    return F.coalesce(*[c.try_cast("double") for c in columns], F.lit(0.0))
+
+
 def rerank(scores: DataFrame) -> DataFrame:
     """Rank by falling score in each file, ties in input order, and min-max scaled scores (0 where all are equal).
 

@@ -106,8 +106,8 @@ _BM_TERMS = ("the", "license", "re on")
 _FOLD = "' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', '  ', 'g')) || ' '"
 
 
-def _bm25() -> str:
-    phrases = [f" {'  '.join(t.split())} " for t in _BM_TERMS]
+def bm25(terms: tuple[str, ...], k: int) -> str:
+    phrases = [f" {'  '.join(t.split())} " for t in terms]
     freq = ", ".join(f"((length(t) - length(replace(t, '{p}', ''))) // {len(p)})::DOUBLE AS f{i}" for i, p in enumerate(phrases))
     n = ", ".join(f"count(*) FILTER (f{i} > 0)::DOUBLE AS n{i}" for i in range(len(phrases)))
     idf = [f"(CASE WHEN ln((docs - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)) > 0 THEN ln((docs - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END)" for i in range(len(phrases))]
@@ -116,7 +116,7 @@ def _bm25() -> str:
     return f"""WITH d AS (SELECT doc_id, {_FOLD} AS t FROM documents),
     c AS (SELECT doc_id, (CASE WHEN length(t) > 2 THEN length(t) - length(replace(t, '  ', ' ')) + 1 ELSE 0 END)::DOUBLE AS size, {freq} FROM d),
     s AS (SELECT count(*)::DOUBLE AS docs, avg(size) AS mean, {n} FROM c)
-    SELECT doc_id, 0.0::DOUBLE {score} AS score FROM c, s WHERE {any_} ORDER BY score, doc_id LIMIT 20"""
+    SELECT doc_id, 0.0::DOUBLE {score} AS score FROM c, s WHERE {any_} ORDER BY score, doc_id LIMIT {k}"""
 
 
 def _sql(*tables: str) -> str:
@@ -237,7 +237,10 @@ ORACLE = {
     "score_coverage": "SELECT count(*) AS expected, count(*) FILTER (event_id % 6 > 0) AS scored, count(*) FILTER (event_id % 6 > 0) / count(*)::DOUBLE AS coverage FROM events",
     "canonical_round_trip": f"""{_sql(REQUESTS)}, n AS (SELECT *, (row_number() OVER (PARTITION BY file_id ORDER BY seq_id) - 1) // 4 AS batch FROM r),
         f AS (SELECT *, row_number() OVER (PARTITION BY file_id, batch ORDER BY seq_id) AS place, count(*) OVER (PARTITION BY file_id, batch) AS full_size FROM n)
-        SELECT file_id, CAST(place AS INTEGER) AS place, seq_id, method, uri, host, status_code, content_type, CAST(length(uri) + length(host) + 10 AS INTEGER) AS text_length, uri AS request_block FROM f WHERE full_size = 4""",
+        SELECT file_id, CAST(place AS INTEGER) AS place, seq_id, method, uri, host, CASE WHEN seq_id % 5 > 0 THEN status_code END AS status_code, content_type, CAST(length(uri) + length(host) + 18 AS INTEGER) AS text_length, regexp_replace(uri, '^\\s+|\\s+$', '', 'g') AS request_block, seq_id * 2 AS frame_req, CASE WHEN seq_id % 5 > 0 THEN seq_id * 2 + 1 END AS frame_resp,
+        CASE WHEN seq_id % 3 > 0 THEN seq_id + 0.5::DOUBLE ELSE seq_id END AS time_req, CASE WHEN seq_id % 5 > 0 THEN CASE WHEN seq_id % 2 > 0 THEN seq_id + 0.75::DOUBLE WHEN seq_id % 3 > 0 THEN seq_id + 0.5::DOUBLE + 0.01::DOUBLE ELSE seq_id + 0.01::DOUBLE END END AS time_resp,
+        '1.2.3.4' AS src_ip, CASE WHEN seq_id % 4 > 0 THEN 4000 ELSE 0 END AS src_port, 80 AS dst_port, host AS request_body, CASE WHEN seq_id % 5 > 0 THEN '{{"a{{"' END AS response_excerpt,
+        md5(regexp_replace(response, '^\\s+|\\s+$', '', 'g')) AS response_block FROM f WHERE full_size = 4""",
     "case_states": f"""{_sql(EVENTS)}, s AS (SELECT CASE number % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'failed' END AS status, CASE WHEN number % 6 > 0 THEN occurred_at END AS began FROM e)
         SELECT CASE WHEN status IN ('pending', 'failed') OR (status = 'processing' AND (began IS NULL OR epoch({AS_OF})::BIGINT - floor(epoch(began))::BIGINT >= 180)) THEN 'take' ELSE 'leave' END AS state, status, count(*) AS total FROM s GROUP BY 1, 2""",
     "retry_states": f"""{_sql(EVENTS)} SELECT CASE WHEN number % 7 >= 5 THEN 'ignored' WHEN number % 3 = 0 OR epoch({AS_OF})::BIGINT - floor(epoch(occurred_at))::BIGINT >= 30 THEN 'ready' ELSE 'waiting' END AS state, count(*) AS total FROM e GROUP BY 1""",
@@ -249,8 +252,8 @@ ORACLE = {
     "lenient_times": "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN '2024-01-29 18:30:00.000' ELSE strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 4 = 2 THEN ' 00:00:00.250' ELSE ' 00:00:00.000' END END AS shown FROM orders",
     "traced_uris": f"{_sql(REQUESTS)} SELECT seq_id, uri || CASE WHEN contains(uri, '?') THEN '&' ELSE '?' END || 'trace=bench_' || lpad(CAST(seq_id % 10000 AS VARCHAR), 4, '0') AS uri, regexp_replace(uri, '[^A-Za-z0-9_.:-]', '_', 'g') AS rule FROM r",
     "model_requests": f"{_sql(REQUESTS)} SELECT file_id, seq_id, method, uri, status_code FROM r WHERE seq_id = 42",
-    "bm25": _bm25(),
-    "document_search": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id DESC LIMIT 20",
+    "bm25": bm25(_BM_TERMS, 20),
+    "document_search": f"WITH d AS (SELECT doc_id, source, {_FOLD} AS t FROM documents) SELECT doc_id, source FROM d WHERE contains(t, ' license ') ORDER BY doc_id DESC LIMIT 20",
     "set_operations": """WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000)
         SELECT 'union' AS kind, count(*) AS total FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'difference', count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a) UNION ALL SELECT 'intersection', count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)""",
 }

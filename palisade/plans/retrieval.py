@@ -3,18 +3,21 @@
 Text is folded (case and accents) and split at what is neither letter nor digit.
 A term of a query is a phrase of such tokens; its frequency in a document is
 counted over the indexed columns. One pass over the documents computes lengths
-and frequencies, one aggregate the corpus statistics, a few numbers that are
-joined as a single row; then scores are a projection and the top k a
-TakeOrderedAndProject.
+and frequencies, which are written as a few numbers a document; from these one
+aggregate gives the corpus statistics, joined as a single row; then scores are a
+projection and the top k a TakeOrderedAndProject.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.sources.staging import staged
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -36,6 +39,7 @@ def bm25(docs: DataFrame, terms: list[str], columns: list[str], k: int = 3, id_c
     length = reduce(lambda a, b: a + b, [F.when(F.length(t) > 2, (F.length(t) - F.length(F.replace(t, F.lit("  "), F.lit(" ")))) + 1).otherwise(0) for t in texts])
     hits = [reduce(lambda a, b: a + b, [(F.length(t) - F.length(F.replace(t, F.lit(p), F.lit("")))) / len(p) for t in texts]) for p in phrases]
     counted = docs.select(F.col(id_column), length.cast("double").alias("size"), *[h.cast("double").alias(f"f{i}") for i, h in enumerate(hits)])
+    counted = staged(counted, "bm25")  # a few numbers a document, so texts are read and folded once, in one projection
     corpus = counted.agg(F.count("*").cast("double").alias("docs"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(phrases))])
     total = F.lit(0.0)
     for i in range(len(phrases)):
@@ -58,15 +62,30 @@ def with_fallback(docs: DataFrame, terms: list[str], columns: list[str], k: int
 
 
 def search(docs: DataFrame, text: str, attack: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of the documents whose text holds ``text``, newest id first."""
-    found = docs.where(F.lower("text").contains(text.lower()))
-    if attack:
-        found = found.where(F.col("source") == attack)
-    return found.orderBy(F.desc("doc_id")).offset((page - 1) * size).limit(size)
+    """A page of the documents that ``found`` gives, newest id first."""
+    return found(docs, text, attack).orderBy(F.desc("doc_id")).offset((page - 1) * size).limit(size)
+
+
+def found(docs: DataFrame, text: str, attack: str | None = None, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Documents with one of the first 14 terms of ``text`` as a phrase in one of the columns, or, without terms, with the text itself; all of them without a text."""
+    terms = list(dict.fromkeys(re.findall(r"[a-zA-Z0-9_./:-]{2,}", text.lower())))[:14]
+    phrases = [p for p in map(_phrase, terms) if p]
+    out = docs
+    if phrases:
+        texts = [folded(F.col(c)) for c in columns]
+        out = out.where(reduce(lambda a, b: a | b, [t.contains(p) for t in texts for p in phrases]))
+    elif text.strip():
+        out = out.where(reduce(lambda a, b: a | b, [F.lower(F.col(c)).contains(text.strip().lower()) for c in columns]))
+    return out.where(F.col("source") == attack) if attack else out
+
+
+def total(docs: DataFrame, text: str, attack: str | None = None) -> DataFrame:
+    return found(docs, text, attack).agg(F.count("*").alias("total"))
 
 
-def context(ranked: DataFrame, docs: DataFrame, most: int = 3200, id_column: str = "doc_id") -> DataFrame:
-    """One text of all hits, best first, cut to ``most`` characters; hits are the few of a top k."""
-    rows = ranked.join(docs, id_column).select(F.struct("score", F.col(id_column), F.substring("text", 1, most).alias("text")).alias("hit"))
-    lines = F.transform(F.array_sort(F.collect_list("hit")), lambda h: F.concat(F.lit("["), h[id_column].cast("string"), F.lit("] "), h["text"]))
+def context(ranked: DataFrame, docs: DataFrame, most: int = 3200, id_column: str = "doc_id", fields: tuple[str, ...] = ("title", "attack_type", "severity", "evidence", "mitigation")) -> DataFrame:
+    """One line for each hit with its fields, best first, cut to ``most`` characters in all; hits are the few of a top k."""
+    rows = ranked.join(docs, id_column)
+    hit = F.struct("score", F.col(id_column), F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in fields]).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(hit)), lambda h, i: F.concat(F.lit("[RAG#"), (i + 1).cast("string"), F.lit("] "), h["line"]))
     return rows.agg(F.substring(F.array_join(lines, "\n"), 1, most).alias("context"))

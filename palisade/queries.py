@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade import case_queries
 from palisade.functions import http, labels, times
 from palisade.operators import mutations, pairing, ranking
 from palisade.plans import dashboard, evaluation, events, retrieval
@@ -219,15 +220,22 @@ def model_requests(s: SparkSession, d: str) -> DataFrame:
 
 def canonical_texts(s: SparkSession, d: str) -> DataFrame:
     """Requests with their whole responses as batches of canonical text."""
-    r = ranking.micro_batches(T.requests(s, d), 4)
-    r = r.withColumns({"request_text": F.concat(F.lit("URI="), F.col("uri"), F.lit("\n"), F.lit("HOST="), F.col("host")), "request_block": F.col("uri"), "response_block": F.col("response")})
+    n, answered = F.col("seq_id"), F.col("seq_id") % 5 > 0
+    r = ranking.micro_batches(T.requests(s, d), 4).withColumns({
+        "frame_req": n * 2, "frame_resp": F.when(answered, n * 2 + 1), "time_req": F.when(n % 3 > 0, n + 0.5), "time_resp": F.when(n % 2 > 0, n + 0.75), "src_ip": F.lit("1.2.3.4"), "dst_ip": F.lit("5.6.7.8"),
+        "src_port": F.when(n % 4 > 0, 4000), "dst_port": F.lit(80), "request_text": F.concat(F.lit("URI="), F.col("uri"), F.lit("\nREQUEST_BODY="), F.hex(F.encode("host", "UTF-8"))),
+        "response_text": F.lit("STATUS_CODE=1\nRESPONSE_EXCERPT=7b22617b22"), "request_block": F.col("uri"), "response_block": F.col("response"),
+    })
     return canonical.batch_texts(r)
 
 
 def canonical_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Requests written as batches of canonical text and read again."""
     back = canonical.parsed(canonical_texts(s, d))
-    return back.select("file_id", "place", "seq_id", "method", "uri", "host", "status_code", "content_type", F.length("request_text").alias("text_length"), "request_block")
+    return back.select(
+        "file_id", "place", "seq_id", "method", "uri", "host", "status_code", "content_type", F.length("request_text").alias("text_length"), "request_block",
+        "frame_req", "frame_resp", "time_req", "time_resp", "src_ip", "src_port", "dst_port", "request_body", "response_excerpt", F.md5("response_block").alias("response_block"),
+    )
 
 
 def case_states(s: SparkSession, d: str) -> DataFrame:
@@ -296,4 +304,4 @@ QUERIES: dict[str, Query] = {
         canonical_round_trip, case_states, retry_states, refused_requests, admitted_requests, score_summary, lenient_times,
         traced_uris, model_requests,
     )
-}
+} | case_queries.QUERIES

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.sources.canonical import PACKET
@@ -51,9 +51,17 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, path: str) -> DataFrame:
-    """Packet lines: tab-separated strings; short lines are filled with nulls, long ones cut."""
+    """Packet lines: tab-separated strings; short lines are filled with nulls, long ones cut. A quote left open ends with its line.
+
+    A line whose quotes do not pair up is split at its tabs alone.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''")
     schema = ", ".join(f"{c} string" for c in PACKET)
-    return spark.read.schema(schema).option("sep", "\t").option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("maxCharsPerColumn", -1).csv(path)
+    options = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+    paired = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 0
+    split, row = F.split("value", "\t"), F.from_csv("value", F.lit(schema), options)
+    cell = lambda i, c: F.nullif(F.when(paired, row[c]).otherwise(F.try_element_at(split, F.lit(i + 1))), F.lit("")).alias(c)
+    return lines.select(*[cell(i, c) for i, c in enumerate(PACKET)])
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -63,31 +71,71 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(row.alias("r"), "line").where("r.case_id IS NOT NULL").groupBy("r.case_id").agg(F.max_by("r", "line").alias("r")).select("r.*")
 
 
-def knowledge(spark: SparkSession, path: str) -> DataFrame:
-    """Knowledge documents of a JSON array, with defaults for what they lack."""
+def knowledge(spark: SparkSession, path: str, prefix: str = "DOC") -> DataFrame:
+    """Knowledge documents of a JSON array, with defaults for what they lack; ids that are missing begin with ``prefix``."""
     text = ("title", "tags", "attack_type", "content", "evidence", "mitigation")
     schema = "doc_id string, severity string, source string, " + ", ".join(f"{c} string" for c in text)
     rows = json_documents(spark, path, schema)
     order = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # a seed file has a few hundred documents
     blank = lambda c, other: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), other)
     return rows.select(
-        blank("doc_id", F.format_string("DOC-%04d", order)).alias("doc_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in text],
+        blank("doc_id", F.format_string(f"{prefix}-%04d", order)).alias("doc_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in text],
         blank("severity", F.lit("medium")).alias("severity"), blank("source", F.lit("local_seed")).alias("source"),
     )
 
 
 def case_files(spark: SparkSession, path: str) -> DataFrame:
     """case_id, number and text of case documents below folders b.<n>; other names come last."""
-    rows = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    rows = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     name = F.regexp_extract("path", r"/(b\.[^/]+)/[^/]+$", 1)
     number = F.coalesce(F.regexp_extract("path", r"/b\.(\d+)/[^/]+$", 1).try_cast("long"), F.lit(10**9))
     return rows.select(name.alias("case_id"), number.alias("number"), "value")
 
 
-def write_csv(df: DataFrame, path: str, sort_columns: bool = False) -> None:
-    """All cells quoted; with ``sort_columns`` in order of their names."""
-    out = df.select(*sorted(df.columns)) if sort_columns else df
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+def in_order(rows: DataFrame, newest_first: bool = False) -> DataFrame:
+    """Files by the number that ends their names, those without one last, then by name."""
+    number = F.coalesce(F.regexp_extract("file_id", r"(\d+)$", 1).try_cast("long"), F.lit(10**9))
+    return rows.orderBy(number.desc() if newest_first else number, F.col("file_id").desc() if newest_first else F.col("file_id"))
+
+
+MARK = "\ufeff"  # byte-order mark, by which spreadsheets know UTF-8
+
+
+def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
+    """One JSON object a line, null fields too, characters as they are."""
+    df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, sort_columns: bool = False, marked: bool = False, quote_all: bool = True) -> None:
+    """CSV with a header: the given columns, all in their order, or all sorted by name.
+
+    ``marked`` puts a byte-order mark before each file's header, and then only quotes cells that need it. An empty table sorted by name has one column ``empty``.
+    """
+    out = df.select(*columns) if columns else df.select(*sorted(df.columns)) if sort_columns else df
+    if sort_columns and df.isEmpty():
+        out = df.sparkSession.createDataFrame([], "empty string")
+    if marked:
+        out = out.withColumnRenamed(out.columns[0], MARK + out.columns[0])
+    out.write.mode("overwrite").option("header", True).option("quoteAll", quote_all and not marked).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of few rows, one a day, as one CSV file in order of its days."""
+    write_csv(report.orderBy("day").coalesce(1), path, quote_all=False)
+
+
+def write_cases(cases: DataFrame, manifest: DataFrame, path: str) -> None:
+    """Cases as documents, by file, with their request and response texts, and the manifest beside them."""
+    document = F.to_json(F.struct(*[c for c in cases.columns if c not in ("raw_request_block", "raw_response_block")]), {"ignoreNullFields": "false"})
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    cases.select("case_id", "file_id", document.alias("case"), blank("raw_request_block"), blank("raw_response_block")).write.mode("overwrite").partitionBy("file_id").parquet(f"{path}/cases")
+    write_json_lines(manifest, f"{path}/manifest")
+
+
+def counted(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
+    """A stage's table and the count of its rows, taken while the table is used."""
+    seen = Observation(stage)
+    return df.observe(seen, F.count("*").alias("rows")), seen
 
 
 def enriched(cases: DataFrame, ask, schema: str = "case_id string, analysis string") -> DataFrame:

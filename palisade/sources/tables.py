@@ -19,7 +19,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table: one security event for each stored event."""
-    e = stored(spark, sf_dir, "events")
+    return derived_events(stored(spark, sf_dir, "events"))
+
+
+def derived_events(e: DataFrame) -> DataFrame:
+    """Security events of stored ones, from a table or a stream."""
     n, user = F.col("event_id"), F.col("user_id")
     raw = (
         F.when(F.col("event_type") == "error", "sqli").when(F.col("event_type") == "click", "xss").when(F.col("event_type") == "signup", "brute force")

@@ -1,33 +1,27 @@
 """Streams of packets and events: pairing with state, hourly counts, keyed merges, case states.
 
 Each job is a Structured Streaming query over a file source with a checkpoint:
-a file is taken once, and a restart goes on where the last one ended.
+a file is taken once, and a run that is given the folder of an earlier one goes
+on where that ended.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.operators import mutations
+from palisade.sources.staging import folder
 
 
 # Parts of errors after which a case is tried again.
 RETRIED = ("timed out", "connection refused", "winerror 10061", "llama runner process has terminated", "http 500", "internal server error")
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder among those that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def source(spark: SparkSession, sf_dir: str, name: str, files: int = 8) -> DataFrame:
     """A table's files as a stream, at most ``files`` of them in a micro-batch."""
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,9 +38,12 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], place: str,
     job.awaitTermination()
 
 
-def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type: each micro-batch's counts are written, and added up at the end, so no event comes too late."""
-    place = folder(spark)
+def hourly_counts(spark: SparkSession, sf_dir: str, place: str | None = None) -> DataFrame:
+    """Events by hour and type: each micro-batch's counts are written, and added up at the end, so no event comes too late.
+
+    With the ``place`` of an earlier run only files that came since are read, and their counts are added.
+    """
+    place = place or folder(spark)
     events = source(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
 
     def partial(df: DataFrame, n: int) -> None:
@@ -59,50 +56,150 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("hour", "event_type").agg(F.sum("total").alias("total"), F.sum("high").alias("high"))
 
 
-def latest_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyed table kept up to date: each batch is merged into the last version, which it replaces."""
-    place = folder(spark)
+BUCKETS = 64  # of a keyed table, by a hash of its key
+
+
+class Keyed:
+    """A keyed table in buckets: a batch rewrites the buckets that it touches, beside their last versions, which it then replaces.
+
+    Which version of each bucket counts is a table of at most ``BUCKETS`` rows, written last; a batch that is
+    repeated after a failure writes the same version again.
+    """
+
+    def __init__(self, spark: SparkSession, place: str, columns: tuple[str, ...], key: str):
+        self.spark, self.place, self.columns, self.key = spark, place, columns, key
+
+    def versions(self, before: int | None = None) -> dict[int, int]:
+        """The version of each bucket, or that before batch ``before``; batches are numbered on by their stream."""
+        listed = self.spark.read.schema("bucket int, version long, batch long").parquet(f"{self.place}/versions/*") if self.exists() else None
+        if listed is None:
+            return {}
+        rows = listed if before is None else listed.where(F.col("batch") < before)
+        return {r["bucket"]: r["version"] for r in rows.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/versions")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def rows(self, versions: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.place}/table/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.parquet(*paths).select(*self.columns) if paths else None
+
+    def merge(self, delta: DataFrame, n: int, newer: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Put ``delta``, one row a key, into the buckets; ``newer(base, delta)`` gives the rows of delta that count."""
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
+        old = self.versions(before=n)
+        touched = [r["b"] for r in delta.select(bucket.alias("b")).distinct().collect()]
+        base = self.rows({b: old[b] for b in touched if b in old})
+        merged = delta.select(*self.columns) if base is None else mutations.upsert(base, newer(base, delta.select(*self.columns)), [self.key])
+        if touched:
+            merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.place}/table/version={n}")
+            new = self.spark.createDataFrame([(b, n, n) for b in touched], "bucket int, version long, batch long")
+            new.coalesce(1).write.mode("overwrite").parquet(f"{self.place}/versions/batch-{n:09d}")
+
+
+def latest_by_user(spark: SparkSession, sf_dir: str, place: str | None = None) -> DataFrame:
+    """A keyed table kept up to date: each batch is merged into the buckets of its users. ``place`` goes on from an earlier run."""
     columns = ("user_id", "event_id", "event_type")
+    table = Keyed(spark, place or folder(spark), columns, "user_id")
+
+    def newer(base: DataFrame, delta: DataFrame) -> DataFrame:
+        old = base.select("user_id", F.col("event_id").alias("old"))
+        return delta.join(old, "user_id", "left").where("old IS NULL OR event_id > old").drop("old")
 
     def merge(df: DataFrame, n: int) -> None:
-        delta = df.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("r")).select("user_id", "r.*")
-        if n > 0:
-            base = spark.read.parquet(f"{place}/version={n - 1}")
-            newer = delta.join(base.select("user_id", F.col("event_id").alias("old")), "user_id", "left").where("old IS NULL OR event_id > old").drop("old")
-            delta = mutations.upsert(base, newer, ["user_id"])
-        delta.select(*columns).write.mode("overwrite").parquet(f"{place}/version={n}")
-        merge.last = n
+        table.merge(df.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("r")).select("user_id", "r.*"), n, newer)
 
-    merge.last = 0
-    drain(source(spark, sf_dir, "events").select(*columns), merge, place)
-    return spark.read.parquet(f"{place}/version={merge.last}")
+    drain(source(spark, sf_dir, "events").select(*columns), merge, table.place)
+    rows = table.rows(table.versions())
+    return spark.createDataFrame([], "user_id long, event_id long, event_type string") if rows is None else rows
 
 
 def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Requests wait in a queue; a response answers the oldest one. State: the places of all waiting requests."""
-    waiting = deque(state.get[0] if state.exists else ())
+    """Requests wait in a queue; a response answers the one that it names, if that waits, else the oldest one. State: the places of all waiting requests."""
+    waiting = dict.fromkeys(state.get[0] if state.exists else ())  # in order of arrival
     rows = pd.concat(list(frames)).sort_values("place")
+    named = rows["request_place"].astype("float64").fillna(-1).tolist()
     out = []
-    for place, is_request in zip(rows["place"].tolist(), rows["is_request"].tolist(), strict=True):
+    for place, is_request, name in zip(rows["place"].tolist(), rows["is_request"].tolist(), named, strict=True):
         if is_request:
-            waiting.append(place)
+            waiting[place] = None
         elif waiting:
-            out.append((key[0], waiting.popleft(), place))
+            answered = int(name) if int(name) in waiting else next(iter(waiting))
+            del waiting[answered]
+            out.append((key[0], answered, place))
     state.update((list(waiting),))
     yield pd.DataFrame(out, columns=["stream", "request_place", "response_place"])
 
 
-def paired_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request and response turns of each conversation, paired as they arrive."""
-    place = folder(spark)
-    turns = source(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
-    packets = turns.select(F.col("conv_id").alias("stream"), F.col("turn").alias("place"), (F.col("role") == "user").alias("is_request"))
+def paired(spark: SparkSession, packets: DataFrame, place: str | None = None) -> DataFrame:
+    """Pairs of a stream of packets (stream, place, is_request, request_place), as they arrive; ``place`` goes on from an earlier run."""
+    place = place or folder(spark)
     kind = "stream long, request_place long, response_place long"
     pairs = packets.groupBy("stream").applyInPandasWithState(pair, kind, "waiting array<long>", "append", GroupStateTimeout.NoTimeout)
     drain(pairs, lambda df, n: df.write.mode("overwrite").parquet(f"{place}/batch={n:09d}"), place)
     return spark.read.option("basePath", place).parquet(place + "/batch=*").drop("batch")
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = source(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
+    return turns.select(F.col("conv_id").alias("stream"), F.col("turn").alias("place"), (F.col("role") == "user").alias("is_request"))
+
+
+def paired_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request and response turns of each conversation, paired as they arrive."""
+    return paired(spark, _turns(spark, sf_dir).withColumn("request_place", F.lit(None).cast("long")))
+
+
+def paired_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where responses of every third turn name the request two turns before."""
+    names = F.when(~F.col("is_request") & (F.col("place") % 3 == 0), F.col("place") - 2)
+    return paired(spark, _turns(spark, sf_dir).withColumn("request_place", names.cast("long")))
+
+
+def counted_batches(stream: DataFrame, place: str, size: int, shard: str, order: str) -> DataFrame:
+    """shard, batch and the rows of ``stream`` in batches of ``size``, as soon as one is full; the rest of a shard waits for more.
+
+    Rows of a shard are numbered on in order of arrival, by ``order`` inside a micro-batch. The waiting rows, fewer
+    than ``size`` a shard, and the number of batches so far are written with each micro-batch.
+    """
+    spark, columns = stream.sparkSession, stream.columns
+
+    def emit(df: DataFrame, n: int) -> None:
+        rows = df.withColumn("_since", F.lit(n).cast("long"))
+        if n > 0:
+            rows = rows.unionByName(spark.read.parquet(f"{place}/tail/version={n - 1}"))
+        rows = rows.persist()
+        counts = rows.groupBy(shard).agg(F.count("*").alias("_n"))
+        if n > 0:
+            counts = counts.join(spark.read.parquet(f"{place}/done/version={n - 1}"), shard, "full_outer").fillna(0, ["_n", "_done"])
+        else:
+            counts = counts.withColumn("_done", F.lit(0).cast("long"))
+        at = F.row_number().over(Window.partitionBy(shard).orderBy("_since", order)) - 1
+        made = rows.withColumn("_at", at).join(counts, shard)
+        full = F.floor(F.col("_at") / size) < F.floor(F.col("_n") / size)
+        out = made.where(full).select(*columns, (F.col("_done") + F.floor(F.col("_at") / size)).alias("batch"))
+        out.write.mode("overwrite").parquet(f"{place}/out/version={n}")
+        made.where(~full).select(*columns, "_since").write.mode("overwrite").parquet(f"{place}/tail/version={n}")
+        counts.select(shard, (F.col("_done") + F.floor(F.col("_n") / size)).alias("_done")).write.mode("overwrite").parquet(f"{place}/done/version={n}")
+        rows.unpersist()
+
+    drain(stream, emit, place)
+    return spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out/version=*").drop("version")
+
+
+def admitted(spark: SparkSession, stream: DataFrame, blocked: Callable[[], DataFrame], place: str | None = None) -> DataFrame:
+    """Counts by node of the events whose source is not blocked; the list is read anew for each micro-batch."""
+    place = place or folder(spark)
+
+    def partial(df: DataFrame, n: int) -> None:
+        free = df.join(blocked(), "source_ip", "left_anti")
+        free.groupBy("target_node").agg(F.count("*").alias("admitted")).write.mode("overwrite").parquet(f"{place}/batch={n:09d}")
+
+    drain(stream, partial, place)
+    return spark.read.option("basePath", place).parquet(place + "/batch=*").groupBy("target_node").agg(F.sum("admitted").alias("admitted"))
+
+
 def retry_state(attempts: Column, failed_at: Column, now: Column, most: int = 5, cooldown: int = 30) -> Column:
     """ready, waiting (the last failure is too recent) or ignored (too many failures)."""
     rested = failed_at.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(failed_at) >= cooldown)
