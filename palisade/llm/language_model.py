@@ -3,8 +3,8 @@
 A token is a word (lower-case A-Z, no white space) or the end of its text.
 Counts over all training texts give the base model,
 ``u(w) = (c + 0.5) / (N + 0.5 * (V + 1))``. The most frequent words are classes of
-their own; every other word, known or not, falls into one of ``BUCKETS`` classes
-by a hash of its last bytes. Hidden states emit classes, and inside a class
+their own; every other word, known or not, falls by a hash of its last bytes into one of
+the other classes, whose number grows with the vocabulary. Hidden states emit classes, and inside a class
 words keep their base proportions:
 
     P(w | state) = P(class(w) | state) * u(w) / U(class(w)),  U: the class's sum of u
@@ -18,13 +18,14 @@ probabilities add up to 1 in every state.
 Training is Baum-Welch from seeded emissions around the base model. Each round
 reads all training texts, every partition sums its expected counts, and these
 are added up by class; rounds go on until the summed likelihood of the training
-texts rises by no more than ``RISE`` of itself. Words are
+texts rises by no more than ``RISE`` of itself, all over whole texts. Words are
 counted, and words outside the frequent classes joined, by shuffles that grow
 with the corpus; only the frequent words (a bounded number) are broadcast.
 
 Defined cases: null and empty texts have one token, the end; repeated rows each
-count; without training texts all tokens are unknown; a very long text is read
-whole, step by step; extra columns are ignored.
+count; a null doc_id is in the fold of the empty text; without training texts all
+tokens are unknown; a very long text is read whole, step by step; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ from palisade.llm.store import Stages
 STATES = 8
 FREQUENT = 20_000  # words that are classes of their own
 LISTED = 200_000  # words whose counts are broadcast; the counts of all others are joined
-BUCKETS = 64  # classes of all other words
+BUCKETS, MOST_BUCKETS, WORDS = 64, 4096, 4000  # classes of all other words: one for so many known words, a power of two, at least and at most
 RISE = 1e-4  # training ends when a round raises the summed log likelihood by no more than this share
 LANES = 512  # texts scored at once
-SEGMENT = 50_000  # tokens; longer training texts are cut there for the expected counts, never for scores
+ROWS = 500_000  # forward states held at once; longer runs of texts go by blocks, whose states are computed twice
 END = np.uint64(0xE7037ED1A0B428DB)  # the end token's hash
 
 
@@ -97,12 +98,17 @@ class Table:
 class Classes:
     """The class of each token: a frequent word's place, or its bucket after them."""
 
-    def __init__(self, frequent: np.ndarray):
-        self.table, self.top, self.size = Table(frequent), len(frequent), len(frequent) + BUCKETS
+    def __init__(self, frequent: np.ndarray, buckets: int = BUCKETS):
+        self.table, self.top, self.buckets, self.size = Table(frequent), len(frequent), buckets, len(frequent) + buckets
 
     def of(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
         found = self.table.find(h)
-        return np.where(found < 0, self.top + (tail % np.uint64(BUCKETS)).astype(np.int32), found)
+        return np.where(found < 0, self.top + (tail % np.uint64(self.buckets)).astype(np.int32), found)
+
+
+def buckets_for(words: int) -> int:
+    """A power of two that grows with the number of known words."""
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << (max(1, words // WORDS) - 1).bit_length()))
 
 
 def _lanes(first: np.ndarray) -> Iterator[np.ndarray]:
@@ -136,46 +142,60 @@ def expected(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np
 
 
 def gathered(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """The expected counts and the summed log10 likelihood."""
+    """The expected counts and the summed log10 likelihood.
+
+    Steps go by blocks: only the forward states at their begins are kept, and the backward pass computes each
+    block's states again from there, so a very long text needs no more memory than many short ones.
+    """
     k, likelihood = len(start), 0.0
-    if len(first) > 1 and np.diff(first).max() > SEGMENT:
-        cuts = [np.arange(a, b, SEGMENT) for a, b in zip(first[:-1], first[1:], strict=True)]
-        first = np.append(np.concatenate(cuts), first[-1])
     starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k))
     for lot in _lanes(first):
         length, at = np.diff(first)[lot], first[lot]
-        steps = int(length[0])
-        place = np.zeros(steps + 1, np.int64)
-        live = [int(np.searchsorted(-length, -t, "left")) for t in range(steps)]
-        np.cumsum(live, out=place[1:])
-        alpha, seen_class = np.empty((place[-1], k)), np.empty(place[-1], np.int64)
-        scale = np.empty(place[-1])
-        state = np.tile(start, (len(lot), 1))
-        for t in range(steps):
-            n, rows = live[t], slice(place[t], place[t + 1])
-            seen_class[rows] = classes[at[:n] + t]
-            now = (state[:n] @ move if t else state[:n]) * emit[seen_class[rows]]
-            scale[rows] = now.sum(1)
-            state[:n] = now / scale[rows, None]
-            alpha[rows] = state[:n]
-        likelihood += float(np.log10(scale).sum())
-        beta = np.ones((len(lot), k))
-        gamma = np.empty_like(alpha)
-        for t in range(steps - 1, -1, -1):
-            n, rows = live[t], slice(place[t], place[t + 1])
-            if t + 1 < steps:
-                m, after = live[t + 1], slice(place[t + 1], place[t + 2])
-                ahead = beta[:m] * emit[seen_class[after]] / scale[after, None]
-                moves += alpha[place[t] : place[t] + m].T @ ahead
-                beta[:m] = ahead @ move.T
-            gamma[rows] = alpha[rows] * beta[:n]
-        gamma /= gamma.sum(1, keepdims=True)
-        starts += gamma[: live[0]].sum(0)
-        for s in range(k):
-            emits[:, s] += np.bincount(seen_class, gamma[:, s], len(emit))
+        live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+        _, found = np.unique((np.cumsum(live) - 1) // ROWS, return_index=True)
+        begins = found.tolist()
+        ends = [*begins[1:], len(live)]
+        entry = [np.tile(start, (len(lot), 1))]  # forward states at the begin of each block
+        for begin, end in zip(begins[:-1], ends, strict=False):
+            entry.append(_block(classes, at, live[begin:end], begin, entry[-1], move, emit)[3])
+        beta, ahead = np.ones((len(lot), k)), None
+        for begin, end, state in zip(reversed(begins), reversed(ends), reversed(entry), strict=True):
+            here = live[begin:end]
+            place = np.concatenate([[0], np.cumsum(here)])
+            alpha, seen, scale, _ = _block(classes, at, here, begin, state, move, emit)
+            likelihood += float(np.log10(scale).sum())
+            gamma = np.empty_like(alpha)
+            for t in range(len(here) - 1, -1, -1):
+                n, rows = here[t], slice(place[t], place[t + 1])
+                if ahead is not None:
+                    m = len(ahead)
+                    moves += alpha[place[t] : place[t] + m].T @ ahead
+                    beta[:m] = ahead @ move.T
+                gamma[rows] = alpha[rows] * beta[:n]
+                ahead = beta[:n] * emit[seen[rows]] / scale[rows, None]
+            gamma /= gamma.sum(1, keepdims=True)
+            if begin == 0:
+                starts += gamma[: here[0]].sum(0)
+            for s in range(k):
+                emits[:, s] += np.bincount(seen, gamma[:, s], len(emit))
     return starts, moves * move, emits, likelihood
 
 
+def _block(classes: np.ndarray, at: np.ndarray, live: np.ndarray, begin: int, state: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward states, classes and scales of some steps from ``begin`` on, step by step, and the state after them."""
+    place = np.concatenate([[0], np.cumsum(live)])
+    alpha, seen, scale = np.empty((place[-1], state.shape[1])), np.empty(place[-1], np.int64), np.empty(place[-1])
+    state = state.copy()
+    for t, n in enumerate(live.tolist()):
+        rows = slice(place[t], place[t + 1])
+        seen[rows] = classes[at[:n] + begin + t]
+        now = (state[:n] @ move if begin + t else state[:n]) * emit[seen[rows]]
+        scale[rows] = now.sum(1)
+        state[:n] = now / scale[rows, None]
+        alpha[rows] = state[:n]
+    return alpha, seen, scale, state
+
+
 class Model:
     """Parameters of the class model; ``mass`` has U of each class."""
 
@@ -205,7 +225,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         h, tail = (np.concatenate(x) for x in zip(*found, strict=True))
         token, at, count = np.unique(h, return_index=True, return_counts=True)
-        columns = [token.view(np.int64), (tail[at] % np.uint64(BUCKETS)).astype(np.int32), count.astype(np.int64)]
+        columns = [token.view(np.int64), (tail[at] % np.uint64(MOST_BUCKETS)).astype(np.int32), count.astype(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "bucket", "c"])
 
     for whole in batches:
@@ -289,12 +309,13 @@ def scored(docs: DataFrame, seed: int = 5) -> DataFrame:
     often = most_frequent(vocabulary, "c", LISTED).toPandas().sort_values(["c", "token"], ascending=[False, True])
     token = often["token"].to_numpy(np.int64).view(np.uint64)
     log_base = np.log10((often["c"].to_numpy(np.int64) + extra) / whole)
-    classes = Classes(token[:FREQUENT])
+    buckets = buckets_for(total["v"])
+    classes = Classes(token[:FREQUENT], buckets)
     share = 10.0 ** log_base[:FREQUENT]
-    by_bucket = vocabulary.groupBy("bucket").agg((F.sum("c") + extra * F.count("*")).alias("mass")).toPandas()
-    mass = np.zeros(BUCKETS)
+    by_bucket = vocabulary.groupBy((F.col("bucket") % buckets).alias("bucket")).agg((F.sum("c") + extra * F.count("*")).alias("mass")).toPandas()
+    mass = np.zeros(buckets)
     mass[by_bucket["bucket"]] = by_bucket["mass"].to_numpy(np.float64) / whole
-    np.subtract.at(mass, often["bucket"].to_numpy()[:FREQUENT], share)
+    np.subtract.at(mass, often["bucket"].to_numpy()[:FREQUENT] % buckets, share)
     mass = np.concatenate([share, np.maximum(mass, 0) + extra / whole])
     model = Model(classes, mass, seed)
     names = [f"s{s}" for s in range(STATES)]

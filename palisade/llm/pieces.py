@@ -14,11 +14,13 @@ for all its places. Characters outside the vocabulary, among them the white
 space mark itself, become byte pieces, so decoding gives back every text.
 
 Units of a slice of texts are handled together, by their end; units of more than
-``LONG`` bytes one by one, with logarithms of the sums.
+``LONG`` bytes one by one and block by block, so that a line of many megabytes
+without a space needs little memory.
 
 Defined cases: null gives null pieces; an empty text has no pieces; equal rows
 (key and text) get equal pieces; a null key counts as a key of its own; very
-long texts are one sequence of units; extra columns are ignored.
+long texts are one sequence of units; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from palisade.llm.language_model import Table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64
 SLICE = 2 << 20
+BLOCK = 1 << 15  # bytes of a long unit whose sums are held at once
 _STEP = np.uint64(0x100000001B3)
 _MARK = "▁"
 
@@ -222,36 +225,68 @@ def draw(lat: Lattice, unit: np.ndarray, length: np.ndarray, key: np.ndarray) ->
     return out, count
 
 
-def draw_long(raw: bytes, key: int, v: Vocabulary) -> list[int]:
-    """One long unit: the same sums as logarithms."""
-    n = len(raw)
-    log = [-math.inf] * (n + 1)
-    log[0] = 0.0
-    into: list[list[tuple[float, int, int]]] = [[] for _ in range(n + 1)]
-    for j in range(n):
-        if log[j] == -math.inf:
-            continue
-        for size in range(1, min(v.most, n - j) + 1):
-            i = v.found.get(raw[j : j + size])
-            if i is not None:
-                value = log[j] + v.log[i]
-                e = j + size
-                high = max(log[e], value)
-                log[e] = high + math.log(math.exp(log[e] - high) + math.exp(value - high))
-                into[e].append((value, i, size))
-    out, at, step = [], n, 0
-    keys = np.array([key], np.uint64)
-    while at:
-        u, run, chosen = _uniform(keys, step)[0], 0.0, into[at][-1]
-        for edge in into[at]:
-            run += math.exp(edge[0] - log[at])
-            if u < run:
-                chosen = edge
-                break
-        out.append(chosen[1])
-        at -= chosen[2]
-        step += 1
-    return out[::-1]
+def _edges(data: np.ndarray, begin: int, end: int, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces that end after byte ``begin`` and up to ``end``, by their end, longest first: offsets of the ends, sizes and ids."""
+    low = max(0, begin - v.most)
+    ends, sizes, ids = [], [], []
+    key = np.zeros(end - low, np.uint64)
+    for n in range(1, min(v.most, end - low) + 1):
+        key = key[: end - low - n + 1] * _STEP + data[low + n - 1 : end].astype(np.uint64) + np.uint64(7)
+        skip = max(0, begin - low - n + 1)
+        place = v.table.find(W.mix(key[skip:]))
+        hit = np.flatnonzero(place >= 0)
+        ends.append(low + skip + hit + n)
+        sizes.append(np.full(len(hit), n, np.int64))
+        ids.append(v.ids[place[hit]])
+    end_of, size, piece = np.concatenate(ends), np.concatenate(sizes), np.concatenate(ids)
+    order = np.lexsort((-size, end_of))
+    return np.searchsorted(end_of[order], np.arange(begin + 1, end + 2)), size[order], piece[order]
+
+
+def _sums(data: np.ndarray, begin: int, end: int, tail: list[float], v: Vocabulary, keep: bool):
+    """Forward sums of the ends of a block; ``tail``: those of the ``v.most`` + 1 places up to ``begin``, on any common scale.
+
+    Returns the tail after the block and, with ``keep``, for each edge the running share of its end's sum.
+    """
+    first, size, piece = _edges(data, begin, end, v)
+    weight, sizes, at = v.weight[piece].tolist(), size.tolist(), first.tolist()
+    total, shares = list(tail), []
+    for e in range(end - begin):
+        here, run = len(total), 0.0
+        parts = []
+        for i in range(at[e], at[e + 1]):
+            run += weight[i] * total[here - sizes[i]]
+            parts.append(run)
+        if keep:
+            shares += [x / run for x in parts] if run else parts
+        total.append(run)
+        if run > 1e100 or 0.0 < run < 1e-100:  # only proportions within the last places matter
+            total[-v.most - 1 :] = [x / run for x in total[-v.most - 1 :]]
+    return total[-v.most - 1 :], (at, sizes, piece, shares)
+
+
+def draw_long(data: np.ndarray, key: int, v: Vocabulary) -> np.ndarray:
+    """One long unit, block by block: forward with the sums of the last places only, then backward, where each block's sums are computed again."""
+    n, most = len(data), v.most
+    begins = list(range(0, n, BLOCK))
+    tails = [[0.0] * most + [1.0]]
+    for begin in begins[:-1]:
+        tails.append(_sums(data, begin, begin + BLOCK, tails[-1], v, keep=False)[0])
+    keys, drawn, at, step, random, known = np.full(BLOCK, key, np.uint64), [], n, 0, [], 0
+    for begin, tail in zip(reversed(begins), reversed(tails), strict=True):
+        _, (first, sizes, piece, shares) = _sums(data, begin, min(n, begin + BLOCK), tail, v, keep=True)
+        chosen = []
+        while at > begin:
+            if step >= known:
+                steps = np.arange(known, known + BLOCK, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                random, known = (W.mix(keys + steps) >> np.uint64(11)).astype(np.float64) * 2.0**-53, known + BLOCK
+            u, low, high = random[step % BLOCK], first[at - begin - 1], first[at - begin]
+            edge = next((i for i in range(low, high) if u < shares[i]), high - 1)
+            chosen.append(edge)
+            at -= sizes[edge]
+            step += 1
+        drawn.append(piece[chosen])
+    return np.concatenate(drawn)[::-1]
 
 
 def encode(texts: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +308,7 @@ def encode(texts: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int) -> tuple
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         flat, count[short] = draw(lattice(u.data, start[order], size[order], v), rank[inverse], length[short], key[short])
-    extra = {i: draw_long(u.data[u.start[i] : u.end[i]].tobytes(), int(key[i]), v) for i in np.flatnonzero(~short)}
+    extra = {i: draw_long(u.data[u.start[i] : u.end[i]], int(key[i]), v) for i in np.flatnonzero(~short)}
     for i, ids in extra.items():
         count[i] = len(ids)
     at = np.concatenate([[0], np.cumsum(count)])

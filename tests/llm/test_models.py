@@ -239,6 +239,30 @@ def test_forward_equals_the_sum_over_all_state_paths():
     assert (10 ** language_model.forward(every, np.arange(0, len(every) + 1, 3), start, move, emit)).sum() == pytest.approx(1)
 
 
+def test_expected_counts_do_not_depend_on_the_blocks(monkeypatch):
+    rng = np.random.default_rng(7)
+    k, m = 4, 30
+    norm = lambda a, axis: a / a.sum(axis, keepdims=True)
+    model = norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((m, k)), 0)
+    first = np.concatenate([[0], np.cumsum([1, 700, 3, 60, 61, 2000, 1])])
+    classes = rng.integers(0, m, first[-1])
+    whole = language_model.gathered(classes, first, *model)
+    assert whole[3] == pytest.approx(language_model.forward(classes, first, *model).sum())
+    for rows in (7, 50, 333):
+        monkeypatch.setattr(language_model, "ROWS", rows)
+        for x, y in zip(whole, language_model.gathered(classes, first, *model), strict=True):
+            assert np.allclose(x, y, rtol=1e-9)
+
+
+def test_language_model_of_long_null_repeated_and_clashing_rows(spark):
+    rows = [(1, "a b " * 40_000), (2, None), (2, None), (None, "a zzz"), (3, "A b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("x"), "row": F.lit(1), "token": F.lit(2), "held_out": F.lit(0)})
+    got = language_model.scored(docs).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 80_001), ("2", 1), ("2", 1), ("3", 3), ("None", 3)]
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert [language_model.buckets_for(n) for n in (0, 256_000, 300_000, 10**9)] == [64, 64, 128, 4096]
+
+
 def test_features_do_not_depend_on_the_batch():
     texts = ["A b!! C", "", None, "x | y | z", "é " * 40]
     together = quality.features(pa.array(texts))

@@ -245,6 +245,86 @@ def test_pieces_have_the_lattice_distribution(vocabulary):
     assert all(abs(count[p] / n - math.exp(log) / whole) < 0.015 for p, log in every.items())
 
 
+def test_long_units_by_blocks(vocabulary, monkeypatch):
+    v, text = vocabulary, " " + "".join(np.random.default_rng(2).choice(list("abcdefghij"), 2000))
+    data, drawn = np.frombuffer(text.encode(), np.uint8), []
+    for block in (1 << 15, 100, 7):
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        drawn.append(pieces.draw_long(data, 5, v).tolist())
+    assert drawn[0] == drawn[1] == drawn[2] and b"".join(v.text[i] for i in drawn[0]) == text.encode()
+    raw, count, n = np.frombuffer(b" test", np.uint8), Counter(), 4000
+    for k in np.random.default_rng(1).integers(0, 1 << 62, n).tolist():
+        count[tuple(pieces.draw_long(raw, k, v).tolist())] += 1
+    short = Counter(tuple(f.tolist()) for f in (pieces.encode(pa.array(["test"]), np.array([k], np.uint64), v, 1)[0] for k in range(n)))
+    assert all(abs(count[p] - short[p]) < 5 * math.sqrt(n) for p in set(count) | set(short))
+
+
+def test_a_line_of_half_a_megabyte_without_spaces(spark, table):
+    line = "".join(np.random.default_rng(4).choice(list("ACGTé漢"), 200_000))
+    got = pieces.encoded(table([(1, line), (2, line + "\n" + line)])).collect()
+    assert all(r.lossless for r in got) and [r.n_bytes for r in got] == [len(line.encode()), 2 * len(line.encode()) + 1]
+
+
+def test_empty_tables_repeated_rows_and_clashing_columns(spark, table):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, None)], "page_id long, url string").withColumns({"rule": F.lit(1), "verdict": F.lit("x"), "path": F.lit(2)})
+    assert sorted((str(r.page_id), r.host, r.verdict) for r in url_filters.judged(pages).collect()) == [("1", "a.com", "allow"), ("1", "a.com", "allow"), ("None", "", "allow")]
+    assert url_filters.judged(pages.where("false")).count() == 0
+    docs = table([(1, "MIT license"), (1, "MIT license"), (None, None)]).withColumns({"labels": F.lit(1), "n_words": F.lit("x"), "spans": F.lit(0)})
+    rows = licenses.scanned(docs).collect()
+    assert len(rows) == 3 and sum(r.labels == "mit" for r in rows) == 2 and licenses.scanned(docs.where("false")).count() == 0
+    wide = docs.withColumns({"pieces": F.lit(1), "lossless": F.lit("x"), "fingerprint": F.lit(1), "part": F.lit(0), "tail": F.lit(1)})
+    assert pieces.encoded(wide).count() == 3 and fingerprints.edited_fingerprints(wide).count() == 3
+    vectors = [(i, [float(i % 7 + 1), 1.0, float(i)]) for i in range(60)] + [(20, [1.0, 2.0, 3.0]), (20, [3.0, 1.0, 0.5])]
+    odd = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"rank": F.lit(1), "score": F.lit("x"), "leaf": F.lit(0)})
+    found = neighbours.nearest(odd, F.col("vec_id") % 20 == 0)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"] and {r.query_id for r in found.collect()} == {0, 20, 40}
+
+
+def test_pipeline_against_plain_stages(spark, small):
+    """Each stage's rows from its operator's scores, links and counts, one document at a time."""
+    import corpus_pipeline
+    from palisade.llm import mixing, quality, toxicity
+
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(200)
+    rows = {r.doc_id: r for r in docs.collect()}
+    clean, good, distinct, mix = (stage for _, stage in corpus_pipeline.STAGES[:-1])
+
+    def table(ids):
+        return spark.createDataFrame([rows[i] for i in sorted(ids)], docs.schema)
+
+    model = toxicity.fit(docs, labels)
+    kept = {i for i, r in rows.items() if model.scores(pa.array([r.text]))[0] < 0.5}
+    assert {r.doc_id for r in clean(spark, docs, small).collect()} == kept
+    ranking = quality.fit(table(kept), labels)
+    better = {i for i in kept if ranking.scores(pa.array([rows[i].text]))[0] >= quality.CUT}
+    assert {r.doc_id for r in good(spark, table(kept), small).collect()} == better
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i in better:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (rows[i].text or "").translate(low))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in better}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(better):
+        for b in sorted(better):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    single = {i for i in better if find(i) == i}
+    assert {r.doc_id for r in distinct(spark, table(better), small).collect()} == single < better
+    times = {r.doc_id: r.times for r in mixing.plan(table(single)).collect()}
+    mixed = mix(spark, table(single), small)
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: n for i, n in times.items() if n}) and max(times.values()) <= 2
+    for stage in (clean, good, distinct, mix):
+        assert stage(spark, docs.where("false"), small).count() == 0
+
+
 def test_pipeline_stages_take_effect(spark, small):
     import corpus_pipeline
 
