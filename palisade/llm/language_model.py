@@ -15,9 +15,9 @@ as its bucket's unknown word, with the base model's half a count; the model's
 outcomes are the known words and one unknown word for each bucket, and their
 probabilities add up to 1 in every state.
 
-Training is Baum-Welch from seeded emissions around the base model. Each round
-reads all training texts, every partition sums its expected counts, and these
-are added up by class; rounds go on until the summed likelihood of the training
+Training is Baum-Welch from seeded emissions around the base model. The classes
+of all training texts are written once; each round reads them, every partition
+sums its expected counts, and these are added up by class; rounds go on until the summed likelihood of the training
 texts rises by no more than ``RISE`` of itself, all over whole texts. Words are
 counted, and words outside the frequent classes joined, by shuffles that grow
 with the corpus; only the frequent words (a bounded number) are broadcast.
@@ -46,7 +46,8 @@ FREQUENT = 20_000  # words that are classes of their own
 LISTED = 200_000  # words whose counts are broadcast; the counts of all others are joined
 BUCKETS, MOST_BUCKETS, WORDS = 64, 4096, 4000  # classes of all other words: one for so many known words, a power of two, at least and at most
 RISE = 1e-4  # training ends when a round raises the summed log likelihood by no more than this share
-LANES = 512  # texts scored at once
+LANES = 8192  # texts that go step by step together
+TOKENS = 2_500_000  # tokens whose expected counts are computed at once
 ROWS = 500_000  # forward states held at once; longer runs of texts go by blocks, whose states are computed twice
 END = np.uint64(0xE7037ED1A0B428DB)  # the end token's hash
 
@@ -240,17 +241,46 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _expected(shared):
-    """Rows (class, state, count) of a partition's expected counts; class -1 - s has the moves from state s, -1000 the starts, -1001 the likelihood in each."""
+def _sequences(shared):
+    """The classes of some texts' tokens, one after the other, and the texts' offsets: written once, read in every round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, model = shared.value
-        total = None
         for whole in batches:
             for b in W.pieces(whole):
                 h, tail, first = _tokens(b.column(0))
-                made = gathered(classes.of(h, tail), first, *model)
-                total = made if total is None else tuple(x + y for x, y in zip(total, made, strict=True))
+                rows = [[shared.value.of(h, tail).astype(np.int32).tobytes()], [first.astype(np.int64).tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], ["classes", "first"])
+
+    return run
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes and offsets of about ``TOKENS`` tokens at a time: the more texts go together, the less each step costs."""
+    held, size = [], 0
+    for b in batches:
+        for classes, first in zip(b.column(0), b.column(1), strict=True):
+            held.append((np.frombuffer(classes.as_buffer(), np.int32), np.frombuffer(first.as_buffer(), np.int64)))
+            size += len(held[-1][0])
+            if size >= TOKENS:
+                yield _together(held)
+                held, size = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.cumsum([0, *[len(c) for c, _ in held]])
+    return np.concatenate([c for c, _ in held]), np.append(np.concatenate([f[:-1] + n for (_, f), n in zip(held, begin, strict=False)]), begin[-1])
+
+
+def _expected(shared):
+    """Rows (class, state, count) of a partition's expected counts; class -1 - s has the moves from state s, -1000 the starts, -1001 the likelihood in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for classes, first in _lots(batches):
+            made = gathered(classes, first, *shared.value)
+            total = made if total is None else tuple(x + y for x, y in zip(total, made, strict=True))
         if total is not None:
             rows = np.concatenate([np.full((1, STATES), total[3]), total[0][None], total[1], total[2]])
             label = np.concatenate([[-1001, -1000], -1 - np.arange(STATES), np.arange(len(total[2]))])
@@ -320,9 +350,10 @@ def scored(docs: DataFrame, seed: int = 5) -> DataFrame:
     model = Model(classes, mass, seed)
     names = [f"s{s}" for s in range(STATES)]
     reached = -np.inf
+    sequences = stages.keep(train.mapInArrow(_sequences(spark.sparkContext.broadcast(classes)), "classes binary, first binary"))
     while True:
-        shared = spark.sparkContext.broadcast((classes, model.parts()))
-        rows = train.mapInArrow(_expected(shared), "class int, " + ", ".join(f"{x} double" for x in names))
+        shared = spark.sparkContext.broadcast(model.parts())
+        rows = sequences.mapInArrow(_expected(shared), "class int, " + ", ".join(f"{x} double" for x in names))
         sums = rows.groupBy("class").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
         shared.unpersist()
         if not len(sums):
@@ -336,6 +367,7 @@ def scored(docs: DataFrame, seed: int = 5) -> DataFrame:
             break
         reached = likelihood
         model.learn(value[label == -1000].sum(0), moves, emits)
+    stages.drop(sequences)
     shared = spark.sparkContext.broadcast((classes, model.parts(), np.log10(mass), Table(token), log_base))
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     kinds = "row long, doc_id long, token long, times long, n_tokens long, listed long, partial double, inside double"
