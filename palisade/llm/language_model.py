@@ -163,7 +163,7 @@ def gathered(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np
         for begin, end, state in zip(reversed(begins), reversed(ends), reversed(entry), strict=True):
             here = live[begin:end]
             place = np.concatenate([[0], np.cumsum(here)])
-            alpha, seen, scale, _ = _block(classes, at, here, begin, state, move, emit)
+            alpha, seen, scale, _, given = _block(classes, at, here, begin, state, move, emit)
             likelihood += float(np.log10(scale).sum())
             gamma = np.empty_like(alpha)
             for t in range(len(here) - 1, -1, -1):
@@ -172,29 +172,38 @@ def gathered(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np
                     m = len(ahead)
                     moves += alpha[place[t] : place[t] + m].T @ ahead
                     beta[:m] = ahead @ move.T
-                gamma[rows] = alpha[rows] * beta[:n]
-                ahead = beta[:n] * emit[seen[rows]] / scale[rows, None]
-            gamma /= gamma.sum(1, keepdims=True)
+                np.multiply(alpha[rows], beta[:n], out=gamma[rows])
+                ahead = given[rows]  # each step's emissions are used once more, and then hold its part of the sums
+                ahead *= beta[:n]
+                ahead /= scale[rows, None]
+            gamma /= (gamma @ np.ones(k))[:, None]
+            gamma = np.ascontiguousarray(gamma.T)
             if begin == 0:
-                starts += gamma[: here[0]].sum(0)
+                starts += gamma[:, : here[0]].sum(1)
             for s in range(k):
-                emits[:, s] += np.bincount(seen, gamma[:, s], len(emit))
+                emits[:, s] += np.bincount(seen, gamma[s], len(emit))
     return starts, moves * move, emits, likelihood
 
 
-def _block(classes: np.ndarray, at: np.ndarray, live: np.ndarray, begin: int, state: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward states, classes and scales of some steps from ``begin`` on, step by step, and the state after them."""
+def _block(classes: np.ndarray, at: np.ndarray, live: np.ndarray, begin: int, state: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Scaled forward states, classes and scales of some steps from ``begin`` on, step by step, the state after them, and each place's emissions."""
     place = np.concatenate([[0], np.cumsum(live)])
-    alpha, seen, scale = np.empty((place[-1], state.shape[1])), np.empty(place[-1], np.int64), np.empty(place[-1])
-    state = state.copy()
+    step = np.repeat(np.arange(len(live)), live)
+    seen = classes[at[np.arange(place[-1]) - place[step]] + begin + step].astype(np.int64)
+    given, ones = np.take(emit, seen, axis=0), np.ones(state.shape[1])
+    alpha, scale = np.empty_like(given), np.empty(place[-1])
     for t, n in enumerate(live.tolist()):
         rows = slice(place[t], place[t + 1])
-        seen[rows] = classes[at[:n] + begin + t]
-        now = (state[:n] @ move if begin + t else state[:n]) * emit[seen[rows]]
-        scale[rows] = now.sum(1)
-        state[:n] = now / scale[rows, None]
-        alpha[rows] = state[:n]
-    return alpha, seen, scale, state
+        now = alpha[rows]
+        if begin + t:
+            np.matmul(state[:n], move, out=now)
+            now *= given[rows]
+        else:
+            np.multiply(state[:n], given[rows], out=now)
+        np.matmul(now, ones, out=scale[rows])
+        now /= scale[rows, None]
+        state = now
+    return alpha, seen, scale, state.copy(), given
 
 
 class Model:
