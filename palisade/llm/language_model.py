@@ -146,7 +146,8 @@ def gathered(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np
     """The expected counts and the summed log10 likelihood.
 
     Steps go by blocks: only the forward states at their begins are kept, and the backward pass computes each
-    block's states again from there, so a very long text needs no more memory than many short ones.
+    block's states again from there, so a very long text needs no more memory than many short ones. States have the
+    parameters' precision, which is single in training; all sums are double.
     """
     k, likelihood = len(start), 0.0
     starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k))
@@ -159,12 +160,12 @@ def gathered(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np
         entry = [np.tile(start, (len(lot), 1))]  # forward states at the begin of each block
         for begin, end in zip(begins[:-1], ends, strict=False):
             entry.append(_block(classes, at, live[begin:end], begin, entry[-1], move, emit)[3])
-        beta, ahead = np.ones((len(lot), k)), None
+        beta, ahead = np.ones((len(lot), k), emit.dtype), None
         for begin, end, state in zip(reversed(begins), reversed(ends), reversed(entry), strict=True):
             here = live[begin:end]
             place = np.concatenate([[0], np.cumsum(here)])
             alpha, seen, scale, _, given = _block(classes, at, here, begin, state, move, emit)
-            likelihood += float(np.log10(scale).sum())
+            likelihood += float(np.log10(scale).sum(dtype=np.float64))
             gamma = np.empty_like(alpha)
             for t in range(len(here) - 1, -1, -1):
                 n, rows = here[t], slice(place[t], place[t + 1])
@@ -176,10 +177,10 @@ def gathered(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np
                 ahead = given[rows]  # each step's emissions are used once more, and then hold its part of the sums
                 ahead *= beta[:n]
                 ahead /= scale[rows, None]
-            gamma /= (gamma @ np.ones(k))[:, None]
+            gamma /= (gamma @ np.ones(k, emit.dtype))[:, None]
             gamma = np.ascontiguousarray(gamma.T)
             if begin == 0:
-                starts += gamma[:, : here[0]].sum(1)
+                starts += gamma[:, : here[0]].sum(1, dtype=np.float64)
             for s in range(k):
                 emits[:, s] += np.bincount(seen, gamma[s], len(emit))
     return starts, moves * move, emits, likelihood
@@ -190,8 +191,8 @@ def _block(classes: np.ndarray, at: np.ndarray, live: np.ndarray, begin: int, st
     place = np.concatenate([[0], np.cumsum(live)])
     step = np.repeat(np.arange(len(live)), live)
     seen = classes[at[np.arange(place[-1]) - place[step]] + begin + step].astype(np.int64)
-    given, ones = np.take(emit, seen, axis=0), np.ones(state.shape[1])
-    alpha, scale = np.empty_like(given), np.empty(place[-1])
+    given, ones = np.take(emit, seen, axis=0), np.ones(state.shape[1], emit.dtype)
+    alpha, scale = np.empty_like(given), np.empty(place[-1], emit.dtype)
     for t, n in enumerate(live.tolist()):
         rows = slice(place[t], place[t + 1])
         now = alpha[rows]
@@ -361,7 +362,7 @@ def scored(docs: DataFrame, seed: int = 5) -> DataFrame:
     reached = -np.inf
     sequences = stages.keep(train.mapInArrow(_sequences(spark.sparkContext.broadcast(classes)), "classes binary, first binary"))
     while True:
-        shared = spark.sparkContext.broadcast(model.parts())
+        shared = spark.sparkContext.broadcast(tuple(x.astype(np.float32) for x in model.parts()))
         rows = sequences.mapInArrow(_expected(shared), "class int, " + ", ".join(f"{x} double" for x in names))
         sums = rows.groupBy("class").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
         shared.unpersist()
