@@ -44,6 +44,7 @@ BLOCK_TOKENS = 4_000_000  # shingles counted at once for the order
 OFTEN = 2  # a shingle counts from so many documents of a block on
 HOT = 8  # from so many documents on a shingle is ordered last
 MOST_HOT = 200_000  # of the most frequent ones; all others are ordered by hash
+LARGE, SHARE = 1000, 10_000  # groups of more copies than LARGE and than one in SHARE of all rows are broadcast: fewer than SHARE groups
 
 
 def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -200,7 +201,7 @@ class Join:
         made = self.docs.mapInArrow(_prefixes(self.n, self.percent, table), "doc_id long, n long, d1 long, d2 long, p1 long, p2 long, prefix array<long>")
         texts = keep(made)
         used = texts.where("n > 0 AND doc_id IS NOT NULL")
-        copies = used.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
+        copies = used.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.count("*").alias("copies"))
         groups = copies.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
         members = keep(copies.join(groups, ["n", "p1", "p2"]).select("rep", "gid", "n", "p1", "p2"))
         heads = members.where("rep = gid").select(F.col("gid").alias("doc_id"))
@@ -219,10 +220,20 @@ class Join:
         rest = self.links(self.unsettled(used.select("doc_id", "n", "prefix"), lists, members, known))
         final = components(first.unionByName(rest), self.stages)
 
-        texts, copies = texts.select("doc_id", "n", "d1", "d2"), copies.select("n", "d1", "d2", "rep")
-        out = texts.join(copies, ["n", "d1", "d2"], "left").join(final, F.col("rep") == F.col("node"), "left")
-        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        placed = copies.join(final, F.col("rep") == F.col("node"), "left")
+        placed = keep(placed.select("n", "d1", "d2", "copies", F.coalesce("component", "rep").alias("component_id")))
+        return self.spread(texts.select("doc_id", "n", "d1", "d2"), placed).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+    @staticmethod
+    def spread(texts: DataFrame, placed: DataFrame) -> DataFrame:
+        """``texts`` with the component of their sets. Rows of large groups of copies stay where they are, so no task gets a whole group."""
+        key, large = ["n", "d1", "d2"], F.col("copies") > max(LARGE, texts.count() // SHARE)
+        linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+        alone = texts.where(~linked).withColumn("component_id", F.col("doc_id"))
+        few = F.broadcast(placed.where(large).drop("copies"))
+        copied = texts.where(linked).join(few, key)
+        others = texts.where(linked).join(few, key, "left_anti").join(placed.where(~large).drop("copies"), key)
+        return alone.unionByName(copied).unionByName(others)
 
     def unsettled(self, prefixes: DataFrame, lists: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
         """All candidate pairs of members that are not yet in one component."""

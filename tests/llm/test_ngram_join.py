@@ -59,6 +59,13 @@ def test_components_match_all_pairs(spark, table, monkeypatch, n, percent):
     assert got == brute_force(rows, n, percent)
 
 
+def test_large_groups_of_copies_match_all_pairs(spark, table, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 2)
+    rows = edited_copies(9) + [(1000 + i, "the same eight words stand in each text") for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.grouped(table(rows)).collect()}
+    assert got == brute_force(rows, 4, 85)
+
+
 def test_one_document_of_each_component_stays(spark, table):
     rows = [(3, "a b c d e f"), (1, "A B c d e f"), (2, "a b c d e x"), (4, None)]
     assert {r.doc_id for r in ngram_join.one_of_each(table(rows)).collect()} == {1, 2, 4}
