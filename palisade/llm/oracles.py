@@ -84,4 +84,37 @@ SELECT doc_id, n_words,
   CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
 FROM c"""
 
-ORACLE = {"op6_url_filters": _URLS, "op8_source_mixing": _MIX, "op9_license_scans": _LICENSES}
+
+
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Vector codes, with every part compared with every entry in every round."""
+    apart = "CAST(list_sum(list_transform(list_zip(v, c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT)"
+    assign = "SELECT k, p, min({{'apart': {apart}, 'e': e}}) AS best FROM parts JOIN c{i} USING (p) GROUP BY k, p"
+    step = """, a{i} AS MATERIALIZED ({assign}
+), s{i} AS (
+  SELECT p, best.e, i, CAST(sum(v[i]) AS BIGINT) AS total, count(*) AS n FROM a{i} JOIN parts USING (k, p), range(1, size + 1) t(i) GROUP BY ALL
+), c{j} AS MATERIALIZED (
+  SELECT p, e, list(coalesce((total - ((total % n) + n) % n) // n, c[i]) ORDER BY i) AS c
+  FROM (SELECT p, e, c, i FROM c{i}, range(1, len(c) + 1) t(i)) LEFT JOIN s{i} USING (p, e, i) GROUP BY p, e
+)"""
+    sql = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS k, len(embedding) // {parts} AS size,
+         list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), parts AS MATERIALIZED (SELECT k, p, size, x[p * size + 1 : (p + 1) * size] AS v FROM kept, range({parts}) t(p)
+), c0 AS MATERIALIZED (SELECT p, k - 1 AS e, v AS c FROM parts WHERE k <= {entries}
+)"""
+    for i in range(rounds):
+        sql += step.format(i=i, j=i + 1, assign=assign.format(apart=apart, i=i))
+    return sql + f""", last AS ({assign.format(apart=apart, i=rounds)}
+), coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.apart) AS BIGINT) AS error
+  FROM last JOIN kept USING (k) GROUP BY k, vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM coded"""
+
+
+ORACLE = {"op6_url_filters": _URLS, "op8_source_mixing": _MIX, "op9_license_scans": _LICENSES, "op12_vector_codes": _codes()}

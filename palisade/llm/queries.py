@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import fingerprints, language_model, licenses, mixing, neighbours, ngram_join, pieces, quality, toxicity, url_filters
+from palisade.llm import compression, fingerprints, language_model, licenses, mixing, neighbours, ngram_join, pieces, quality, simhash, toxicity, url_filters, whitening
 from palisade.llm.oracles import ORACLE
 from palisade.llm.store import documents
 
@@ -51,6 +51,18 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(documents(spark, sf_dir))
 
 
+def op11_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 _ALL = (
     op1_bradley_terry_quality,
     op2_tree_neighbours,
@@ -62,6 +74,9 @@ _ALL = (
     op8_source_mixing,
     op9_license_scans,
     op10_sampled_pieces,
+    op11_simhash_variants,
+    op12_vector_codes,
+    op13_embedding_whitening,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: ORACLE[name] for name in QUERIES if name in ORACLE}

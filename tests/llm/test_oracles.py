@@ -9,7 +9,7 @@ from palisade.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_duckdb(spark, small, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     got, found = queries.QUERIES[name](spark, small), c.execute(queries.ORACLES[name])
     columns = [x[0] for x in found.description]
@@ -19,4 +19,4 @@ def test_same_rows_as_duckdb(spark, small, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
