@@ -22,6 +22,7 @@ for _pattern, _other in (
 ):
     _MASKED = f"regexp_replace({_MASKED}, '{_pattern}', '{_other}', 'g')"
 _NUMBERS = "uri_len::DOUBLE AS ul, query_len::DOUBLE AS ql, path_depth::DOUBLE AS de, special_char_count::DOUBLE AS sp, body_len::DOUBLE AS bl, user_agent_len::DOUBLE AS al, is_get::DOUBLE AS g, is_post::DOUBLE AS p, has_json_body::DOUBLE AS js, has_login_keyword::DOUBLE AS lo, has_captcha_keyword::DOUBLE AS ca, has_admin_keyword::DOUBLE AS ad, has_token_keyword::DOUBLE AS tk, has_password_keyword::DOUBLE AS pw, resp_is_error::DOUBLE AS er, status_code::DOUBLE AS st, length(request_text)::DOUBLE AS tl"
+_CHANGED = """(SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'License mit fur ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 5 > 0) AS changed"""
 _BEST = O.bm25(("license", "mit"), 6)
 
 ORACLE = {
@@ -111,4 +112,12 @@ ORACLE = {
     "stream_counted_batches": """WITH n AS (SELECT user_id % 16 AS shard, event_id, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) - 1 AS spot, count(*) OVER (PARTITION BY user_id % 16) AS n FROM events)
         SELECT shard, event_id, spot // 20 AS batch FROM n WHERE spot // 20 < n // 20""",
     "stream_admitted": O.ORACLE["admitted_requests"],
+    "accented_bm25": O.bm25(("fur", "cion", "leger", "re"), 25),
+    "indexed_bm25": O.bm25(("the", "license", "re on", "fur"), 20),
+    "changed_index_bm25": O.bm25(("license mit", "fur", "the"), 20, _CHANGED),
+    "indexed_search": f"""WITH d AS (SELECT doc_id, source, {O._FOLD} AS t FROM documents)
+        SELECT doc_id, source FROM d WHERE contains(t, ' license ') OR contains(t, ' fur ') ORDER BY doc_id DESC LIMIT 20 OFFSET 20""",
+    "changed_index_total": f"WITH d AS (SELECT {O._FOLD} AS t FROM {_CHANGED} WHERE source = 'src0') SELECT count(*) AS total FROM d WHERE contains(t, ' license ') OR contains(t, ' re  mit ')",
+    "event_pages": f"""WITH {O.EVENTS} SELECT event_id, occurred_at, source_ip FROM e WHERE occurred_at BETWEEN {O.AS_OF} - INTERVAL 30 DAY AND {O.AS_OF} AND risk_level = 'high'
+        ORDER BY occurred_at DESC, event_id LIMIT 50 OFFSET 100""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import features, http, labels, payloads, scoring
 from palisade.operators import cases, mutations, ranking
-from palisade.plans import evaluation, events, retrieval
+from palisade.plans import evaluation, events, fulltext, retrieval
 from palisade.sources import canonical, files
 from palisade.sources import tables as T
 from palisade.sources.staging import folder
@@ -221,6 +221,50 @@ def fallback_search(s: SparkSession, d: str) -> DataFrame:
     return retrieval.with_fallback(T.stored(s, d, "documents"), ["licens", "qqzzxx"], ["text"], 5)
 
 
+def accented_bm25(s: SparkSession, d: str) -> DataFrame:
+    """Accents make no difference, neither in a term nor in a text."""
+    return retrieval.bm25(T.stored(s, d, "documents"), ["Für", "cion", "l\u0065\u0301ger", "re\u0301"], ["text"], 25)
+
+
+def _index(s: SparkSession, d: str, changed: bool) -> fulltext.TextIndex:
+    """An index of the documents; changed: every seventh one replaced, every fifth deleted, then made one segment."""
+    docs = T.stored(s, d, "documents")
+    index = fulltext.TextIndex.create_from(s, folder(s, "index"), docs, ["text"], buckets=16)
+    if changed:
+        index.upsert(docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("License mit fur "), F.coalesce("text", F.lit("")))))
+        index.delete_ids(docs.where("doc_id % 5 = 0").select("doc_id"))
+        index.compact()
+    return index
+
+
+def indexed_bm25(s: SparkSession, d: str) -> DataFrame:
+    return _index(s, d, False).bm25(["the", "license", "re on", "für"], 20)
+
+
+def changed_index_bm25(s: SparkSession, d: str) -> DataFrame:
+    return _index(s, d, True).bm25(["license mit", "fur", "the"], 20)
+
+
+def indexed_search(s: SparkSession, d: str) -> DataFrame:
+    """The second page of a search, behind the last id of the first."""
+    index = _index(s, d, False)
+    first = index.search("license fur").agg(F.min("doc_id")).first()[0]
+    return index.search("license fur", before=first)
+
+
+def changed_index_total(s: SparkSession, d: str) -> DataFrame:
+    return _index(s, d, True).total("License, re-mit /", "src0")
+
+
+def event_pages(s: SparkSession, d: str) -> DataFrame:
+    """The third page of a search, each page found behind the last row of the one before."""
+    rows = events.EventQuery(preset="30d", risk="high").filtered(T.security_events(s, d)).select("event_id", "occurred_at", "source_ip")
+    last = None
+    for _ in range(2):
+        last = events.following(rows, events.NEWEST, last, 50).collect()[-1]
+    return events.following(rows, events.NEWEST, last, 50)
+
+
 def document_total(s: SparkSession, d: str) -> DataFrame:
     return retrieval.total(T.stored(s, d, "documents"), "License, re-mit /", "src0")
 
@@ -344,5 +388,6 @@ QUERIES = {
         flow_categories, model_scores, noted_events, logged_actions, cached_regions, replaced_documents, replaced_config, exported_cases_updated, chosen_attacks, joined_regions, region_labels, assigned_machines,
         joined_confusion, traced_scores, event_search_custom, fallback_search, document_total, knowledge_context, decoded_payloads, captured_payloads, decoded_blocks, normalised_texts, value_lines, cleaned_texts,
         verbose_messages, packet_lines, json_round_trip, csv_round_trip, manifest_rows, enriched_cases, masked_samples, stream_counted_batches, stream_admitted, stream_paired_frames,
+        accented_bm25, indexed_bm25, changed_index_bm25, indexed_search, changed_index_total, event_pages,
     )
 }

@@ -103,17 +103,17 @@ k AS (SELECT *, min(raw_score) OVER (PARTITION BY file_id) AS low, max(raw_score
 q AS (SELECT file_id, seq_id, raw_score, CASE WHEN high - low > 1e-12 THEN round((raw_score - low) / (high - low), 6) ELSE 0 END AS norm_score, rank FROM k)"""
 
 _BM_TERMS = ("the", "license", "re on")
-_FOLD = "' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', '  ', 'g')) || ' '"
+_FOLD = "' ' || trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+', '  ', 'g')) || ' '"
 
 
-def bm25(terms: tuple[str, ...], k: int) -> str:
+def bm25(terms: tuple[str, ...], k: int, docs: str = "documents") -> str:
     phrases = [f" {'  '.join(t.split())} " for t in terms]
     freq = ", ".join(f"((length(t) - length(replace(t, '{p}', ''))) // {len(p)})::DOUBLE AS f{i}" for i, p in enumerate(phrases))
     n = ", ".join(f"count(*) FILTER (f{i} > 0)::DOUBLE AS n{i}" for i in range(len(phrases)))
     idf = [f"(CASE WHEN ln((docs - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)) > 0 THEN ln((docs - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END)" for i in range(len(phrases))]
     score = " ".join(f"- {idf[i]} * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))" for i in range(len(phrases)))
     any_ = " OR ".join(f"f{i} > 0" for i in range(len(phrases)))
-    return f"""WITH d AS (SELECT doc_id, {_FOLD} AS t FROM documents),
+    return f"""WITH d AS (SELECT doc_id, {_FOLD} AS t FROM {docs}),
     c AS (SELECT doc_id, (CASE WHEN length(t) > 2 THEN length(t) - length(replace(t, '  ', ' ')) + 1 ELSE 0 END)::DOUBLE AS size, {freq} FROM d),
     s AS (SELECT count(*)::DOUBLE AS docs, avg(size) AS mean, {n} FROM c)
     SELECT doc_id, 0.0::DOUBLE {score} AS score FROM c, s WHERE {any_} ORDER BY score, doc_id LIMIT {k}"""

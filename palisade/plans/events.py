@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from palisade.functions import labels
@@ -64,6 +64,26 @@ class EventQuery:
         return with_blocks(page, blocks).withColumn("attack_type", labels.attack_label(F.col("attack_type")))
 
 
+NEWEST = (("occurred_at", True), ("event_id", False))  # columns of an order, and whether they fall
+
+
+def following(rows: DataFrame, order: tuple[tuple[str, bool], ...], last: Row | None, size: int) -> DataFrame:
+    """The page behind ``last``, a row of the page before it or None for the first page, in an ``order`` that ends with a key.
+
+    Rows up to ``last`` are filtered where the table is read, so the thousandth page costs no more than the first;
+    an offset would have every task hold all rows before the page. The columns of the order must not be null.
+    """
+    if last is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for name, falls in order:
+            c, value = F.col(name), F.lit(last[name]).cast(rows.schema[name].dataType)
+            behind, equal = behind | (equal & (c < value if falls else c > value)), equal & (c == value)
+        first, falls = order[0]
+        bound = F.lit(last[first]).cast(rows.schema[first].dataType)
+        rows = rows.where((F.col(first) <= bound if falls else F.col(first) >= bound) & behind)  # the plain bound reaches the scan
+    return rows.orderBy(*[F.col(c).desc() if falls else F.col(c).asc() for c, falls in order]).limit(size)
+
+
 def blocked_by_event(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("source_event_id").agg(F.max("blocked_at").alias("last_blocked_at"))
 
