@@ -38,6 +38,7 @@ from palisade.llm import words as W
 from palisade.llm.components import components
 from palisade.llm.frequent import most_frequent
 from palisade.llm.store import Stages
+from palisade.llm.workers import released
 
 FEW = 1_000_000  # ids that may be broadcast; beyond, the join shuffles
 BLOCK_TOKENS = 4_000_000  # shingles counted at once for the order
@@ -161,12 +162,12 @@ class Join:
         """Those of ``pairs`` (a, b) whose whole sets reach the threshold."""
         pairs = self.stages.keep(pairs)
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-        found = only(self.docs, ids).mapInArrow(_encoded(self.n), "id long, items binary").where("length(items) > 0")
+        found = only(self.docs, ids).mapInArrow(released(_encoded(self.n)), "id long, items binary").where("length(items) > 0")
         found = self.stages.keep(found)
         left = found.select(F.col("id").alias("a"), F.col("items").alias("left"))
         right = found.select(F.col("id").alias("b"), F.col("items").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        out = self.stages.keep(both.mapInArrow(_verified(self.percent), "a long, b long").distinct())
+        out = self.stages.keep(both.mapInArrow(released(_verified(self.percent)), "a long, b long").distinct())
         self.stages.drop(found)
         self.stages.drop(pairs)
         return out
@@ -189,7 +190,7 @@ class Join:
 
     def run(self) -> DataFrame:
         spark, keep = self.docs.sparkSession, self.stages.keep
-        seen = self.docs.select("text").mapInArrow(_frequent(self.n), "token long, seen long")
+        seen = self.docs.select("text").mapInArrow(released(_frequent(self.n)), "token long, seen long")
         hot = seen.groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HOT)
         hot = most_frequent(self.stages.keep(hot), "seen", MOST_HOT).toPandas()
         token = hot["token"].to_numpy(np.int64).view(np.uint64)
@@ -198,7 +199,7 @@ class Join:
         rank[order] = np.arange(len(token))
         by_token = np.argsort(token)
         table = spark.sparkContext.broadcast((token[by_token], rank[by_token]))
-        made = self.docs.mapInArrow(_prefixes(self.n, self.percent, table), "doc_id long, n long, d1 long, d2 long, p1 long, p2 long, prefix array<long>")
+        made = self.docs.mapInArrow(released(_prefixes(self.n, self.percent, table)), "doc_id long, n long, d1 long, d2 long, p1 long, p2 long, prefix array<long>")
         texts = keep(made)
         used = texts.where("n > 0 AND doc_id IS NOT NULL")
         copies = used.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.count("*").alias("copies"))

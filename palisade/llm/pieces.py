@@ -36,10 +36,11 @@ from pyspark.sql import DataFrame
 
 from palisade.llm import words as W
 from palisade.llm.language_model import Table
+from palisade.llm.workers import released
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64
-SLICE = 2 << 20
+SLICE = 1 << 20
 BLOCK = 1 << 15  # bytes of a long unit whose sums are held at once
 _STEP = np.uint64(0x100000001B3)
 _MARK = "▁"
@@ -359,7 +360,7 @@ def encoded(docs: DataFrame, path: str = MODEL, seed: int = 29, sharpness: float
                 columns = [pa.array(np.diff(offsets)), pa.array(np.diff(at)), _ids(flat, at, null), pa.array(same)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_bytes", "n_pieces", "pieces", "lossless"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, pieces array<int>, lossless boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_bytes long, n_pieces long, pieces array<int>, lossless boolean")
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
@@ -378,4 +379,4 @@ def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
                 texts = [whole_text[x:y] if ok else None for x, y, ok in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "pieces").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "pieces").mapInArrow(released(run), "doc_id long, text string")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import words as W
 from palisade.llm.labelled import fold, sample
+from palisade.llm.workers import released
 
 MOST = 3000  # labelled rows of each class
 PAIRS = 60_000  # preference pairs, drawn from them
@@ -133,7 +134,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for b in W.pieces(whole):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1)))], ["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    out = docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
@@ -147,4 +148,4 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = CUT) -> DataFram
                 score = shared.value.scores(b.column(b.schema.get_field_index("text")))
                 yield b.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
