@@ -23,6 +23,26 @@ for _pattern, _other in (
     _MASKED = f"regexp_replace({_MASKED}, '{_pattern}', '{_other}', 'g')"
 _NUMBERS = "uri_len::DOUBLE AS ul, query_len::DOUBLE AS ql, path_depth::DOUBLE AS de, special_char_count::DOUBLE AS sp, body_len::DOUBLE AS bl, user_agent_len::DOUBLE AS al, is_get::DOUBLE AS g, is_post::DOUBLE AS p, has_json_body::DOUBLE AS js, has_login_keyword::DOUBLE AS lo, has_captcha_keyword::DOUBLE AS ca, has_admin_keyword::DOUBLE AS ad, has_token_keyword::DOUBLE AS tk, has_password_keyword::DOUBLE AS pw, resp_is_error::DOUBLE AS er, status_code::DOUBLE AS st, length(request_text)::DOUBLE AS tl"
 _CHANGED = """(SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'License mit fur ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 5 > 0) AS changed"""
+_START = "{'at': NULL::TIMESTAMP, 'ok': false, 'error': NULL::VARCHAR, 'n': 0::INTEGER, 'state': 'failed'}"
+_REST = 6 * 3600
+
+
+def _passes(rounds: int = 3, most: int = 400) -> str:
+    """Cases after each pass; a pass k is made at AS_OF plus the given minutes."""
+    sql = f"""WITH {O.EVENTS}, p0 AS (SELECT number, CASE number % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'failed' END AS status,
+      CASE WHEN number % 4 <> 1 THEN NULL WHEN number % 8 = 1 THEN {O.AS_OF} + INTERVAL 100 SECOND WHEN number % 3 > 0 THEN occurred_at END AS started, NULL::VARCHAR AS model, NULL::VARCHAR AS error FROM e)"""
+    for k, minutes in zip(range(rounds), (0, 3, 7), strict=True):
+        now = f"({O.AS_OF} + INTERVAL {minutes} MINUTE)"
+        sql += f""", o{k} AS (SELECT *, status IN ('pending', 'failed') OR (status = 'processing' AND (started IS NULL OR epoch({now}) - epoch(started) >= 180)) AS open FROM p{k}),
+    t{k} AS (SELECT *, open AND row_number() OVER (PARTITION BY open ORDER BY number) <= {most} AS taken,
+      CASE WHEN number % 7 = 0 AND number % 3 = 0 THEN 'HTTP 500 from the model' WHEN number % 11 = 0 THEN 'no JSON in the answer' END AS wrong FROM o{k}),
+    p{k + 1} AS (SELECT number, CASE WHEN taken THEN CASE WHEN wrong IS NULL THEN 'done' ELSE 'failed' END WHEN open AND status = 'processing' THEN 'pending' ELSE status END AS status,
+      CASE WHEN taken THEN {now} WHEN open AND status = 'processing' THEN NULL ELSE started END AS started,
+      CASE WHEN taken THEN CASE WHEN wrong IS NOT NULL THEN NULL WHEN number % 7 = 0 THEN 'second' ELSE 'first' END ELSE model END AS model,
+      CASE WHEN taken THEN wrong ELSE error END AS error FROM t{k})"""
+    return sql + f" SELECT 'b.' || CAST(number AS VARCHAR) AS case_id, status, model, error, strftime(started, '%Y-%m-%d %H:%M:%S') AS started_at FROM p{rounds}"
+
+
 _BEST = O.bm25(("license", "mit"), 6)
 
 ORACLE = {
@@ -120,4 +140,17 @@ ORACLE = {
     "changed_index_total": f"WITH d AS (SELECT {O._FOLD} AS t FROM {_CHANGED} WHERE source = 'src0') SELECT count(*) AS total FROM d WHERE contains(t, ' license ') OR contains(t, ' re  mit ')",
     "event_pages": f"""WITH {O.EVENTS} SELECT event_id, occurred_at, source_ip FROM e WHERE occurred_at BETWEEN {O.AS_OF} - INTERVAL 30 DAY AND {O.AS_OF} AND risk_level = 'high'
         ORDER BY occurred_at DESC, event_id LIMIT 50 OFFSET 100""",
+    "stream_paired_across": f"""WITH {_PAIRS}, q AS (SELECT conv_id AS stream, turn AS place FROM conversations WHERE role = 'user'), a AS (SELECT conv_id AS stream, turn AS place FROM conversations WHERE role = 'assistant')
+        SELECT stream, stream * 1048576 + request_place AS request, stream * 1048576 + response_place AS response FROM f WHERE stream % 4 >= 2 AND request_place IS NOT NULL AND response_place IS NOT NULL
+        UNION ALL SELECT a.stream, q.stream * 1048576 + q.place, a.stream * 1048576 + a.place FROM a JOIN q ON q.stream = xor(a.stream, 1) AND q.place = a.place - 1 WHERE a.stream % 4 < 2""",
+    "stream_attempts": f"""WITH p AS (SELECT 'f' || CAST(user_id % 200 AS VARCHAR) AS file_id,
+          list({{'at': ts, 'ok': value >= 150, 'error': event_type || CAST(event_id AS VARCHAR), 'n': 0::INTEGER, 'state': 'failed'}} ORDER BY ts, event_type || CAST(event_id AS VARCHAR)) AS polls FROM events GROUP BY 1),
+        r AS (SELECT file_id, list_reduce(polls, lambda a, x: CASE WHEN a.state IN ('done', 'ignored') OR (a.at IS NOT NULL AND epoch(x.at) - epoch(a.at) < {_REST}) THEN a
+          WHEN x.ok THEN {{'at': NULL::TIMESTAMP, 'ok': true, 'error': NULL::VARCHAR, 'n': 0::INTEGER, 'state': 'done'}}
+          ELSE {{'at': x.at, 'ok': false, 'error': x.error, 'n': (a.n + 1)::INTEGER, 'state': CASE WHEN a.n + 1 >= 20 THEN 'ignored' ELSE 'failed' END}} END, {_START}) AS t FROM p)
+        SELECT file_id, t.n AS attempts, t.state AS state, strftime(t.at, '%Y-%m-%d %H:%M:%S') AS failed_at, t.error AS error,
+          t.state NOT IN ('done', 'ignored') AND (t.at IS NULL OR epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(t.at) >= {_REST}) AS due FROM r""",
+    "case_passes": _passes(),
+    "retried_errors": """WITH k AS (SELECT list_extract(['Connection refused by 10.0.0.1', 'read TIMED OUT', 'WinError 10061', 'no JSON in the answer', 'HTTP 500', 'llama runner process has terminated: x', 'Internal Server Error'],
+          CAST(o_orderkey % 7 + 1 AS BIGINT)) AS error FROM orders) SELECT error, error <> 'no JSON in the answer' AS retried, count(*) AS total FROM k GROUP BY error""",
 }

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions import features, http, labels, payloads, scoring
-from palisade.operators import cases, mutations, ranking
+from palisade.operators import cases, mutations, passes, ranking
 from palisade.plans import evaluation, events, fulltext, retrieval
 from palisade.sources import canonical, files
 from palisade.sources import tables as T
 from palisade.sources.staging import folder
-from palisade.streaming import jobs
+from palisade.streaming import attempts, jobs
+from palisade.streaming import pairing as stream_pairing
 
 SEED = 20260425
 
@@ -377,6 +378,59 @@ def stream_admitted(s: SparkSession, d: str) -> DataFrame:
     return jobs.admitted(s, events_, lambda: T.blocked_ips(s, d).select(F.col("ip_address").alias("source_ip")))
 
 
+def stream_paired_across(s: SparkSession, d: str) -> DataFrame:
+    """Turns as packets: in half of the conversations each answer names the question before it in a neighbour, in the others it names nothing."""
+    turns = jobs.source(s, d, "conversations").where("role IN ('user', 'assistant')")
+    frame = lambda conv, turn: conv * 1048576 + turn
+    asked = T.stored(s, d, "conversations").where("role = 'user'").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), (F.col("turn") + 1).alias("turn"), frame(F.col("conv_id"), F.col("turn")).alias("named"))
+    turns = turns.join(asked, ["conv_id", "turn"], "left")
+    own, request = F.col("conv_id") % 4 >= 2, F.col("role") == "user"
+    packets = turns.where(own | request | F.col("named").isNotNull()).select(
+        F.col("conv_id").alias("stream"), frame(F.col("conv_id"), F.col("turn")).alias("frame"), (F.col("turn") * 1_000_000_000 + F.col("conv_id")).alias("place"), request.alias("is_request"),
+        F.when(~own & ~request, F.col("named")).alias("named"),
+    )
+    return stream_pairing.paired(s, packets, folder(s))
+
+
+def stream_attempts(s: SparkSession, d: str) -> DataFrame:
+    """Events as polls of 200 files; those of a high value succeed, all others fail."""
+    polls = jobs.source(s, d, "events").select(F.concat(F.lit("f"), (F.col("user_id") % 200).cast("string")).alias("file_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("value") >= 150).alias("ok"), F.concat("event_type", F.col("event_id").cast("string")).alias("error"))
+    files = attempts.recorded(s, polls, folder(s), most=20, rest=6 * 3600, buckets=4).rows()
+    ready = attempts.due(F.col("state"), F.col("failed_at"), F.lit("2024-01-31 00:00:00").cast("timestamp"), 6 * 3600)
+    return files.select("file_id", "attempts", "state", F.date_format("failed_at", "yyyy-MM-dd HH:mm:ss").alias("failed_at"), "error", ready.alias("due"))
+
+
+def _asked(model: str, text: str) -> str:
+    """Stands in for a remote model."""
+    n = int(text)
+    if n % 7 == 0 and (model == "first" or n % 3 == 0):
+        raise RuntimeError("HTTP 500 from the model")
+    if n % 11 == 0:
+        raise RuntimeError("no JSON in the answer")
+    return text
+
+
+def case_passes(s: SparkSession, d: str) -> DataFrame:
+    """Cases after three passes of at most 400 each; some are in processing, and stale from the third pass on."""
+    n, now = F.col("number"), F.lit(T.AS_OF).cast("timestamp")
+    started = F.when(n % 8 == 1, F.timestamp_add("SECOND", F.lit(100), now)).when(n % 3 > 0, F.col("occurred_at").cast("timestamp"))
+    rows = T.security_events(s, d).select(
+        _id("number").alias("case_id"), "number", n.cast("string").alias("text"), F.element_at(F.array(*map(F.lit, ("pending", "processing", "done", "failed"))), (n % 4 + 1).cast("int")).alias("status"),
+        F.when(n % 4 == 1, started).alias("started_at"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("error"),
+    )
+    cases = passes.Cases(s, folder(s, "cases"), rows, buckets=4)
+    for second in (18 * 60 + 30, 18 * 60 + 33, 18 * 60 + 37):
+        cases.run(f"2024-01-29 {second // 60}:{second % 60:02}:00", _asked, ["first", "second"], 400)
+    return cases.rows().select("case_id", "status", "model", "error", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"))
+
+
+def retried_errors(s: SparkSession, d: str) -> DataFrame:
+    """Which errors are worth another try."""
+    kinds = F.array(*map(F.lit, ("Connection refused by 10.0.0.1", "read TIMED OUT", "WinError 10061", "no JSON in the answer", "HTTP 500", "llama runner process has terminated: x", "Internal Server Error")))
+    error = F.element_at(kinds, (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return T.stored(s, d, "orders").groupBy(error.alias("error")).agg(F.first(jobs.can_retry(error)).alias("retried"), F.count("*").alias("total"))
+
+
 def stream_paired_frames(s: SparkSession, d: str) -> DataFrame:
     return jobs.paired_frames(s, d)
 
@@ -388,6 +442,6 @@ QUERIES = {
         flow_categories, model_scores, noted_events, logged_actions, cached_regions, replaced_documents, replaced_config, exported_cases_updated, chosen_attacks, joined_regions, region_labels, assigned_machines,
         joined_confusion, traced_scores, event_search_custom, fallback_search, document_total, knowledge_context, decoded_payloads, captured_payloads, decoded_blocks, normalised_texts, value_lines, cleaned_texts,
         verbose_messages, packet_lines, json_round_trip, csv_round_trip, manifest_rows, enriched_cases, masked_samples, stream_counted_batches, stream_admitted, stream_paired_frames,
-        accented_bm25, indexed_bm25, changed_index_bm25, indexed_search, changed_index_total, event_pages,
+        accented_bm25, indexed_bm25, changed_index_bm25, indexed_search, changed_index_total, event_pages, stream_paired_across, stream_attempts, case_passes, retried_errors,
     )
 }

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.operators import mutations
 from palisade.sources.staging import folder
+from palisade.sources.versions import Table
 
 
 # Parts of errors after which a case is tried again.
@@ -56,63 +57,24 @@ def hourly_counts(spark: SparkSession, sf_dir: str, place: str | None = None) ->
     return rows.groupBy("hour", "event_type").agg(F.sum("total").alias("total"), F.sum("high").alias("high"))
 
 
-BUCKETS = 64  # of a keyed table, by a hash of its key
-
-
-class Keyed:
-    """A keyed table in buckets: a batch rewrites the buckets that it touches, beside their last versions, which it then replaces.
-
-    Which version of each bucket counts is a table of at most ``BUCKETS`` rows, written last; a batch that is
-    repeated after a failure writes the same version again.
-    """
-
-    def __init__(self, spark: SparkSession, place: str, columns: tuple[str, ...], key: str):
-        self.spark, self.place, self.columns, self.key = spark, place, columns, key
-
-    def versions(self, before: int | None = None) -> dict[int, int]:
-        """The version of each bucket, or that before batch ``before``; batches are numbered on by their stream."""
-        listed = self.spark.read.schema("bucket int, version long, batch long").parquet(f"{self.place}/versions/*") if self.exists() else None
-        if listed is None:
-            return {}
-        rows = listed if before is None else listed.where(F.col("batch") < before)
-        return {r["bucket"]: r["version"] for r in rows.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
-
-    def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/versions")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def rows(self, versions: dict[int, int]) -> DataFrame | None:
-        paths = [f"{self.place}/table/version={v}/bucket={b}" for b, v in sorted(versions.items())]
-        return self.spark.read.parquet(*paths).select(*self.columns) if paths else None
-
-    def merge(self, delta: DataFrame, n: int, newer: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Put ``delta``, one row a key, into the buckets; ``newer(base, delta)`` gives the rows of delta that count."""
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
-        old = self.versions(before=n)
-        touched = [r["b"] for r in delta.select(bucket.alias("b")).distinct().collect()]
-        base = self.rows({b: old[b] for b in touched if b in old})
-        merged = delta.select(*self.columns) if base is None else mutations.upsert(base, newer(base, delta.select(*self.columns)), [self.key])
-        if touched:
-            merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.place}/table/version={n}")
-            new = self.spark.createDataFrame([(b, n, n) for b in touched], "bucket int, version long, batch long")
-            new.coalesce(1).write.mode("overwrite").parquet(f"{self.place}/versions/batch-{n:09d}")
-
-
 def latest_by_user(spark: SparkSession, sf_dir: str, place: str | None = None) -> DataFrame:
-    """A keyed table kept up to date: each batch is merged into the buckets of its users. ``place`` goes on from an earlier run."""
-    columns = ("user_id", "event_id", "event_type")
-    table = Keyed(spark, place or folder(spark), columns, "user_id")
+    """A keyed table kept up to date: each batch is merged into the buckets of its users and committed as a version. ``place`` goes on from an earlier run."""
+    columns, place = ("user_id", "event_id", "event_type"), place or folder(spark)
+    table = Table(spark, f"{place}/table")
+    if not table.numbers():
+        Table.create_from(spark, table.root, spark.createDataFrame([], "user_id long, event_id long, event_type string"), ["user_id"])
 
     def newer(base: DataFrame, delta: DataFrame) -> DataFrame:
         old = base.select("user_id", F.col("event_id").alias("old"))
         return delta.join(old, "user_id", "left").where("old IS NULL OR event_id > old").drop("old")
 
     def merge(df: DataFrame, n: int) -> None:
-        table.merge(df.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("r")).select("user_id", "r.*"), n, newer)
+        last = df.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("r")).select("user_id", "r.*")
+        table.apply(lambda base: mutations.upsert(base, newer(base, last), ["user_id"]), last, n)
+        table.expire(keep=2)
 
-    drain(source(spark, sf_dir, "events").select(*columns), merge, table.place)
-    rows = table.rows(table.versions())
-    return spark.createDataFrame([], "user_id long, event_id long, event_type string") if rows is None else rows
+    drain(source(spark, sf_dir, "events").select(*columns), merge, place)
+    return table.rows()
 
 
 def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
