@@ -15,7 +15,8 @@ template accepts, 0.5 where only a phrase stands, else 0.
 Defined cases: null and empty texts have no words, labels are empty strings,
 first_word and last_word null; repeated rows are scanned alike; texts are
 scanned whole, whatever their length; an empty table gives an empty result;
-markup at a template's begin is optional like any other; extra columns are ignored.
+markup at a template's begin is optional like any other; of a label's equally long
+spans the first counts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -157,9 +158,9 @@ class Scanner:
             return len(words), 0, None, None, "", "", 0.0, []
         found, first, last, labels = 0, None, None, set()
         for phrase, label in PHRASES:
-            key, at = b" " + phrase.encode() + b" ", -1
+            key, at, place, counted = b" " + phrase.encode() + b" ", -1, 0, 0
             while (at := flat.find(key, at + 1)) >= 0:
-                place = flat.count(b" ", 0, at)
+                place, counted = place + flat.count(b" ", counted, at), at  # blanks since the place before
                 found, labels = found + 1, labels | {label}
                 first, last = place if first is None else min(first, place), place if last is None else max(last, place)
         spans: dict[str, tuple[int, int]] = {}
