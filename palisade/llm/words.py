@@ -131,7 +131,7 @@ def shingles(w: Words, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each; a single longer text is a slice of its own."""
     lengths = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0)
     size = np.cumsum(lengths.to_numpy(zero_copy_only=False))
