@@ -121,7 +121,7 @@ ORACLE = {
     "packet_lines": """WITH n AS (SELECT conv_id * 1000 + turn AS n, conv_id FROM conversations) SELECT CAST(n AS VARCHAR) AS frame_number, CAST(conv_id AS VARCHAR) AS stream, CASE n % 3 WHEN 0 THEN '/a "b" c' WHEN 1 THEN '/a"b' ELSE '/plain' END AS uri,
         CASE WHEN n % 2 = 0 THEN 'h' END AS host, CASE WHEN n % 2 = 0 THEN '7' END AS response_in FROM n""",
     "json_round_trip": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS note FROM orders",
-    "csv_round_trip": "SELECT doc_id, md5('\"q\", ' || split_part(text, chr(10), 1)) AS line, source FROM documents",
+    "csv_round_trip": "SELECT doc_id, md5('\"q\", ' || text) AS line, source FROM documents",
     "manifest_rows": """SELECT 'b.' || CAST(event_id AS VARCHAR) AS case_id, 'f' || CAST(user_id % 9 AS VARCHAR) AS file_id, CAST(event_id AS INTEGER) AS seq_id, round(value, 1) AS raw_score, 'pending' AS status, CAST(round(value, 1) AS VARCHAR) AS written,
         '' AS raw_response_block FROM events""",
     "enriched_cases": f"{O._sql(O.REQUESTS)} SELECT 'b.' || CAST(seq_id AS VARCHAR) AS case_id, 'b.' || CAST(seq_id AS VARCHAR) || ':' || CAST(length(method) + 1 + length(host) AS VARCHAR) AS analysis FROM r",

@@ -339,11 +339,11 @@ def json_round_trip(s: SparkSession, d: str) -> DataFrame:
 
 
 def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
-    """Texts with quotes and line ends, columns sorted by name, behind a byte-order mark."""
+    """Whole texts with quotes and line ends, columns sorted by name, behind a byte-order mark."""
     docs, path = T.stored(s, d, "documents"), folder(s, "csv")
-    text = F.concat(F.lit('"q", '), F.substring_index("text", "\n", 1))
+    text = F.concat(F.lit('"q", '), F.col("text"))
     files.write_csv(docs.select("source", "doc_id", text.alias("line")), path, sort_columns=True, marked=True)
-    return files.csv(s, path, "doc_id long, line string, source string").select("doc_id", F.md5("line").alias("line"), "source")
+    return files.csv(s, path, "doc_id long, line string, source string", lines=True).select("doc_id", F.md5("line").alias("line"), "source")
 
 
 def manifest_rows(s: SparkSession, d: str) -> DataFrame:

@@ -73,10 +73,18 @@ def masked(text: Column) -> Column:
 
 
 def host_name(text: Column) -> Column:
-    """A host without scheme, path, brackets and port, in lower case."""
-    plain = F.regexp_replace(F.trim(text), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    plain = F.regexp_extract(plain, r"^([^/?#]*)", 1)
-    return F.lower(F.regexp_replace(F.regexp_replace(plain, r"[\[\]]", ""), r"^([^:]*):\d+$", "$1"))
+    """A host in lower case.
+
+    Of a text with a scheme it is what stands between "://" and the path, without user info and port, and without
+    the brackets of an IPv6 address; the whole text, where no host stands there. Another text stays whole, with a
+    path if it has one, but for brackets around it and, behind its only colon, a port.
+    """
+    raw = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    place = F.regexp_replace(F.regexp_extract(raw, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"^.*@", "")
+    named = F.when(place.contains("["), F.regexp_extract(place, r"\[([^\]]*)", 1)).otherwise(F.regexp_extract(place, r"^([^:]*)", 1))
+    host = F.coalesce(F.nullif(named, F.lit("")), raw)
+    host = F.when(host.rlike(r"(?s)^\[.*\]$"), F.substring(host, 2, F.length(host) - 2)).otherwise(host)
+    return F.lower(F.trim(F.regexp_replace(host, r"^([^:]*):\d+$", "$1")))
 
 
 def query_terms(text: Column, most: int = 14) -> Column:

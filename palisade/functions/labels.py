@@ -1,4 +1,4 @@
-"""Attack-type, region and risk labels, and the address functions behind them."""
+"""Attack-type, region and risk labels."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palisade.functions.addresses import address_key, is_public
+
 # Canonical attack labels in order of their tests. A label is given where one of the fragments
 # is in the lower-cased value without blanks, underscores and hyphens, or one of the words in the value itself.
 ATTACK_TESTS = (
@@ -60,13 +62,6 @@ INTERNAL_WORDS = ("private", "localhost", "loopback")
 # HTTP status codes that mean a request was blocked; so do all from 500 on.
 BLOCKED_STATUS = (401, 403, 404, 406, 409, 429)
 
-# Networks whose addresses are not public, as first and last 32-bit address.
-RESERVED = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12),
-    ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24),
-    ("224.0.0.0", 4), ("240.0.0.0", 4),
-)
-
 
 def _any(tests: list[Column]) -> Column:
     return reduce(lambda x, y: x | y, tests, F.lit(False))
@@ -123,41 +118,12 @@ def attack_result(status: Column) -> Column:
     return F.when(status.isin(*BLOCKED_STATUS) | (status >= 500), "blocked").otherwise("success")
 
 
-def address_number(ip: Column) -> Column:
-    """An IPv4 address as a number; null where it is none (leading zeros are not allowed)."""
-    octet = r"(0|[1-9]\d{0,2})"
-    text = F.trim(ip)
-    parts = F.split(text, r"\.")
-    value = F.lit(0).cast("long")
-    good = text.rlike(rf"\A{octet}\.{octet}\.{octet}\.{octet}\z")
-    for i in range(4):
-        part = F.try_element_at(parts, F.lit(i + 1)).try_cast("long")
-        good = good & (part <= 255)
-        value = value * 256 + part
-    return F.when(good, value)
-
-
-def canonical_address(ip: Column) -> Column:
-    return F.when(address_number(ip).isNotNull(), F.trim(ip)).otherwise("")
-
-
-def is_public(ip: Column) -> Column:
-    """Whether an IPv4 address is in no reserved network; false where it is no address."""
-    number = address_number(ip)
-    inside = F.lit(False)
-    for first, bits in RESERVED:
-        a, b, c, d = map(int, first.split("."))
-        low = ((a * 256 + b) * 256 + c) * 256 + d
-        inside = inside | number.between(low, low + 2 ** (32 - bits) - 1)
-    return F.coalesce(~inside, F.lit(False))
-
-
 def region(ip: Column, stored: Column, cached: Column) -> Column:
     """Region of a source: the stored one unless it is unknown, else by the address, else the cached one."""
     known = region_label(stored)
     return (
         F.when((known != UNKNOWN) & (F.upper(known) != "TEST"), known)
-        .when(address_number(ip).isNull(), UNKNOWN)
+        .when(address_key(ip).isNull(), UNKNOWN)
         .when(~is_public(ip), INTERNAL)
         .otherwise(region_label(cached))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.functions import http, labels
+from palisade.functions import addresses, http, labels
 
 KEY = ["file_id", "seq_id"]
 # Where a log names its source address, and its hosts.
@@ -69,7 +69,7 @@ def joined(cases: DataFrame, manifest: DataFrame, analyses: DataFrame) -> DataFr
 
 def addresses_in(text: Column, patterns: tuple[str, ...] = SOURCE_PATTERNS) -> Column:
     """Distinct addresses that a log names as its source, pattern by pattern, in order of appearance."""
-    found = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 1), labels.canonical_address) for p in patterns]
+    found = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 1), addresses.canonical_address) for p in patterns]
     return F.array_distinct(F.filter(F.concat(*found), lambda x: x != ""))
 
 
@@ -79,12 +79,21 @@ def hosts_in(text: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(*found), lambda x: x != ""))
 
 
-def block_candidates(source: Column, log: Column, analysed: tuple[Column, ...] = (), known: Column | None = None) -> Column:
-    """Distinct addresses to block or release, in this order: those stored (``known``), the event's source, its log's, its analysis's."""
-    single = F.array(labels.canonical_address(source))
-    parts = [single, addresses_in(log), F.array(*[labels.canonical_address(a) for a in analysed]) if analysed else F.array().cast("array<string>")]
-    first = [F.transform(F.coalesce(known, F.array().cast("array<string>")), labels.canonical_address)] if known is not None else []
-    return F.array_distinct(F.filter(F.concat(*first, *parts), lambda x: F.coalesce(x, F.lit("")) != ""))
+def block_candidates(source: Column, log: Column, analysed: tuple[Column, ...] = (), known: Column | None = None, mode: str = "source", destination: Column | None = None) -> Column:
+    """Distinct addresses to block or release, in this order: those stored (``known``), the event's source, its log's, its analysis's.
+
+    ``mode`` "target" takes the analysis's ``destination`` instead of the sources, "both" takes it after them; any other mode means "source".
+    """
+    parts = []
+    if mode != "target":
+        single = F.array(addresses.canonical_address(source))
+        parts += [single, addresses_in(log), *([F.array(*[addresses.canonical_address(a) for a in analysed])] if analysed else [])]
+    if mode in ("target", "both") and destination is not None:
+        parts.append(F.array(addresses.canonical_address(destination)))
+    if known is not None:
+        parts.insert(0, F.transform(F.coalesce(known, F.array().cast("array<string>")), addresses.canonical_address))
+    every = F.concat(*parts) if parts else F.array().cast("array<string>")
+    return F.array_distinct(F.filter(every, lambda x: F.coalesce(x, F.lit("")) != ""))
 
 
 def with_input_address(cases: DataFrame, captured: DataFrame) -> DataFrame:
@@ -92,7 +101,7 @@ def with_input_address(cases: DataFrame, captured: DataFrame) -> DataFrame:
 
     captured: file_id, seq_id, src_ip; of equal places the last file row would do, so one is kept.
     """
-    valid = captured.select(*KEY, labels.canonical_address(F.col("src_ip")).alias("ip")).where("ip <> ''").groupBy(*KEY).agg(F.max("ip").alias("ip"))
+    valid = captured.select(*KEY, addresses.canonical_address(F.col("src_ip")).alias("ip")).where("ip <> ''").groupBy(*KEY).agg(F.max("ip").alias("ip"))
     own = valid.withColumnRenamed("ip", "own_ip")
     head = valid.where("seq_id = 1").select("file_id", F.col("ip").alias("head_ip"))
     rows = cases.join(own, KEY, "left").join(head, "file_id", "left")
@@ -101,7 +110,7 @@ def with_input_address(cases: DataFrame, captured: DataFrame) -> DataFrame:
 
 def source_address(analysis: Column, case: Column, text: Column, from_input: Column) -> Column:
     """The source of a case: what its analysis says, or else the case; else the first address in its text; else the input file's."""
-    stated = labels.canonical_address(F.coalesce(analysis, case))
+    stated = addresses.canonical_address(F.coalesce(analysis, case))
     named = F.try_element_at(addresses_in(text, SOURCE_PATTERNS[:2]), F.lit(1))
     return F.coalesce(F.nullif(stated, F.lit("")), named, F.nullif(from_input, F.lit("")), F.lit(""))
 

@@ -176,3 +176,9 @@ def user_actions(logs: DataFrame, action: str, page: int = 1, size: int = 50) ->
     """A page of one action's log; admins before all others."""
     role = F.when(F.col("role") == "admin", 0).otherwise(1)
     return logs.where(F.col("action") == action).orderBy(role, F.desc("created_at"), F.desc("id")).offset((page - 1) * size).limit(size)
+
+
+def user_log(logs: DataFrame, username: str = "", last: Row | None = None, size: int = 30) -> DataFrame:
+    """A page of the action log, of one user or of all, newest first, behind the ``last`` row of the page before."""
+    found = logs.where(F.col("username") == username.strip()) if username.strip() else logs
+    return following(found, (("created_at", True), ("id", True)), last, max(1, min(200, size)))

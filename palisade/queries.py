@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade import case_queries
-from palisade.functions import http, labels, times
+from palisade.functions import addresses, http, labels, times
 from palisade.operators import mutations, pairing, ranking
 from palisade.plans import dashboard, evaluation, events, retrieval
 from palisade.sources import canonical
@@ -67,7 +67,7 @@ def attack_results(s: SparkSession, d: str) -> DataFrame:
 
 def public_sources(s: SparkSession, d: str) -> DataFrame:
     by_ip = T.security_events(s, d).groupBy("source_ip").agg(F.count("*").alias("total"))
-    return by_ip.select("source_ip", labels.is_public(F.col("source_ip")).alias("is_public"), "total")
+    return by_ip.select("source_ip", addresses.is_public(F.col("source_ip")).alias("is_public"), "total")
 
 
 def static_requests(s: SparkSession, d: str) -> DataFrame:

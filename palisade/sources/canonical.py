@@ -6,7 +6,7 @@ cases), so its text may be gathered in one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import payloads
@@ -41,6 +41,13 @@ def batch_texts(records: DataFrame, ports: str = "80") -> DataFrame:
     return grouped.select("file_id", "batch", F.concat_ws("\n", head, F.array_join(F.transform("cases", lambda c: c["case"]), "\n")).alias("value"))
 
 
+def numbered(records: DataFrame, size: int) -> DataFrame:
+    """``records`` with batch and with seq_id as the place in it, 1 to ``size``, as a capture writes its files; order: file_id and seq_id before."""
+    order = Window.partitionBy("file_id").orderBy("seq_id")
+    place = F.row_number().over(order) - 1
+    return records.withColumn("_place", place).withColumns({"batch": F.floor(F.col("_place") / size), "seq_id": (F.col("_place") % size + 1).cast("long")}).drop("_place")
+
+
 def is_canonical(value: Column) -> Column:
     return value.contains(BATCH_START) & value.contains(CASE_START)
 

@@ -14,15 +14,19 @@ ENCODINGS = ("utf-8-sig", "gbk", "latin-1")
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    """file_id and value of whole text files, decoded by the first encoding that fits.
+    """file_id and value of whole text files, decoded by the first encoding that fits."""
+    return decoded(spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("file_id"), "content"))
 
-    UTF-8 stays in the JVM; only other files go to Python.
+
+def decoded(raw: DataFrame) -> DataFrame:
+    """file_id and value of rows with file_id and content, bytes in one of ``ENCODINGS``; the first that fits counts.
+
+    UTF-8 stays in the JVM; only other contents go to Python.
     """
-    raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("file_id"), "content")
     utf8 = raw.withColumn("value", F.try_validate_utf8(F.col("content").cast("string")))
 
     @F.pandas_udf("string")
-    def decoded(content: pd.Series) -> pd.Series:
+    def others(content: pd.Series) -> pd.Series:
         def one(x: bytes) -> str:
             for name in ENCODINGS:
                 try:
@@ -34,7 +38,7 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
         return content.map(one)
 
     known = utf8.where("value IS NOT NULL").select("file_id", F.regexp_replace("value", "^﻿", "").alias("value"))
-    return known.unionByName(utf8.where("value IS NULL").select("file_id", decoded("content").alias("value")))
+    return known.unionByName(utf8.where("value IS NULL").select("file_id", others("content").alias("value")))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
@@ -46,8 +50,9 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+def csv(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """CSV with a header; with ``lines`` cells may hold line ends, and a file is read by one task."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", lines).csv(path)
 
 
 def packets(spark: SparkSession, path: str) -> DataFrame:
@@ -71,11 +76,18 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(row.alias("r"), "line").where("r.case_id IS NOT NULL").groupBy("r.case_id").agg(F.max_by("r", "line").alias("r")).select("r.*")
 
 
-def knowledge(spark: SparkSession, path: str, prefix: str = "DOC") -> DataFrame:
-    """Knowledge documents of a JSON array, with defaults for what they lack; ids that are missing begin with ``prefix``."""
+def knowledge(spark: SparkSession, path: str, prefix: str = "DOC", forgiving: bool = False) -> DataFrame:
+    """Knowledge documents of a JSON array, with defaults for what they lack; ids that are missing begin with ``prefix``.
+
+    A file that is no JSON stops the job, or has no documents if ``forgiving``.
+    """
     text = ("title", "tags", "attack_type", "content", "evidence", "mitigation")
     schema = "doc_id string, severity string, source string, " + ", ".join(f"{c} string" for c in text)
-    rows = json_documents(spark, path, schema)
+    if forgiving:
+        read = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+        rows = read.where("_bad IS NULL").drop("_bad")
+    else:
+        rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     order = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # a seed file has a few hundred documents
     blank = lambda c, other: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), other)
     return rows.select(
@@ -85,10 +97,10 @@ def knowledge(spark: SparkSession, path: str, prefix: str = "DOC") -> DataFrame:
 
 
 def case_files(spark: SparkSession, path: str) -> DataFrame:
-    """case_id, number and text of case documents below folders b.<n>; other names come last."""
+    """case_id, number and text of case documents below folders b.<n>, also as the values of a partition column; other names come last."""
     rows = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    name = F.regexp_extract("path", r"/(b\.[^/]+)/[^/]+$", 1)
-    number = F.coalesce(F.regexp_extract("path", r"/b\.(\d+)/[^/]+$", 1).try_cast("long"), F.lit(10**9))
+    name = F.regexp_extract("path", r"/(?:[^/=]+=)?(b\.[^/]+)/[^/]+$", 1)
+    number = F.coalesce(F.regexp_extract("path", r"/(?:[^/=]+=)?b\.(\d+)/[^/]+$", 1).try_cast("long"), F.lit(10**9))
     return rows.select(name.alias("case_id"), number.alias("number"), "value")
 
 

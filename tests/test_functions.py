@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade import queries
-from palisade.functions import http, labels, payloads, scoring
+from palisade.functions import addresses, http, labels, payloads, scoring
 from palisade.operators import mutations, pairing, ranking
 from palisade.plans import evaluation, events, retrieval
 from palisade.sources import canonical
@@ -42,8 +42,8 @@ def test_inferred_attacks(spark):
 
 def test_addresses(spark):
     ips = ["8.8.8.8", "10.1.2.3", "100.64.0.1", "172.32.0.1", "192.0.2.9", "224.0.0.1", "08.8.8.8", "256.1.1.1", "x", None, " 1.1.1.1 "]
-    assert values(spark, ips, labels.is_public) == [True, False, False, True, False, False, False, False, False, False, True]
-    assert values(spark, ips, labels.canonical_address)[-1] == "1.1.1.1"
+    assert values(spark, ips, addresses.is_public) == [True, False, False, True, False, True, False, False, False, False, True]
+    assert values(spark, ips, addresses.canonical_address)[-1] == "1.1.1.1"
 
 
 def test_risk_and_result(spark):
