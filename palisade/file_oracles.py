@@ -43,4 +43,5 @@ ORACLE = {
     "committed_events": f"""{O._sql(O.EVENTS)} SELECT event_id, risk_level, {_STATUS} AS process_status, {_ACK} AS acked, CASE WHEN number % 50 = 0 THEN 'seen ' || event_id ELSE note END AS note FROM e WHERE number % 70 <> 1""",
     "earlier_version": f"""{O._sql(O.EVENTS)}, c AS (SELECT CASE WHEN risk_level = 'medium' THEN 'ignored' ELSE process_status END AS process_status, CASE WHEN risk_level = 'medium' THEN 1 ELSE acked END AS acked FROM e)
         SELECT process_status, acked, count(*) AS total FROM c GROUP BY 1, 2""",
+    "captured_files": f"{O._sql(O.REQUESTS)} SELECT '1.1.' || CAST(seq_id // 50 AS VARCHAR) AS file_id, seq_id, method, uri FROM r",
 }

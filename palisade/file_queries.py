@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions import addresses, checks, http, payloads
 from palisade.operators import cases, mutations, ranking
 from palisade.plans import dashboard, events, runs
-from palisade.sources import canonical, files
+from palisade.sources import canonical, captures, files
 from palisade.sources import tables as T
 from palisade.sources.staging import folder
 from palisade.sources.versions import Table
@@ -144,6 +144,17 @@ def numbered_cases(s: SparkSession, d: str) -> DataFrame:
     return canonical.parsed(canonical.batch_texts(named)).select("file_id", "place", "seq_id", "uri")
 
 
+def captured_files(s: SparkSession, d: str) -> DataFrame:
+    """Requests written as capture files, followed as a stream of files, and parsed as they come."""
+    captures.register(s)
+    path, place, n = folder(s, "captures"), folder(s), F.floor(F.col("seq_id") / 50)
+    r = T.requests(s, d).select("seq_id", "method", "uri", F.concat(F.lit("1.1."), n.cast("string")).alias("file_id"), n.alias("batch")).withColumns({"request_block": F.col("uri"), "response_block": F.lit("é")})
+    canonical.batch_texts(r).select(F.col("batch").alias("number"), "value").write.format("captures").mode("append").save(path)
+    stream = s.readStream.format("captures").option("stableSeconds", 0).load(path)
+    jobs.drain(stream, lambda df, i: canonical.parsed(df.select("file_id", "value")).select("file_id", "seq_id", "method", "uri").write.mode("overwrite").parquet(f"{place}/batch={i:09d}"), place)
+    return s.read.parquet(f"{place}/batch=*")
+
+
 def run_metrics(s: SparkSession, d: str) -> DataFrame:
     """Rows of each stage from requests to exported candidates, counted by the one action that makes the export."""
     run = runs.Run(s)
@@ -196,6 +207,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         decoded_texts, json_documents, forgiven_knowledge, case_documents, newest_cases, report_file, quoted_csv, decoded_gb_payloads, host_forms, address_kinds, block_modes, checked_settings, user_log,
-        numbered_cases, run_metrics, stream_run_metrics, committed_events, earlier_version,
+        numbered_cases, run_metrics, stream_run_metrics, committed_events, earlier_version, captured_files,
     )
 }

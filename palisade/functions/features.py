@@ -35,7 +35,7 @@ def category(column: str, choices: list[str], error: Column | None = None) -> Co
     return F.when(error, pick(AFTER_ERROR[column])).otherwise(usual) if error is not None and column in AFTER_ERROR else usual
 
 
-#: Features that only need the first model's input.
+# Features that only need the first model's input, in SQL over the columns of the first projection.
 COMPATIBLE = {
     "dur": "dur", "spkts": "spkts", "dpkts": "dpkts", "sbytes": "sbytes", "dbytes": "dbytes", "rate": "(spkts + dpkts) / span", "sttl": "64D", "dttl": "64D", "sload": "sbytes / span", "dload": "dbytes / span",
     "sloss": "0D", "dloss": "0D", "sinpkt": "dur / greatest(spkts, 1D)", "dinpkt": "dur / greatest(dpkts, 1D)", "sjit": "special * 0.1D", "djit": "special * 0.05D + failed * 0.2D", "swin": "255D",

@@ -148,15 +148,17 @@ def model_input(r: DataFrame) -> DataFrame:
     )
 
 
-#: Features of a request with its response.
+# Features of a request with its response, in SQL over the columns of the first projection.
 FLOW = {
-    "dur": "dur", "spkts": "spkts", "dpkts": "dpkts", "sbytes": "sbytes", "dbytes": "dbytes", "rate": "(spkts + dpkts) / span", "sload": "sbytes / span", "dload": "dbytes / span",
-    "sinpkt": "dur / greatest(spkts, 1D)", "dinpkt": "dur / greatest(dpkts, 1D)", "sjit": "0.5D * sql + 0.2D * bonus", "djit": "0.8D * failed + 0.3D * sql", "smean": "sbytes / greatest(spkts, 1D)",
-    "dmean": "dbytes / greatest(dpkts, 1D)", "tcprtt": "least(1D, gap + 0.05D * failed)", "synack": "least(1D, gap / 2)", "ackdat": "least(1D, gap / 2)", "trans_depth": "1 + json + password + login + bonus",
-    "response_body_len": "least(text_len + 100 * failed, 20000D)", "ct_srv_src": "1 + login + captcha + admin", "ct_state_ttl": "1 + failed + sql", "ct_dst_ltm": "1 + login + failed",
-    "ct_src_dport_ltm": "1 + bonus", "ct_dst_sport_ltm": "1 + bonus", "ct_dst_src_ltm": "1 + bonus", "ct_flw_http_mthd": "if(method <=> 'POST', 2D, 1D)", "ct_src_ltm": "1 + password + token + sql",
-    "ct_srv_dst": "1 + admin + failed", "sttl": "64D", "dttl": "64D", "swin": "255D", "dwin": "255D", "stcpb": "1000D + 10 * seq_id", "dtcpb": "2000D + if(answered = 1, 10 * seq_id, 0)", "sloss": "0D",
-    "dloss": "0D", "is_ftp_login": "0D", "ct_ftp_cmd": "0D", "is_sm_ips_ports": "0D",
+    "dur": "dur", "spkts": "spkts", "dpkts": "dpkts", "sbytes": "sbytes", "dbytes": "dbytes", "rate": "(spkts + dpkts) / span", "sttl": "64D", "dttl": "64D",
+    "sload": "sbytes / span", "dload": "dbytes / span", "sloss": "0D", "dloss": "0D", "sinpkt": "dur / greatest(spkts, 1D)", "dinpkt": "dur / greatest(dpkts, 1D)",
+    "sjit": "0.5D * sql + 0.2D * bonus", "djit": "0.8D * failed + 0.3D * sql", "swin": "255D", "stcpb": "1000D + 10 * seq_id",
+    "dtcpb": "2000D + if(answered = 1, 10 * seq_id, 0)", "dwin": "255D", "tcprtt": "least(1D, gap + 0.05D * failed)", "synack": "least(1D, gap / 2)",
+    "ackdat": "least(1D, gap / 2)", "smean": "sbytes / greatest(spkts, 1D)", "dmean": "dbytes / greatest(dpkts, 1D)",
+    "trans_depth": "1 + json + password + login + bonus", "response_body_len": "least(text_len + 100 * failed, 20000D)", "ct_srv_src": "1 + login + captcha + admin",
+    "ct_state_ttl": "1 + failed + sql", "ct_dst_ltm": "1 + login + failed", "ct_src_dport_ltm": "1 + bonus", "ct_dst_sport_ltm": "1 + bonus",
+    "ct_dst_src_ltm": "1 + bonus", "is_ftp_login": "0D", "ct_ftp_cmd": "0D", "ct_flw_http_mthd": "if(method <=> 'POST', 2D, 1D)",
+    "ct_src_ltm": "1 + password + token + sql", "ct_srv_dst": "1 + admin + failed", "is_sm_ips_ports": "0D",
 }
 
 

@@ -13,6 +13,15 @@ from palisade.sources.canonical import PACKET
 ENCODINGS = ("utf-8-sig", "gbk", "latin-1")
 
 
+def by_first_encoding(content: bytes) -> str:
+    for name in ENCODINGS:
+        try:
+            return content.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return content.decode("utf-8", "replace")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """file_id and value of whole text files, decoded by the first encoding that fits."""
     return decoded(spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("file_id"), "content"))
@@ -27,15 +36,7 @@ def decoded(raw: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def others(content: pd.Series) -> pd.Series:
-        def one(x: bytes) -> str:
-            for name in ENCODINGS:
-                try:
-                    return x.decode(name)
-                except UnicodeDecodeError:
-                    continue
-            return x.decode("utf-8", "replace")
-
-        return content.map(one)
+        return content.map(by_first_encoding)
 
     known = utf8.where("value IS NOT NULL").select("file_id", F.regexp_replace("value", "^﻿", "").alias("value"))
     return known.unionByName(utf8.where("value IS NULL").select("file_id", others("content").alias("value")))
