@@ -47,6 +47,7 @@ LISTED = 200_000  # words whose counts are broadcast; the counts of all others a
 BUCKETS, MOST_BUCKETS, WORDS = 64, 4096, 4000  # classes of all other words: one for so many known words, a power of two, at least and at most
 RISE = 1e-4  # training ends when a round raises the summed log likelihood by no more than this share
 LANES = 8192  # texts that go step by step together
+SLICE = 4 << 20  # bytes of text read at once
 TOKENS = 2_500_000  # tokens whose expected counts are computed at once
 ROWS = 500_000  # forward states held at once; longer runs of texts go by blocks, whose states are computed twice
 END = np.uint64(0xE7037ED1A0B428DB)  # the end token's hash
@@ -240,7 +241,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "bucket", "c"])
 
     for whole in batches:
-        for b in W.pieces(whole):
+        for b in W.pieces(whole, most=SLICE):
             h, tail, _ = _tokens(b.column(0))
             found.append((h, tail))
             size += len(h)
@@ -256,7 +257,7 @@ def _sequences(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in W.pieces(whole):
+            for b in W.pieces(whole, most=SLICE):
                 h, tail, first = _tokens(b.column(0))
                 rows = [[shared.value.of(h, tail).astype(np.int32).tobytes()], [first.astype(np.int64).tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], ["classes", "first"])
@@ -307,7 +308,7 @@ def _scores(shared):
         classes, model, log_mass, listed, log_base = shared.value
         names = ["row", "doc_id", "token", "times", "n_tokens", "listed", "partial", "inside"]
         for whole in batches:
-            for b in W.pieces(whole):
+            for b in W.pieces(whole, most=SLICE):
                 h, tail, first = _tokens(b.column(2))
                 c = classes.of(h, tail)
                 n, length = len(b), np.diff(first)
