@@ -24,13 +24,15 @@ with the corpus; only the frequent words (a bounded number) are broadcast.
 
 Defined cases: null and empty texts have one token, the end; repeated rows each
 count; a null doc_id is in the fold of the empty text; without training texts all
-tokens are unknown; a very long text is read whole, step by step; an empty table
+tokens are unknown; words of equal counts at the cut of the frequent ones go by their
+hash; a very long text is read whole, its segments side by side; an empty table
 gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,8 @@ FREQUENT = 20_000  # words that are classes of their own
 LISTED = 200_000  # words whose counts are broadcast; the counts of all others are joined
 BUCKETS, MOST_BUCKETS, WORDS = 64, 4096, 4000  # classes of all other words: one for so many known words, a power of two, at least and at most
 RISE = 1e-4  # training ends when a round raises the summed log likelihood by no more than this share
-LANES = 8192  # texts that go step by step together
+LONG, SEGMENT = 8192, 2048  # tokens from which on a text is cut, and of its segments
+LANES = 8192  # texts or segments that go step by step together
 SLICE = 4 << 20  # bytes of text read at once
 TOKENS = 2_500_000  # tokens whose expected counts are computed at once
 ROWS = 500_000  # forward states held at once; longer runs of texts go by blocks, whose states are computed twice
@@ -113,20 +116,90 @@ def buckets_for(words: int) -> int:
     return min(MOST_BUCKETS, max(BUCKETS, 1 << (max(1, words // WORDS) - 1).bit_length()))
 
 
-def _lanes(first: np.ndarray) -> Iterator[np.ndarray]:
-    """Texts in lots of similar length, longest first within a lot."""
-    order = np.argsort(-np.diff(first), kind="stable")
+def _lots_of(length: np.ndarray) -> Iterator[np.ndarray]:
+    """Lanes in lots of similar length, longest first within a lot."""
+    order = np.argsort(-length, kind="stable")
     for i in range(0, len(order), LANES):
         yield order[i : i + LANES]
 
 
+class Lanes(NamedTuple):
+    """Runs of tokens that go step by step side by side: whole texts, and the segments of long ones.
+
+    ``prior``: the states' probabilities at the first token, before it is seen; ``after``: how likely what follows the
+    run is from each state; ``before``: the states at the token before a segment, 0 at a text's begin.
+    """
+
+    text: np.ndarray
+    at: np.ndarray
+    length: np.ndarray
+    prior: np.ndarray
+    after: np.ndarray
+    before: np.ndarray
+
+
+def _through(classes: np.ndarray, at: np.ndarray, length: np.ndarray, state: np.ndarray, move: np.ndarray, emit: np.ndarray, moves_first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of states (segments, rows, states) taken through segments sorted by falling length; each row adds up to 1, its scale is the second result."""
+    scale, k = np.zeros(state.shape[:2]), state.shape[2]
+    state = state.astype(emit.dtype)
+    for t in range(int(length[0])):
+        live = int(np.searchsorted(-length, -t, "left"))
+        now = state[:live]
+        if t or moves_first:
+            now = (now.reshape(-1, k) @ move).reshape(now.shape)
+        now = now * emit[classes[at[:live] + t]][:, None]
+        total = now.sum(2)
+        state[:live] = now / total[..., None]
+        scale[:live] += np.log(total)
+    return state.astype(np.float64), scale
+
+
+def lanes(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Lanes:
+    """Whole texts, those over ``LONG`` tokens as segments of ``SEGMENT``.
+
+    What a segment does to the states is a product of matrices, which is computed for all segments side by side; from these
+    products follow, segment by segment, the states before each and the likelihood after it.
+    """
+    length, k = np.diff(first), len(start)
+    long = np.flatnonzero(length > LONG)
+    short = np.flatnonzero(length <= LONG)
+    whole = Lanes(short, first[short], length[short], np.tile(start, (len(short), 1)), np.ones((len(short), k)), np.zeros((len(short), k)))
+    if not len(long):
+        return whole
+    count = -(-length[long] // SEGMENT)
+    text, head = np.repeat(long, count), np.cumsum(count) - count
+    nth = np.arange(len(text)) - np.repeat(head, count)
+    at = first[text] + nth * SEGMENT
+    size = np.minimum(SEGMENT, first[text + 1] - at)
+    later = np.flatnonzero(nth > 0)
+    later = later[np.argsort(-size[later], kind="stable")]
+    product, scale = np.empty((len(text), k, k)), np.empty((len(text), k))
+    if len(later):
+        product[later], scale[later] = _through(classes, at[later], size[later], np.tile(np.eye(k), (len(later), 1, 1)), move, emit, True)
+    begun, _ = _through(classes, at[head], size[head], np.tile(start, (len(head), 1, 1)), move, emit, False)
+    before, after = np.zeros((len(text), k)), np.ones((len(text), k))
+    for one, begin, end in zip(begun[:, 0], head, head + count, strict=True):
+        for i in range(begin + 1, end):
+            before[i] = one
+            weight = one * np.exp(scale[i] - scale[i].max())
+            one = weight @ product[i]
+            one = one / one.sum()
+        for i in range(end - 2, begin - 1, -1):
+            ahead = np.exp(scale[i + 1] - scale[i + 1].max()) * (product[i + 1] @ after[i + 1])
+            after[i] = ahead / (before[i + 1] @ ahead)
+    prior = before @ move.astype(np.float64)
+    prior[head] = start
+    cut = Lanes(text, at, size, prior, after, before)
+    return Lanes(*(np.concatenate(x) for x in zip(whole, cut, strict=True)))
+
+
 def forward(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """log10 of the forward probability of each text's classes, by the scaled recursion. ``emit`` is (classes, states)."""
-    out = np.zeros(len(first) - 1)
-    for lot in _lanes(first):
-        length, at = np.diff(first)[lot], first[lot]
+    out, every = np.zeros(len(first) - 1), lanes(classes, first, start, move, emit)
+    for lot in _lots_of(every.length):
+        length, at = every.length[lot], every.at[lot]
         total = np.zeros(len(lot))
-        state = np.tile(start, (len(lot), 1))
+        state = every.prior[lot]
         for t in range(int(length[0])):
             live = int(np.searchsorted(-length, -t, "left"))
             seen = emit[classes[at[:live] + t]]
@@ -134,7 +207,7 @@ def forward(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.
             scale = now.sum(1)
             state[:live] = now / scale[:, None]
             total[:live] += np.log10(scale)
-        out[lot] = total
+        np.add.at(out, every.text[lot], total)
     return out
 
 
@@ -152,16 +225,17 @@ def gathered(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np
     """
     k, likelihood = len(start), 0.0
     starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k))
-    for lot in _lanes(first):
-        length, at = np.diff(first)[lot], first[lot]
+    every = lanes(classes, first, start, move, emit)
+    for lot in _lots_of(every.length):
+        length, at = every.length[lot], every.at[lot]
         live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
         _, found = np.unique((np.cumsum(live) - 1) // ROWS, return_index=True)
         begins = found.tolist()
         ends = [*begins[1:], len(live)]
-        entry = [np.tile(start, (len(lot), 1))]  # forward states at the begin of each block
+        entry = [every.prior[lot].astype(emit.dtype)]  # forward states at the begin of each block
         for begin, end in zip(begins[:-1], ends, strict=False):
             entry.append(_block(classes, at, live[begin:end], begin, entry[-1], move, emit)[3])
-        beta, ahead = np.ones((len(lot), k), emit.dtype), None
+        beta, ahead = every.after[lot].astype(emit.dtype), None
         for begin, end, state in zip(reversed(begins), reversed(ends), reversed(entry), strict=True):
             here = live[begin:end]
             place = np.concatenate([[0], np.cumsum(here)])
@@ -181,7 +255,9 @@ def gathered(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np
             gamma /= (gamma @ np.ones(k, emit.dtype))[:, None]
             gamma = np.ascontiguousarray(gamma.T)
             if begin == 0:
-                starts += gamma[:, : here[0]].sum(1, dtype=np.float64)
+                before = every.before[lot]
+                moves += before.T @ ahead  # from the segments before these
+                starts += gamma[:, : here[0]][:, ~before.any(1)].sum(1, dtype=np.float64)
             for s in range(k):
                 emits[:, s] += np.bincount(seen, gamma[s], len(emit))
     return starts, moves * move, emits, likelihood

@@ -254,6 +254,25 @@ def test_expected_counts_do_not_depend_on_the_blocks(monkeypatch):
             assert np.allclose(x, y, rtol=1e-9)
 
 
+@pytest.mark.parametrize(("long", "segment"), [(1, 1), (5, 3), (60, 7), (699, 250), (1000, 4096)])
+def test_segments_of_long_texts_give_what_whole_texts_give(monkeypatch, long, segment):
+    rng = np.random.default_rng(9)
+    k, m = 4, 30
+    norm = lambda a, axis: a / a.sum(axis, keepdims=True)
+    model = norm(rng.random(k), 0), norm(rng.random((k, k)) ** 4, 1), norm(rng.random((m, k)) ** 3, 0)
+    first = np.concatenate([[0], np.cumsum([1, 700, 3, 60, 61, 2000, 1, 5])])
+    classes = rng.integers(0, m, first[-1])
+    counts, scores = language_model.gathered(classes, first, *model), language_model.forward(classes, first, *model)
+    monkeypatch.setattr(language_model, "LONG", long)
+    monkeypatch.setattr(language_model, "SEGMENT", segment)
+    monkeypatch.setattr(language_model, "ROWS", 99)
+    assert np.allclose(language_model.forward(classes, first, *model), scores, rtol=1e-10)
+    for x, y in zip(counts, language_model.gathered(classes, first, *model), strict=True):
+        assert np.allclose(x, y, rtol=1e-8)
+    single = language_model.gathered(classes, first, *(x.astype(np.float32) for x in model))
+    assert all(np.allclose(x, y, rtol=2e-3, atol=1e-3) for x, y in zip(counts, single, strict=True))
+
+
 def test_language_model_of_long_null_repeated_and_clashing_rows(spark):
     rows = [(1, "a b " * 40_000), (2, None), (2, None), (None, "a zzz"), (3, "A b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("x"), "row": F.lit(1), "token": F.lit(2), "held_out": F.lit(0)})
