@@ -273,5 +273,7 @@ def compressed(vectors: DataFrame, label: str = "label") -> DataFrame:
     schema = T.StructType().add("vec_id", T.LongType()).add("label", kind).add("code", T.StringType()).add("error", T.LongType())
     coded = stages.keep(blocks.mapInArrow(_coded(width, books), schema))
     by_label = coded.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("copies"))
-    out = onto_rows(coded, stages.keep(by_label), "label")
+    by_label = stages.keep(by_label)
+    stages.only(coded, by_label)
+    out = onto_rows(coded, by_label, "label")
     return out.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))

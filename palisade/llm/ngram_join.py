@@ -273,6 +273,7 @@ def grouped(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents of a component but its least doc_id."""
-    found = grouped(docs, n, percent)
-    gone = Stages(docs.sparkSession, "ngram-gone").keep(found.where("doc_id <> component_id").select("doc_id"))
+    join = Join(docs, n, percent)
+    gone = Stages(docs.sparkSession, "ngram-gone").keep(join.run().where("doc_id <> component_id").select("doc_id"))
+    join.stages.only()
     return only(docs, gone, how="left_anti").select(docs.columns)

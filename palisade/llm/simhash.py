@@ -129,5 +129,7 @@ def grouped(docs: DataFrame, n: int = 3) -> DataFrame:
     found = found.join(ends[0], "a").join(ends[1], "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     known = components(found, stages)
     placed = prints.join(known, F.col("rep") == F.col("node"), "left").select("print", "copies", F.coalesce("component", "rep").alias("component_id"))
-    rows = onto_rows(linked, stages.keep(placed), "print").unionByName(texts.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
+    placed = stages.keep(placed)
+    stages.only(texts, placed)
+    rows = onto_rows(linked, placed, "print").unionByName(texts.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

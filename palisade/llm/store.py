@@ -36,9 +36,23 @@ class Stages:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that ``keep`` returned and that no later plan reads."""
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        for path in _folders(df):
+            self._delete(path)
+
+    def only(self, *read: DataFrame) -> None:
+        """Delete all that ``keep`` has written but the tables ``read``."""
+        names = {path.rsplit("/", 1)[1] for df in read for path in _folders(df)}
+        for i in range(1, self.n + 1):
+            if str(i) not in names:
+                self._delete(f"{self.root}/{i}")
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

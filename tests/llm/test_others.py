@@ -346,3 +346,28 @@ def test_pipeline_stages_take_effect(spark, small):
         docs = spark.createDataFrame(after.collect(), docs.schema)
     made = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert len(made) == docs.count() > 0 and all(r.lossless for r in made)
+
+
+def test_pipeline_with_nulls_repeated_rows_and_clashing_columns(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(60)
+    first = docs.orderBy("doc_id").first()
+    odd = spark.createDataFrame([(None, first["text"], "en", None, 1), (None, None, None, "s", None), (10**6, None, "en", "s", 0), (10**6 + 1, "", "en", "s", 0), tuple(first)], docs.schema)
+    own = ["2 AS n", "'x' AS score", "7 AS size", "1.5D AS target", "array(1) AS times", "true AS component_id", "'k' AS key", "'r' AS rep"]
+    wide = docs.unionByName(odd).selectExpr(*own[:3], "text", "doc_id", *own[3:], "lang", "source", "n_chars")
+    before, now = wide.count(), wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, now, small)
+        assert after.schema.simpleString() == wide.schema.simpleString(), name
+        if name != "source mixing":
+            assert after.count() <= before
+        if name == "toxicity":
+            assert after.where("doc_id IS NULL").count() == 2 and after.where("text IS NULL").count() == 2  # nothing in them is toxic
+        if name == "n-gram Jaccard join":
+            kept = {r[0] for r in after.where("doc_id IS NOT NULL").select("doc_id").collect()}
+            assert kept <= {r[0] for r in now.select("doc_id").collect()}
+            assert after.where("doc_id IS NULL").count() == now.where("doc_id IS NULL").count()
+        before, now = after.count(), spark.createDataFrame(after.collect(), wide.schema)
+    made = corpus_pipeline.STAGES[-1][1](spark, now, small)
+    assert made.columns == ["doc_id", "n_bytes", "n_pieces", "pieces", "lossless"] and made.count() == now.count() and made.where("NOT lossless").count() == 0
