@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept; ``run`` writes what a stage returns as Parquet in the shared folder and
-gives the next one the table read from there.
+gives the next one the table read from there, after which it is deleted.
+
+Defined cases: an empty table runs through all stages; null texts score 0 for toxicity
+and as empty texts for quality, have no shingles, size 0 and no pieces; a null doc_id
+is kept by every filter that its text passes; rows with equal doc_id are scored each by
+its text, and count as one document for near-duplicates; ties go to the least
+doc_id; extra columns, whatever their names, stay until the last stage; texts are read
+whole, however long.
 """
 
 from __future__ import annotations
@@ -58,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages, docs = Stages(spark, "corpus-pipeline"), documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = stages.keep(stage(spark, docs, sf_dir))
+        stages.only(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
