@@ -250,7 +250,7 @@ def indexed_search(s: SparkSession, d: str) -> DataFrame:
     """The second page of a search, behind the last id of the first."""
     index = _index(s, d, False)
     first = index.search("license fur").agg(F.min("doc_id")).first()[0]
-    return index.search("license fur", before=first)
+    return index.search("license fur", before=-1 if first is None else first)
 
 
 def changed_index_total(s: SparkSession, d: str) -> DataFrame:
@@ -262,7 +262,10 @@ def event_pages(s: SparkSession, d: str) -> DataFrame:
     rows = events.EventQuery(preset="30d", risk="high").filtered(T.security_events(s, d)).select("event_id", "occurred_at", "source_ip")
     last = None
     for _ in range(2):
-        last = events.following(rows, events.NEWEST, last, 50).collect()[-1]
+        page = events.following(rows, events.NEWEST, last, 50).collect()
+        if not page:
+            return rows.where("false")
+        last = page[-1]
     return events.following(rows, events.NEWEST, last, 50)
 
 

@@ -134,7 +134,7 @@ def user_log(s: SparkSession, d: str) -> DataFrame:
     """The second page of one user's log."""
     logs = T.action_logs(s, d)
     last = events.user_log(logs, " user7 ", size=4).collect()
-    return events.user_log(logs, "user7", last[-1] if last else None, size=4)
+    return events.user_log(logs, "user7", last[-1], size=4) if last else logs.where("false")
 
 
 def numbered_cases(s: SparkSession, d: str) -> DataFrame:

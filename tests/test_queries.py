@@ -5,9 +5,10 @@ import math
 import duckdb
 import pytest
 
-from palisade import case_oracles, oracles, queries
+from palisade import case_oracles, file_oracles, file_queries, oracles, queries
 
-ORACLE = oracles.ORACLE | case_oracles.ORACLE
+ORACLE = oracles.ORACLE | case_oracles.ORACLE | file_oracles.ORACLE
+QUERIES = queries.QUERIES | file_queries.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,7 +29,7 @@ def plain(x):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_duckdb(spark, small, duck, name):
-    got = queries.QUERIES[name](spark, small)
+    got = QUERIES[name](spark, small)
     found = duck.execute(ORACLE[name])
     columns = [c[0] for c in found.description]
     assert sorted(got.columns) == sorted(columns)
@@ -38,4 +39,4 @@ def test_same_rows_as_duckdb(spark, small, duck, name):
 
 
 def test_all_oracles_belong_to_queries():
-    assert set(ORACLE) <= set(queries.QUERIES)
+    assert set(ORACLE) <= set(QUERIES) and not set(queries.QUERIES) & set(file_queries.QUERIES)
