@@ -7,16 +7,15 @@ on where that ended.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.operators import mutations
 from palisade.sources.staging import folder
 from palisade.sources.versions import Table
+from palisade.streaming import pairing
 
 
 # Parts of errors after which a case is tried again.
@@ -77,30 +76,19 @@ def latest_by_user(spark: SparkSession, sf_dir: str, place: str | None = None) -
     return table.rows()
 
 
-def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Requests wait in a queue; a response answers the one that it names, if that waits, else the oldest one. State: the places of all waiting requests."""
-    waiting = dict.fromkeys(state.get[0] if state.exists else ())  # in order of arrival
-    rows = pd.concat(list(frames)).sort_values("place")
-    named = rows["request_place"].astype("float64").fillna(-1).tolist()
-    out = []
-    for place, is_request, name in zip(rows["place"].tolist(), rows["is_request"].tolist(), named, strict=True):
-        if is_request:
-            waiting[place] = None
-        elif waiting:
-            answered = int(name) if int(name) in waiting else next(iter(waiting))
-            del waiting[answered]
-            out.append((key[0], answered, place))
-    state.update((list(waiting),))
-    yield pd.DataFrame(out, columns=["stream", "request_place", "response_place"])
+PLACES = 1 << 24  # packets of a stream at most; streams are numbers below 2**39
 
 
 def paired(spark: SparkSession, packets: DataFrame, place: str | None = None) -> DataFrame:
-    """Pairs of a stream of packets (stream, place, is_request, request_place), as they arrive; ``place`` goes on from an earlier run."""
-    place = place or folder(spark)
-    kind = "stream long, request_place long, response_place long"
-    pairs = packets.groupBy("stream").applyInPandasWithState(pair, kind, "waiting array<long>", "append", GroupStateTimeout.NoTimeout)
-    drain(pairs, lambda df, n: df.write.mode("overwrite").parquet(f"{place}/batch={n:09d}"), place)
-    return spark.read.option("basePath", place).parquet(place + "/batch=*").drop("batch")
+    """Pairs of a stream of packets (stream, place, is_request, request_place), as they arrive; ``place`` goes on from an earlier run.
+
+    Places are unique in their stream only, and a response names a request of its own stream. A response without a name,
+    or whose request does not wait, answers the oldest request that waits (see ``palisade.streaming.pairing``).
+    """
+    frame = lambda c: (F.col("stream") * PLACES + F.col(c)).cast("long")
+    rows = packets.select(F.col("stream").cast("long"), frame("place").alias("frame"), F.col("place").cast("long"), "is_request", frame("request_place").alias("named"))
+    found = pairing.paired(spark, rows, place or folder(spark))
+    return found.select("stream", (F.col("request") % PLACES).alias("request_place"), (F.col("response") % PLACES).alias("response_place"))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
