@@ -25,7 +25,7 @@ from palisade.sources.staging import staged
 from palisade.sources.versions import Conflict, Log
 
 GAP = 8  # positions between columns
-SALTS = 4  # files of a bucket, so that no task writes all of a frequent token
+SHARE = 2_000_000  # documents whose postings of a bucket go to one file, so that no task writes all of a frequent token
 FEW = 1_000_000  # dead ids that may be broadcast; beyond, the join shuffles
 POSTINGS = "token string, id long, tag string, size int, at array<int>"
 DOCS = "id long, tag string, size int"
@@ -64,11 +64,12 @@ class TextIndex(Log):
             start = start + n + GAP
         size = reduce(lambda a, b: a + b, sizes)
         placed = lists.select("id", "tag", size.alias("size"), F.explode(F.concat(*every)).alias("t")).select("id", "tag", "size", "t.*")
-        self._write_postings(placed.groupBy("token", "id", "tag", "size").agg(F.sort_array(F.collect_list("at")).alias("at")), at, entry["buckets"])
+        self._write_postings(placed.groupBy("token", "id", "tag", "size").agg(F.sort_array(F.collect_list("at")).alias("at")), at, entry["buckets"], docs.count())
         return self._added(entry, lists.select("id", "tag", size.alias("size")), at, order)
 
-    def _write_postings(self, postings: DataFrame, at: str, buckets: int) -> None:
-        bucket, salt = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    def _write_postings(self, postings: DataFrame, at: str, buckets: int, docs: int) -> None:
+        """``docs``: the number of documents, with which the number of files of a bucket grows."""
+        bucket, salt = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(1 + docs // SHARE))
         rows = postings.select("token", "id", "tag", "size", "at", bucket.alias("bucket")).repartition("bucket", salt)
         rows.sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{self.root}/{at}/postings")
 
@@ -121,7 +122,7 @@ class TextIndex(Log):
         """Make one segment of all that is alive."""
         number, entry = self.latest()
         at, order = f"segments/{uuid.uuid4().hex}", number + 1
-        self._write_postings(self._alive(self._segments(entry, "postings", POSTINGS), entry), at, entry["buckets"])
+        self._write_postings(self._alive(self._segments(entry, "postings", POSTINGS), entry), at, entry["buckets"], entry["docs"])
         fresh = self._added(entry | {"segments": [], "dead": [], "docs": 0, "tokens": 0}, self._alive(self._segments(entry, "docs", DOCS), entry).select("id", "tag", "size"), at, order)
         if not self.create(order, fresh):
             raise Conflict(f"{self.root} was changed while it was compacted")
