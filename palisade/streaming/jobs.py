@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import mutations
 from palisade.sources.staging import folder
-from palisade.sources.versions import Table
+from palisade.sources.versions import Log, Table
 from palisade.streaming import pairing
 
 
@@ -111,9 +111,11 @@ def counted_batches(stream: DataFrame, place: str, size: int, shard: str, order:
     """shard, batch and the rows of ``stream`` in batches of ``size``, as soon as one is full; the rest of a shard waits for more.
 
     Rows of a shard are numbered on in order of arrival, by ``order`` inside a micro-batch. The waiting rows, fewer
-    than ``size`` a shard, and the number of batches so far are written with each micro-batch.
+    than ``size`` a shard, and the number of batches so far are written with each micro-batch, and deleted two micro-batches
+    later, when no repetition reads them any more.
     """
     spark, columns = stream.sparkSession, stream.columns
+    log = Log(spark, place)
 
     def emit(df: DataFrame, n: int) -> None:
         rows = df.withColumn("_since", F.lit(n).cast("long"))
@@ -132,6 +134,8 @@ def counted_batches(stream: DataFrame, place: str, size: int, shard: str, order:
         out.write.mode("overwrite").parquet(f"{place}/out/version={n}")
         made.where(~full).select(*columns, "_since").write.mode("overwrite").parquet(f"{place}/tail/version={n}")
         counts.select(shard, (F.col("_done") + F.floor(F.col("_n") / size)).alias("_done")).write.mode("overwrite").parquet(f"{place}/done/version={n}")
+        for name in ("tail", "done"):
+            log.delete(f"{name}/version={n - 2}")
         rows.unpersist()
 
     drain(stream, emit, place)
