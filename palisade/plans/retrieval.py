@@ -94,12 +94,19 @@ def ranked(counted: DataFrame, corpus: DataFrame, n: int, k: int, id_column: str
     return counted.where(found).crossJoin(corpus).select(id_column, total.alias("score")).orderBy("score", id_column).limit(max(1, k))
 
 
-def with_fallback(docs: DataFrame, terms: list[str], columns: list[str], k: int = 3, id_column: str = "doc_id") -> DataFrame:
-    """BM25, or where it finds nothing documents that hold the first term as text, with score 0."""
+def with_fallback(docs: DataFrame, terms: list[str], columns: list[str], k: int = 3, id_column: str = "doc_id", ranked: DataFrame | None = None) -> DataFrame:
+    """BM25, or where it finds nothing documents that hold the first term as text, with score 0.
+
+    ``ranked``: what an index has found, instead of a scan; documents are then read only if it has found nothing.
+    """
     first = (terms or ["login"])[0].lower()
-    ranked = bm25(docs, terms, columns, k, id_column) if any(map(_phrase, terms)) else docs.select(id_column, F.lit(0.0).alias("score")).where("false")
     like = reduce(lambda a, b: a | b, [F.lower(F.col(c)).contains(first) for c in columns])
     plain = docs.where(like).select(id_column, F.lit(0.0).alias("score")).orderBy(id_column).limit(max(1, k))
+    if ranked is not None:
+        return plain if ranked.isEmpty() else ranked
+    if not any(map(_phrase, terms)):
+        return plain
+    ranked = bm25(docs, terms, columns, k, id_column)
     some = ranked.agg(F.count("*").alias("found"))
     return ranked.unionByName(plain.crossJoin(some).where("found = 0").drop("found"))
 

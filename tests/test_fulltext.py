@@ -63,6 +63,10 @@ def test_phrases_stay_inside_a_column(spark, tmp_path):
     assert [r["doc_id"] for r in index.bm25(["b c"], 5).collect()] == [2]
     with pytest.raises(ValueError, match="without a term"):
         index.total("ü")
+    for terms, wanted in ((["b c"], [2]), (["B ", "q"], [1, 2]), (["zz"], []), ([], [])):
+        hits = index.bm25(terms, 5) if terms else None
+        for ranked in (hits, None):
+            assert sorted(r["doc_id"] for r in retrieval.with_fallback(docs, terms, ["text"], 5, ranked=ranked).collect()) == wanted
 
 
 def test_accents_do_not_matter(spark):
