@@ -66,5 +66,5 @@ def recorded(spark: SparkSession, polls: DataFrame, place: str, most: int = 5, r
 
 def due(state: Column, failed_at: Column, now: Column, rest: int = 30) -> Column:
     """Whether a file may be tried: it is neither done nor given up, and has rested."""
-    rested = failed_at.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(failed_at) >= rest)
+    rested = failed_at.isNull() | (F.unix_micros(now) - F.unix_micros(failed_at) >= rest * 1_000_000)
     return ~state.isin("done", "ignored") & rested

@@ -161,9 +161,9 @@ def retry_state(attempts: Column, failed_at: Column, now: Column, most: int = 5,
 
 
 def case_state(status: Column, started: Column, now: Column, timeout: int = 180) -> Column:
-    """Which cases a pass takes: pending and failed ones, and those that have been processing for too long."""
-    since = F.unix_timestamp(now) - F.unix_timestamp(started)
-    stale = (status == "processing") & F.coalesce(since >= max(30, timeout), F.lit(True))  # without a start, nobody is at work
+    """Which cases a pass takes: pending and failed ones, and those that have been processing for too long, parts of seconds included."""
+    since = F.unix_micros(now) - F.unix_micros(started)
+    stale = (status == "processing") & F.coalesce(since >= max(30, timeout) * 1_000_000, F.lit(True))  # without a start, nobody is at work
     return F.when(status.isin("pending", "failed") | stale, "take").otherwise("leave")
 
 

@@ -209,6 +209,8 @@ def test_case_and_retry_states(spark):
     assert values(spark, ["Read timed out", "bad", None, "HTTP 500", "connection reset", "503"], jobs.can_retry) == [True, False, False, True, False, False]
     no_start = lambda c: jobs.case_state(c, F.lit(None).cast("timestamp"), now)
     assert values(spark, ["processing", "done"], no_start) == ["take", "leave"]
+    began = lambda at: lambda c: jobs.case_state(c, F.lit(at).cast("timestamp"), now)
+    assert [values(spark, ["processing"], began(f"2024-01-01 00:07:00{part}")) for part in ("", ".5")] == [["take"], ["leave"]]
 
 
 def plain_capture(value):
