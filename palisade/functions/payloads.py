@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ PAYLOAD_LINES = ("REQUEST_BODY=", "RESPONSE_EXCERPT=")
 BODY = "\nBody:\n"
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
 
@@ -30,10 +36,9 @@ def stripped(text: Column) -> Column:
 def hex_digits(raw: Column) -> Column:
     """The digits of a payload in hexadecimal, four bytes at least, written without separators, or with colons or blanks; null where it is none."""
     colons = raw.rlike(r"\A(?:[0-9A-Fa-f]{2}:)++[0-9A-Fa-f]{2}\z")
-    even = F.regexp_replace(raw, r"\s+", " ")
-    blanks = even.rlike(r"\A(?:[0-9A-Fa-f]{2} )++[0-9A-Fa-f]{2}\z")
-    compact = F.when(colons, F.replace(raw, F.lit(":"), F.lit(""))).when(blanks, F.replace(even, F.lit(" "), F.lit(""))).otherwise(raw)
-    return F.when(compact.rlike(r"\A[0-9A-Fa-f]{8,}\z") & (F.length(compact) % 2 == 0), compact)
+    blanks = raw.rlike(r"\A(?:[0-9A-Fa-f]{2}\s++)++[0-9A-Fa-f]{2}\z")
+    compact = F.when(colons, F.replace(raw, F.lit(":"), F.lit(""))).when(blanks, F.regexp_replace(raw, r"\s+", "")).otherwise(raw)
+    return _once(compact, lambda c: F.when(c.rlike(r"\A[0-9A-Fa-f]{8,}\z") & (F.length(c) % 2 == 0), c))
 
 
 def readable(text: Column) -> Column:
@@ -42,20 +47,21 @@ def readable(text: Column) -> Column:
     return F.coalesce((F.length(text) > 0) & ((F.length(text) - F.length(plain)) * 10 <= F.length(text)), F.lit(False))
 
 
-def _chinese(data: Column) -> Column:
-    """GB18030, which the JVM's decode does not offer; null where the bytes are none, or there are none."""
+@F.pandas_udf(StringType())
+def _other_encodings(data: pd.Series) -> pd.Series:
+    """Bytes by the first encoding behind UTF-8 that gives a readable text; GB18030 is none that the JVM's decode offers."""
 
-    @F.pandas_udf(StringType())
-    def decoded(series: pd.Series) -> pd.Series:
-        def one(x: bytes | None) -> str | None:
+    def one(x: bytes | None) -> str | None:
+        for name in ENCODINGS[1:] if x is not None else ():
             try:
-                return None if x is None else x.decode("gb18030")
+                text = x.decode(name)
             except UnicodeDecodeError:
-                return None
+                continue
+            if _readable(text):
+                return text
+        return None
 
-        return series.map(one)
-
-    return decoded(data)
+    return data.map(one)
 
 
 def unhexed(payload: Column) -> Column:
@@ -63,12 +69,11 @@ def unhexed(payload: Column) -> Column:
 
     UTF-8 stays in the JVM; only what is none goes to Python.
     """
-    raw = stripped(payload)
-    data = F.unhex(hex_digits(raw))
-    utf8 = F.try_validate_utf8(data.cast("string"))
-    rest = F.when(~readable(utf8), data)
-    chinese, western = _chinese(rest), F.decode(rest, "ISO-8859-1")
-    return F.when(readable(utf8), utf8).when(readable(chinese), chinese).when(readable(western), western).otherwise(raw)
+    data = lambda raw: _once(raw, lambda r: F.struct(r.alias("raw"), F.unhex(hex_digits(r)).alias("data")))
+    text = lambda d: _once(F.try_validate_utf8(d["data"].cast("string")), lambda t: F.when(readable(t), t))
+    read = _once(data(stripped(payload)), lambda d: F.struct(d["raw"].alias("raw"), d["data"].alias("data"), text(d).alias("text")))
+    rest = _once(read, lambda x: F.when(x["text"].isNull(), x["data"]))
+    return _once(F.struct(read.alias("x"), _other_encodings(rest).alias("other")), lambda y: F.coalesce(y["x"]["text"], y["other"], y["x"]["raw"]))
 
 
 def is_text(text: Column) -> Column:
