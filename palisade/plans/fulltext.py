@@ -15,8 +15,10 @@ phrase, meet. Columns follow each other with a gap that no phrase spans.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +27,39 @@ from palisade.sources.staging import staged
 from palisade.sources.versions import Conflict, Log
 
 GAP = 8  # positions between columns
-SHARE = 2_000_000  # documents whose postings of a bucket go to one file, so that no task writes all of a frequent token
-FEW = 1_000_000  # dead ids that may be broadcast; beyond, the join shuffles
+ROWS = 100_000  # postings that a task holds at once before it hands them on
+FEW = 2_000_000  # dead ids that may be broadcast; beyond, the join shuffles
 POSTINGS = "token string, id long, tag string, size int, at array<int>"
 DOCS = "id long, tag string, size int"
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(folded(text), " +"), lambda t: t != "")
+def _size(plain: Column) -> Column:
+    """Number of tokens of a folded text."""
+    return F.size(F.filter(F.split(plain, " +"), lambda t: t != ""))
 
 
-def _placed(words: Column, start: Column) -> Column:
-    return F.transform(words, lambda t, j: F.struct(t.alias("token"), (start + j).alias("at")))
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``POSTINGS`` of documents, each by itself: id, tag, size and for each column its folded text, t0.., and where it starts, s0.."""
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        token, id_, tag, size, at = zip(*out, strict=True)
+        columns = [pa.array(token, pa.string()), pa.array(id_, pa.int64()), pa.array(tag, pa.string()), pa.array(size, pa.int32()), pa.array(at, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, ["token", "id", "tag", "size", "at"])
+
+    for batch in batches:
+        out, n = [], (batch.num_columns - 3) // 2
+        for i in range(batch.num_rows):
+            id_, tag, size, *rest = (c[i].as_py() for c in batch.columns)
+            places: dict[str, list[int]] = {}
+            for text, start in zip(rest[:n], rest[n:], strict=True):
+                for at, token in enumerate((t for t in text.split(" ") if t), start):
+                    places.setdefault(token, []).append(at)
+            out += [(token, id_, tag, size, at) for token, at in places.items()]
+            if len(out) >= ROWS:
+                yield rows(out)
+                out = []
+        if out:
+            yield rows(out)
 
 
 def _less(places: Column, i: int) -> Column:
@@ -56,21 +79,18 @@ class TextIndex(Log):
 
     def _with_segment(self, entry: dict, docs: DataFrame, order: int) -> dict:
         """The entry with a segment of ``docs``, which is written."""
-        lists = docs.select(F.col(entry["id"]).cast("long").alias("id"), F.col(entry["tag"]).cast("string").alias("tag"), *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(entry["columns"])])
-        sizes = [F.size(f"t{i}") for i in range(len(entry["columns"]))]
-        at, every, start = f"segments/{uuid.uuid4().hex}", [], F.lit(0)
-        for i, n in enumerate(sizes):
-            every.append(_placed(F.col(f"t{i}"), start))
-            start = start + n + GAP
-        size = reduce(lambda a, b: a + b, sizes)
-        placed = lists.select("id", "tag", size.alias("size"), F.explode(F.concat(*every)).alias("t")).select("id", "tag", "size", "t.*")
-        self._write_postings(placed.groupBy("token", "id", "tag", "size").agg(F.sort_array(F.collect_list("at")).alias("at")), at, entry["buckets"], docs.count())
-        return self._added(entry, lists.select("id", "tag", size.alias("size")), at, order)
-
-    def _write_postings(self, postings: DataFrame, at: str, buckets: int, docs: int) -> None:
-        """``docs``: the number of documents, with which the number of files of a bucket grows."""
-        bucket, salt = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(1 + docs // SHARE))
-        rows = postings.select("token", "id", "tag", "size", "at", bucket.alias("bucket")).repartition("bucket", salt)
+        n, at = len(entry["columns"]), f"segments/{uuid.uuid4().hex}"
+        texts = docs.select(F.col(entry["id"]).cast("long").alias("id"), F.col(entry["tag"]).cast("string").alias("tag"), *[F.coalesce(folded(F.col(c)), F.lit("")).alias(f"t{i}") for i, c in enumerate(entry["columns"])])
+        sized = texts.select("*", *[_size(F.col(f"t{i}")).alias(f"n{i}") for i in range(n)])
+        starts = [reduce(lambda a, b: a + b, [F.col(f"n{j}") + GAP for j in range(i)], F.lit(0)).alias(f"s{i}") for i in range(n)]
+        size = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(n)]).alias("size")
+        placed = sized.select("id", "tag", size, *[f"t{i}" for i in range(n)], *starts).mapInArrow(_postings, POSTINGS)
+        self._write_postings(placed, at, entry["buckets"])
+        return self._added(entry, sized.select("id", "tag", size), at, order)
+
+    def _write_postings(self, postings: DataFrame, at: str, buckets: int) -> None:
+        """Each task writes what it has of each bucket, in order of the tokens, so nothing is shuffled, and a bucket has as many files as there are tasks."""
+        rows = postings.select("token", "id", "tag", "size", "at", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket"))
         rows.sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{self.root}/{at}/postings")
 
     def _added(self, entry: dict, docs: DataFrame, at: str, order: int) -> dict:
@@ -122,7 +142,7 @@ class TextIndex(Log):
         """Make one segment of all that is alive."""
         number, entry = self.latest()
         at, order = f"segments/{uuid.uuid4().hex}", number + 1
-        self._write_postings(self._alive(self._segments(entry, "postings", POSTINGS), entry), at, entry["buckets"], entry["docs"])
+        self._write_postings(self._alive(self._segments(entry, "postings", POSTINGS), entry), at, entry["buckets"])
         fresh = self._added(entry | {"segments": [], "dead": [], "docs": 0, "tokens": 0}, self._alive(self._segments(entry, "docs", DOCS), entry).select("id", "tag", "size"), at, order)
         if not self.create(order, fresh):
             raise Conflict(f"{self.root} was changed while it was compacted")

@@ -57,6 +57,13 @@ def test_only_the_buckets_of_the_terms_are_read(spark, tmp_path):
     assert len({f.rsplit("bucket=", 1)[1].split("/")[0] for f in rows.inputFiles()}) >= 1 and rows.select("bucket").distinct().count() == 1
 
 
+def test_each_task_writes_its_own_postings(spark, tmp_path):
+    index = TextIndex.create_from(spark, f"{tmp_path}/i", documents(spark, 4, 200).repartition(3), ["text", "title"], buckets=2)
+    files = index.postings(["login"]).inputFiles()
+    assert len(files) == 2 * 3  # of both buckets; by a shuffle to buckets there would be two
+    same(index, documents(spark, 4, 200))
+
+
 def test_phrases_stay_inside_a_column(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "c d", "s"), (2, "b c", "", "s")], "doc_id long, text string, title string, source string")
     index = TextIndex.create_from(spark, f"{tmp_path}/i", docs, ["text", "title"], buckets=2)
