@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions import addresses, checks, http, payloads
 from palisade.operators import cases, mutations, ranking
 from palisade.plans import dashboard, events, runs
-from palisade.sources import canonical, captures, files
+from palisade.sources import canonical, captures, case_folders, files
 from palisade.sources import tables as T
 from palisade.sources.staging import folder
 from palisade.sources.versions import Table
@@ -58,7 +58,7 @@ def forgiven_knowledge(s: SparkSession, d: str) -> DataFrame:
 def _case_folders(s: SparkSession, d: str) -> DataFrame:
     path, key = folder(s, "b"), F.col("s_suppkey").cast("string")
     name = F.when(F.col("s_suppkey") % 9 == 0, F.concat(F.lit("b.x"), key)).otherwise(F.concat(F.lit("b."), key))
-    T.stored(s, d, "supplier").select(name.alias("case"), F.concat(F.lit("{\n"), "s_name", F.lit("\n}")).alias("value")).repartition("case").write.partitionBy("case").text(path)
+    case_folders.write_case_files(T.stored(s, d, "supplier").select(name.alias("case_id"), F.concat(F.lit("{\n"), "s_name", F.lit("\n}")).alias("value")), path)
     return files.case_files(s, path)
 
 

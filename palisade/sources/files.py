@@ -98,11 +98,11 @@ def knowledge(spark: SparkSession, path: str, prefix: str = "DOC", forgiving: bo
 
 
 def case_files(spark: SparkSession, path: str) -> DataFrame:
-    """case_id, number and text of case documents below folders b.<n>, also as the values of a partition column; other names come last."""
-    rows = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    """case_id, number and text of case documents in folders b.<n> below ``path``, also as the values of a partition column; other names come last."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
     name = F.regexp_extract("path", r"/(?:[^/=]+=)?(b\.[^/]+)/[^/]+$", 1)
     number = F.coalesce(F.regexp_extract("path", r"/(?:[^/=]+=)?b\.(\d+)/[^/]+$", 1).try_cast("long"), F.lit(10**9))
-    return rows.select(name.alias("case_id"), number.alias("number"), "value")
+    return rows.select(name.alias("case_id"), number.alias("number"), "value").where("case_id <> ''")
 
 
 def in_order(rows: DataFrame, newest_first: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from palisade import case_queries
 from palisade.functions import features
 from palisade.operators import cases
 from palisade.plans import events, retrieval
-from palisade.sources import canonical, files
+from palisade.sources import canonical, case_folders, files
 from palisade.streaming import jobs
 
 
@@ -55,6 +55,18 @@ def test_case_folders_and_order_of_files(spark, tmp_path):
     assert [r.file_id for r in files.in_order(names.where("file_id <> 'odd'"), newest_first=True).collect()] == ["1.1.10", "1.1.2"]
 
 
+def test_case_folders_written_and_read_from_their_root(spark, tmp_path):
+    root = f"{tmp_path}/result"
+    rows = [("b.2", "two\n"), ("b.10", "é"), ("b.2", "two\n"), ("b.2", "other"), ("b.x7", ""), ("b.8", None)]
+    case_folders.write_case_files(spark.createDataFrame(rows, "case_id string, value string"), f"file://{root}")
+    assert sorted(os.listdir(root)) == ["b.10", "b.2", "b.8", "b.x7"] and sorted(os.listdir(f"{root}/b.2")) == ["case-1.txt", "case-2.txt", "case-3.txt"]
+    os.mkdir(f"{root}/logs")
+    (tmp_path / "result" / "logs" / "log.txt").write_text("no case")
+    assert sorted((r.case_id, r.value) for r in files.case_files(spark, root).collect()) == sorted((c, f"{v or ''}\n") for c, v in rows)
+    with pytest.raises(Exception, match="no name of a case"):
+        case_folders.write_case_files(spark.createDataFrame([("../b.1", "")], "case_id string, value string"), root)
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q"', None), (2, " b ", "ü")], "k int, z string, a string")
     files.write_csv(df.coalesce(1), f"{tmp_path}/c", sort_columns=True, marked=True)
