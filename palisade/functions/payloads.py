@@ -24,7 +24,7 @@ PAYLOAD_LINES = ("REQUEST_BODY=", "RESPONSE_EXCERPT=")
 BODY = "\nBody:\n"
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is computed once, however often ``then`` names it."""
     return F.transform(F.array(value), then)[0]
 
@@ -38,7 +38,7 @@ def hex_digits(raw: Column) -> Column:
     colons = raw.rlike(r"\A(?:[0-9A-Fa-f]{2}:)++[0-9A-Fa-f]{2}\z")
     blanks = raw.rlike(r"\A(?:[0-9A-Fa-f]{2}\s++)++[0-9A-Fa-f]{2}\z")
     compact = F.when(colons, F.replace(raw, F.lit(":"), F.lit(""))).when(blanks, F.regexp_replace(raw, r"\s+", "")).otherwise(raw)
-    return _once(compact, lambda c: F.when(c.rlike(r"\A[0-9A-Fa-f]{8,}\z") & (F.length(c) % 2 == 0), c))
+    return once(compact, lambda c: F.when(c.rlike(r"\A[0-9A-Fa-f]{8,}\z") & (F.length(c) % 2 == 0), c))
 
 
 def readable(text: Column) -> Column:
@@ -69,11 +69,11 @@ def unhexed(payload: Column) -> Column:
 
     UTF-8 stays in the JVM; only what is none goes to Python.
     """
-    data = lambda raw: _once(raw, lambda r: F.struct(r.alias("raw"), F.unhex(hex_digits(r)).alias("data")))
-    text = lambda d: _once(F.try_validate_utf8(d["data"].cast("string")), lambda t: F.when(readable(t), t))
-    read = _once(data(stripped(payload)), lambda d: F.struct(d["raw"].alias("raw"), d["data"].alias("data"), text(d).alias("text")))
-    rest = _once(read, lambda x: F.when(x["text"].isNull(), x["data"]))
-    return _once(F.struct(read.alias("x"), _other_encodings(rest).alias("other")), lambda y: F.coalesce(y["x"]["text"], y["other"], y["x"]["raw"]))
+    data = lambda raw: once(raw, lambda r: F.struct(r.alias("raw"), F.unhex(hex_digits(r)).alias("data")))
+    text = lambda d: once(F.try_validate_utf8(d["data"].cast("string")), lambda t: F.when(readable(t), t))
+    read = once(data(stripped(payload)), lambda d: F.struct(d["raw"].alias("raw"), d["data"].alias("data"), text(d).alias("text")))
+    rest = once(read, lambda x: F.when(x["text"].isNull(), x["data"]))
+    return once(F.struct(read.alias("x"), _other_encodings(rest).alias("other")), lambda y: F.coalesce(y["x"]["text"], y["other"], y["x"]["raw"]))
 
 
 def is_text(text: Column) -> Column:

@@ -56,9 +56,8 @@ def key_values(text: Column) -> Column:
     """Map of ``key=value`` lines: the key ends at the first =, both sides are trimmed, the last line of a key counts."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.instr(x, "=") > 1)
     entry = lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("v"))
-    entries = F.transform(lines, entry)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
-    return F.map_from_entries(last)
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["k"] == e["k"]))
+    return F.map_from_entries(payloads.once(F.transform(lines, entry), last))
 
 
 def _block(case: Column, name: str) -> Column:
@@ -75,7 +74,7 @@ def parsed(texts: DataFrame) -> DataFrame:
     cases = F.regexp_extract_all("value", F.lit(rf"(?s){CASE_START}(.*?){CASE_END}"), F.lit(1))
     rows = texts.where(is_canonical(F.col("value"))).select(F.col("file_id").alias("file"), F.posexplode(cases).alias("place", "case")).withColumn("place", F.col("place") + 1)
     meta = F.regexp_replace("case", r"(?s)\[RE(?:QUEST|SPONSE)_BLOCK\].*?(?:\[/RE(?:QUEST|SPONSE)_BLOCK\]|(?=\[RESPONSE_BLOCK\])|\z)", "")
-    rows = rows.withColumn("m", key_values(meta))
+    rows = rows.withColumns({"m": key_values(meta), "asked": _block(F.col("case"), "REQUEST"), "answer": _block(F.col("case"), "RESPONSE")})
     text = lambda c: F.nullif(F.col("m")[c], F.lit(""))
     digits = lambda c: F.when(text(c).rlike(r"\A\d+\z"), text(c)).try_cast("long")
     read = rows.select(
@@ -83,8 +82,7 @@ def parsed(texts: DataFrame) -> DataFrame:
         text("time_req").try_cast("double").alias("time_req"), text("time_resp").try_cast("double").alias("time_resp"), text("src_ip").alias("src_ip"), text("dst_ip").alias("dst_ip"),
         F.coalesce(digits("src_port"), F.lit(0)).cast("int").alias("src_port"), F.coalesce(digits("dst_port"), F.lit(0)).cast("int").alias("dst_port"), text("method").alias("method"), text("uri").alias("uri"),
         text("host").alias("host"), text("status_code").try_cast("int").alias("status_code"), text("content_type").alias("content_type"), payloads.normalised_text(text("request_text")).alias("request_text"),
-        payloads.normalised_text(text("response_text")).alias("response_text"), payloads.decoded_block(_block(F.col("case"), "REQUEST")).alias("request_block"),
-        payloads.decoded_block(_block(F.col("case"), "RESPONSE")).alias("response_block"),
+        payloads.normalised_text(text("response_text")).alias("response_text"), payloads.decoded_block(F.col("asked")).alias("request_block"), payloads.decoded_block(F.col("answer")).alias("response_block"),
     )
     time = F.coalesce("time_req", F.col("seq_id").cast("double"))
     body = F.coalesce(payloads.payload_line(F.col("request_text"), "REQUEST_BODY="), payloads.unhexed(F.col("request_text")))

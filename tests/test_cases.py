@@ -55,6 +55,12 @@ def test_case_folders_and_order_of_files(spark, tmp_path):
     assert [r.file_id for r in files.in_order(names.where("file_id <> 'odd'"), newest_first=True).collect()] == ["1.1.10", "1.1.2"]
 
 
+def test_lines_of_a_case_are_split_once(spark):
+    rows = spark.createDataFrame([("\n".join([f"k{i % 200} = {i}" for i in range(300)] + ["no pair", "=x"]),)], "t string").select(canonical.key_values(F.col("t")).alias("m"))
+    assert rows.first().m == {f"k{i}": str(i + 200 if i < 100 else i) for i in range(200)}
+    assert rows._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
 def test_case_folders_written_and_read_from_their_root(spark, tmp_path):
     root = f"{tmp_path}/result"
     rows = [("b.2", "two\n"), ("b.10", "é"), ("b.2", "two\n"), ("b.2", "other"), ("b.x7", ""), ("b.8", None)]
