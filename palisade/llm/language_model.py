@@ -107,8 +107,11 @@ class Classes:
         self.table, self.top, self.buckets, self.size = Table(frequent), len(frequent), buckets, len(frequent) + buckets
 
     def of(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        found = self.table.find(h)
-        return np.where(found < 0, self.top + (tail % np.uint64(self.buckets)).astype(np.int32), found)
+        return self.among(self.table.find(h), tail)
+
+    def among(self, place: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """The classes from the tokens' places in a list that begins with the frequent words; -1: not in it."""
+        return np.where((place >= 0) & (place < self.top), place, self.top + (tail % np.uint64(self.buckets)).astype(np.int32))
 
 
 def buckets_for(words: int) -> int:
@@ -195,17 +198,17 @@ def lanes(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.nd
 
 def forward(classes: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """log10 of the forward probability of each text's classes, by the scaled recursion. ``emit`` is (classes, states)."""
-    out, every = np.zeros(len(first) - 1), lanes(classes, first, start, move, emit)
+    out, every, ones = np.zeros(len(first) - 1), lanes(classes, first, start, move, emit), np.ones(len(start))
     for lot in _lots_of(every.length):
         length, at = every.length[lot], every.at[lot]
         total = np.zeros(len(lot))
         state = every.prior[lot]
-        for t in range(int(length[0])):
-            live = int(np.searchsorted(-length, -t, "left"))
-            seen = emit[classes[at[:live] + t]]
-            now = (state[:live] @ move if t else state[:live]) * seen
-            scale = now.sum(1)
-            state[:live] = now / scale[:, None]
+        for t, live in enumerate(np.searchsorted(-length, -np.arange(int(length[0])), "left").tolist()):
+            now = state[:live] @ move if t else state[:live]
+            now *= np.take(emit, classes[at[:live] + t], axis=0)
+            scale = now @ ones
+            now /= scale[:, None]
+            state = now
             total[:live] += np.log10(scale)
         np.add.at(out, every.text[lot], total)
     return out
@@ -342,17 +345,18 @@ def _sequences(shared):
 
 
 def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Classes and offsets of about ``TOKENS`` tokens at a time: the more texts go together, the less each step costs."""
-    held, size = [], 0
+    """Classes and offsets of ``TOKENS`` tokens or more at a time: the more texts go together, the less each step costs, so the rest goes with the last of them."""
+    full, held, size = [], [], 0
     for b in batches:
         for classes, first in zip(b.column(0), b.column(1), strict=True):
             held.append((np.frombuffer(classes.as_buffer(), np.int32), np.frombuffer(first.as_buffer(), np.int64)))
             size += len(held[-1][0])
             if size >= TOKENS:
-                yield _together(held)
-                held, size = [], 0
-    if held:
-        yield _together(held)
+                if full:
+                    yield _together(full)
+                full, held, size = held, [], 0
+    if full or held:
+        yield _together(full + held)
 
 
 def _together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -386,10 +390,10 @@ def _scores(shared):
         for whole in batches:
             for b in W.pieces(whole, most=SLICE):
                 h, tail, first = _tokens(b.column(2))
-                c = classes.of(h, tail)
                 n, length = len(b), np.diff(first)
                 text = np.repeat(np.arange(n), length)
                 place = listed.find(h)
+                c = classes.among(place, tail)
                 known = place >= 0
                 partial = np.bincount(text[known], log_base[place[known]], n)
                 inside = forward(c, first, *model) - np.bincount(text, log_mass[c], n)
@@ -397,7 +401,8 @@ def _scores(shared):
                 columns = [zero, zero, length, np.bincount(text[known], minlength=n), partial, inside]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, columns)], names)
                 text, token = text[~known], h[~known]
-                order = np.lexsort((token, text))
+                order = np.argsort(token)
+                order = order[np.argsort(text[order], kind="stable")]
                 text, token = text[order], token[order]
                 new = np.ones(len(text), bool)
                 new[1:] = (text[1:] != text[:-1]) | (token[1:] != token[:-1])

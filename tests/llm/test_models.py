@@ -287,3 +287,19 @@ def test_features_do_not_depend_on_the_batch():
     together = quality.features(pa.array(texts))
     for i, t in enumerate(texts):
         assert np.allclose(quality.features(pa.array([t], pa.string()))[0], together[i])
+
+
+def test_a_rest_of_texts_goes_with_the_lot_before_it(monkeypatch):
+    monkeypatch.setattr(language_model, "TOKENS", 5)
+    pairs = [(np.arange(n, dtype=np.int32), np.array([0, 1, n])) for n in (3, 4, 2, 5, 1, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[i].tobytes() for x in pairs], pa.binary()) for i in (0, 1)], ["classes", "first"])
+    lots = list(language_model._lots(iter([batch])))
+    assert [f.tolist() for _, f in lots] == [[0, 1, 3, 4, 7], [0, 1, 2, 3, 7, 8, 8, 9, 10]]
+    assert np.concatenate([c for c, _ in lots]).tolist() == np.concatenate([c for c, _ in pairs]).tolist()
+    assert list(language_model._lots(iter([]))) == []
+
+
+def test_classes_from_the_places_in_the_longer_list():
+    h = np.random.default_rng(1).integers(1, 2**63, 400).astype(np.uint64)
+    classes, tail = language_model.Classes(h[:50], 64), h[::-1] % np.uint64(1000)
+    assert (classes.of(h, tail) == classes.among(language_model.Table(h[:200]).find(h), tail)).all()
