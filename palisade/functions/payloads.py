@@ -77,24 +77,20 @@ def unhexed(payload: Column) -> Column:
 
 
 def is_text(text: Column) -> Column:
-    s = stripped(text)
-    return readable(s) & (s.rlike(TEXT_PATTERNS[0]) | s.rlike(TEXT_PATTERNS[1]) | s.rlike(TEXT_PATTERNS[2]))
+    return once(stripped(text), lambda s: readable(s) & (s.rlike(TEXT_PATTERNS[0]) | s.rlike(TEXT_PATTERNS[1]) | s.rlike(TEXT_PATTERNS[2])))
 
 
 def unquoted(text: Column) -> Column:
     """A text without percent escapes and plus signs, if a plain text comes out; a percent sign that begins no escape stays."""
-    s = stripped(text)
-    plain = F.try_url_decode(F.regexp_replace(s, r"%(?![0-9A-Fa-f]{2})", "%25"))
-    return F.when((s.contains("%") | s.contains("+")) & is_text(plain), plain).otherwise(s)
+    plain = lambda s: F.when(s.contains("%") | s.contains("+"), F.try_url_decode(F.regexp_replace(s, r"%(?![0-9A-Fa-f]{2})", "%25")))
+    return once(stripped(text), lambda s: F.coalesce(once(plain(s), lambda p: F.when(is_text(p), p)), s))
 
 
 def captured(payload: Column) -> Column:
     """A captured body: hexadecimal digits as plain text, escapes undone; where none comes out, the digits."""
-    raw = stripped(payload)
-    data = F.unhex(hex_digits(raw))
-    utf8, western = unquoted(F.try_validate_utf8(data.cast("string"))), unquoted(F.decode(data, "ISO-8859-1"))
-    valid = F.try_validate_utf8(data.cast("string")).isNotNull()
-    return F.when(valid & is_text(utf8), utf8).when(data.isNotNull() & is_text(western), western).otherwise(raw)
+    read = once(stripped(payload), lambda r: F.struct(r.alias("raw"), F.unhex(hex_digits(r)).alias("data")))
+    text = lambda t: once(unquoted(t), lambda u: F.when(is_text(u), u))
+    return once(read, lambda x: F.coalesce(text(F.try_validate_utf8(x["data"].cast("string"))), text(F.decode(x["data"], "ISO-8859-1")), x["raw"]))
 
 
 def decoded_block(block: Column) -> Column:
