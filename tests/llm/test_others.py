@@ -220,6 +220,41 @@ def test_neighbours_of_groups_of_copies_and_single_vectors(spark, monkeypatch):
     assert len(got) == 404 and {r["count"] for r in got if r.query_id != 2015} == {20} and [r["count"] for r in got if r.query_id == 2015] == [20]
 
 
+def written(spark):
+    """Bytes that the session has shuffled so far."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_queries_go_to_groups_and_not_to_every_leaf_they_visit(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 4)
+    x = np.random.default_rng(6).normal(size=(6000, 32)).round(3)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4).cache()
+    before, kept = table.count() and written(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large for it
+    try:
+        first = neighbours.nearest(table, F.col("vec_id") % 20 == 0).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(first) == 6000 and written(spark) - before < 10_000_000
+    monkeypatch.setattr(neighbours, "GROUPS", 3)
+    monkeypatch.setattr(neighbours, "GROUP", 130)
+    assert sorted(neighbours.nearest(table, F.col("vec_id") % 20 == 0).collect()) == sorted(first)
+
+
+def test_walks_of_many_queries_equal_those_of_the_queue():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(1500, 8)), rng.normal(3, 0.1, size=(300, 8))])
+    tree, q = neighbours.Tree(x, 250), np.concatenate([rng.normal(size=(300, 8)), x[:40]])
+    for most in (1, 2, 9, 60, tree.leaves - 1, tree.leaves):
+        seen = neighbours.Walks(tree, 8).seen(q, most)
+        assert [set(np.flatnonzero(s).tolist()) for s in seen] == [set(tree.visits(v, most)) for v in q]
+    alone = neighbours.Tree(np.zeros((0, 8)), 1)
+    assert neighbours.Walks(alone, 8).seen(q, 1).all() and alone.visits(q[0], 1) == [0]
+    copies = neighbours.Tree(np.repeat(rng.normal(size=(30, 8)), 20, axis=0), 60)  # centres of equal promise, in any order
+    assert all((neighbours.Walks(copies, 8).seen(q, most).sum(1) == most).all() for most in (1, 9, copies.leaves))
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.vocabulary()
