@@ -50,6 +50,7 @@ GROUP = 500_000  # vectors of a group, about, at most
 PACK = 1 << 16  # vectors held before packing
 ROW = 512  # vectors of a packed row
 ASKED = 2048  # queries of a packed row
+SCORES = 1 << 20  # scores computed at a time; all of them may be ties
 
 
 def valid(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,8 +338,9 @@ def _search(shared, size: int, kind: type, k: int):
                     if len(at) and leaf in held:
                         held[leaf] = [tuple(np.concatenate(c) for c in zip(*held[leaf], strict=True))] if len(held[leaf]) > 1 else held[leaf]
                         of, y = held[leaf][0]
-                        for a in range(0, len(of), 4096):
-                            best.add(at, of[a : a + 4096], y[a : a + 4096].astype(np.float64), leaf)
+                        step = max(64, SCORES // len(at))
+                        for a in range(0, len(of), step):
+                            best.add(at, of[a : a + step], y[a : a + step].astype(np.float64), leaf)
                 yield from best.rows()
 
     return released(run)
